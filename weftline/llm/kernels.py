@@ -65,9 +65,10 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def hash_words(run: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words in ``run`` and the bounds of each text in them (len(run) + 1 values)."""
-    buf = LOWER[np.frombuffer(b" ".join(run) + b" ", dtype=np.uint8)]
+def hash_words(run: list[bytes], table: np.ndarray, fold: np.ndarray = LOWER, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in ``run`` after folding bytes, and the bounds of each text in them (len(run) + 1 values);
+    with ``spans`` also where each word begins and ends in the texts joined by one byte."""
+    buf = fold[np.frombuffer(b" ".join(run) + b" ", dtype=np.uint8)]
     inside = table[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -76,12 +77,13 @@ def hash_words(run: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     text_ends = np.cumsum([len(x) + 1 for x in run])
     bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return (np.zeros(0, np.uint64), bounds, starts, ends) if spans else (np.zeros(0, np.uint64), bounds)
     power, inverse = _powers(len(buf))
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
     words = (total[ends] - total[starts]) * inverse[starts]
-    return mix64(words + (ends - starts).astype(np.uint64)), bounds
+    words = mix64(words + (ends - starts).astype(np.uint64))
+    return (words, bounds, starts, ends) if spans else (words, bounds)
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
