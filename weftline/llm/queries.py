@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import conversation_tree, format_conversations, format_report
 from .ngram_join import ngram_jaccard_join
 from .shared import table
 from .token_files import read_token_files, write_token_files
@@ -24,6 +25,14 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "\\### Assistant: </turn> ok"
+    rows = rows.union(spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], rows.schema))
+    report = format_report(format_conversations(conversation_tree(rows)))
+    return report.select(F.when(F.col("tree") != "null", F.col("tree")).cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(shards)
@@ -41,6 +50,18 @@ SQL = {
                CASE WHEN b >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN b >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM r""",
+    "op3_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#') AS escaped FROM c)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('### ' || role || ': ') + length(escaped) + length(' </turn>') + 1)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op10_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -52,7 +73,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc_archive, op4_token_files, op10_topk_search)
+    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op10_topk_search)
     return {f.__name__: f for f in own}
 
 
