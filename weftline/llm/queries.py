@@ -14,6 +14,7 @@ from .shared import table
 from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
 from .warc import read_records, write_archive
+from .wrapper import main_text
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(shards)
 
 
+def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -73,7 +78,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op10_topk_search)
+    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op10_topk_search)
     return {f.__name__: f for f in own}
 
 
