@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import conversation_tree, format_conversations, format_report
+from .decontamination import contamination
 from .ngram_join import ngram_jaccard_join
 from .shared import table
 from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
+from .toxicity import toxicity
 from .warc import read_records, write_archive
 from .wrapper import main_text
 
@@ -43,6 +45,14 @@ def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5).drop("matches")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -78,7 +88,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op10_topk_search)
+    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op6_toxicity, op7_decontamination, op10_topk_search)
     return {f.__name__: f for f in own}
 
 
