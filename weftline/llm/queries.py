@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_tree, format_conversations, format_report
 from .decontamination import contamination
+from .lm_scoring import cross_entropy_difference
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
 from .shared import table
 from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
@@ -53,6 +55,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5).drop("matches")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -88,7 +99,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op6_toxicity, op7_decontamination, op10_topk_search)
+    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op6_toxicity, op7_decontamination, op8_packing, op9_lm_scoring, op10_topk_search)
     return {f.__name__: f for f in own}
 
 

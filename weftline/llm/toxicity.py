@@ -185,24 +185,24 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int64())], ["word", "toxic"])
 
 
-def _worst(held):
-    """Value and worst word of each text under the weights."""
+def worst_words(texts: list[str | None], weights: np.ndarray) -> tuple[list[float | None], list[bytes | None]]:
+    """Value and worst word of each text under the weights; null without words."""
+    value: list[float | None] = []
+    word: list[bytes | None] = []
+    for _, run in kernels.buffers(texts):
+        codes, starts, ends, bounds, raw = _words(run)
+        values = word_values(codes, starts, ends, weights)
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            k = low + int(np.argmax(values[low:high])) if high > low else None
+            value.append(None if k is None else float(values[k]))
+            word.append(None if k is None else raw[starts[k] : ends[k]][:200].lower())
+    return value, word
+
 
+def _worst(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = held.value
         for batch in batches:
-            value, word = [], []
-            for _, run_ in kernels.buffers(batch.column("text").to_pylist()):
-                codes, starts, ends, bounds, raw = _words(run_)
-                values = word_values(codes, starts, ends, weights)
-                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if low == high:
-                        value.append(None)
-                        word.append(None)
-                    else:
-                        k = low + int(np.argmax(values[low:high]))
-                        value.append(float(values[k]))
-                        word.append(raw[starts[k] : ends[k]][:200].lower())
+            value, word = worst_words(batch.column("text").to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array(word, pa.binary())], ["key", "value", "word"])
 
     return run
@@ -313,3 +313,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(30.0)), F.lit(-30.0))))
     scored = value.select(F.col("key").alias("doc_id"), score.alias("score"))
     return scored.select("doc_id", *out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't predicted toxic."""
+    model = train(docs, labels)
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:
+            value, _ = worst_words(batch.column("text").to_pylist(), model.weights)
+            linear = np.array([x or 0.0 for x in value], float) + model.bias
+            yield batch.filter(pa.array(model.score(linear) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
