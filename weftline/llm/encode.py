@@ -7,6 +7,7 @@ tried on ``PROBES``; one for which it does not gets whole texts.  Ids always com
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -36,12 +37,28 @@ _SAME = np.arange(256, dtype=np.uint8)
 _MARK = {"apart": " \x01 ", "before": "\n\x01"}
 
 
+#: Pieces of letters (ASCII and Latin-1) and signs after them. They are words for the model as they stand, so the steps
+#: before it can be left out; that this agrees with the library is tried on ``PLAIN_PROBES``.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()\-]*)")
+PLAIN_PROBES = (" Hello", "\nWorld", " Straße,", " élève###", "\nÜber%%%", " a", " I.", " DONT!?", " ñandú&&&", " (", " x-")
+
+
+def _byte_table() -> dict[int, str]:
+    """What byte-level tokenizers write for each byte: printable ones stand for themselves, the others are numbered from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_table()
+
+
 class Encoder:
     """``encode(texts)`` gives a flat array of the ids of all texts and the number of ids of each."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.mode, self.mark = None, np.zeros(0, np.uint32)
+        self.mode, self.mark, self.plain = None, np.zeros(0, np.uint32), False
         for mode in _MARK:
             self.mode, self.mark = mode, np.array(self._ids(_MARK[mode]), np.uint32)
             self._clear()
@@ -49,8 +66,22 @@ class Encoder:
                 break
         else:
             self.mode = None
+        probes = [x if self.mode == "before" else x.strip() for x in PLAIN_PROBES]
+        self.plain = self.mode is not None and all(self._model_ids(x) in (None, self._ids(x)) for x in probes)
         self._clear()
 
+    def _model_ids(self, piece: str) -> list[int] | None:
+        """Ids of a plain piece straight from the model; None if the piece isn't plain."""
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return None
+        lead, word, signs = m.groups()
+        if self.mode == "apart":
+            words = [word.lower(), signs]
+        else:
+            words = [" " + word, signs] if lead == " " else [lead, word, signs]
+        return [t.id for w in words if w for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_BYTES))]
+
     def _agrees(self) -> bool:
         ids, size = self.encode(PROBES)
         return len(self.mark) and [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [self._ids(x) for x in PROBES]
@@ -125,10 +156,17 @@ class Encoder:
 
     def _encode_new(self, pieces: list[str], lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces; in mode "before", those without a lead, which could run into a mark, are encoded one by one."""
-        joined = np.flatnonzero(lead) if self.mode == "before" else np.arange(len(pieces))
-        alone = np.setdiff1d(np.arange(len(pieces)), joined)
-        mark, width = self.mark, len(self.mark)
         order, flat, sizes = [], [], []
+        rest = np.arange(len(pieces))
+        if self.plain:
+            found = [self._model_ids(x) for x in pieces]
+            rest = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+            order.append(np.array([i for i, x in enumerate(found) if x is not None], np.int64))
+            sizes.append(np.array([len(x) for x in found if x is not None], np.int64))
+            flat.append(np.array([i for x in found if x is not None for i in x], np.uint32))
+        joined = rest[lead[rest] > 0] if self.mode == "before" else rest
+        alone = np.setdiff1d(rest, joined)
+        mark, width = self.mark, len(self.mark)
         for at in range(0, len(joined), 2000):
             run = joined[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([_MARK[self.mode].join([pieces[i] for i in run.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
