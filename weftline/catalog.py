@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from .plans import search, xpaths
+
+_MODULES = [search, xpaths]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
