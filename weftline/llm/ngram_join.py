@@ -27,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .shared import components, stash
+from .shared import bounded_batches, components, stash
 
-#: Groups of a count vector, texts in a small block, shingles in an unsplit cluster, shingles whose order is by frequency.
-GROUPS, SMALL_BLOCK, CELL_SHINGLES, FREQUENT = 64, 64, 2_000_000, 100_000
+#: Shingles for each group of a count vector, texts in a small block, shingles in an unsplit cluster, shingles whose order
+#: is by frequency.
+GROUP_SHINGLES, SMALL_BLOCK, CELL_SHINGLES, FREQUENT = 4, 64, 2_000_000, 100_000
+#: Ids that may be broadcast (8 bytes each).
+FEW_IDS = 500_000
+#: Shingles among which one task counts repeats at a time.
+COUNTED_TOGETHER = 4_000_000
 
 _U = np.uint64
 
@@ -49,14 +54,24 @@ def digests(values: np.ndarray) -> tuple[int, int]:
 
 
 def frequent_shingles(docs: DataFrame, k: int, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that recur most within batches of texts, with their counts; at most ``limit`` reach the driver."""
+    """The shingles that recur most among texts that one task reads, with their counts; at most ``limit`` reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            sets = {x.tobytes(): x for x in kernels.shingle_sets(texts, k)}
-            values, seen = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            keep = seen >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(seen[keep])], ["token", "seen"])
+        held, own, size = set(), [], 0
+        for _, texts in chain(_texts(batches), [(None, [])]):
+            for x in kernels.shingle_sets(texts, k):
+                mark = digests(x)
+                if mark not in held:
+                    held.add(mark)
+                    own.append(x)
+                    size += len(x)
+            if own and (size >= COUNTED_TOGETHER or not texts):
+                values = np.sort(np.concatenate(own))
+                start = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+                seen = np.diff(np.append(start, len(values)))
+                keep = seen >= 3
+                yield pa.RecordBatch.from_arrays([pa.array(values[start[keep]].view(np.int64)), pa.array(seen[keep])], ["token", "seen"])
+                held, own, size = set(), [], 0
 
     top = docs.select("text").mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     rows = top.orderBy(F.desc("seen"), "token").limit(limit).toPandas()
@@ -78,7 +93,7 @@ def features(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray,
                 a, b = digests(x)
                 d1.append(a)
                 d2.append(b)
-                points.append(count_vector(x).tobytes())
+                points.append(count_vector(x, groups_for(len(x))).astype(np.uint32).tobytes())
                 if len(tokens) and len(x):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
                     x = x[np.argsort(np.where(tokens[at] == x, seen[at], 0), kind="stable")]
@@ -90,20 +105,27 @@ def features(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, d1 long, d2 long, points binary, prefix array<long>")
 
 
-def count_vector(values: np.ndarray) -> np.ndarray:
+def groups_for(n: int) -> int:
+    """Groups of the count vector of n shingles: a power of two, as unrelated sets are told apart by about n / 4 groups."""
+    return 1 << min(12, max(4, (max(n, 1) // GROUP_SHINGLES - 1).bit_length()))
+
+
+def count_vector(values: np.ndarray, groups: int) -> np.ndarray:
     """How many of the hashes fall into each group."""
-    return np.bincount((values % _U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((values & _U(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector of fewer groups."""
+    return vector.reshape(-1, groups).sum(0)
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text and prefix shingle; of texts with equal sets in one batch, the first stands for all."""
+    """A row per text and prefix shingle."""
     for batch in batches:
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        doc, n, d1 = (column[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "d1"))
-        first = np.sort(np.unique(d1, return_index=True)[1]) if len(d1) else np.zeros(0, int)
-        lists = column["prefix"].take(pa.array(first))
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(doc[first], size)), pa.array(np.repeat(n[first], size))], ["token", "doc_id", "n"])
+        doc, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n"))
+        size = batch.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column("prefix").flatten(), pa.array(np.repeat(doc, size)), pa.array(np.repeat(n, size))], ["token", "doc_id", "n"])
 
 
 def _blocks(percent: int, small: int):
@@ -152,8 +174,12 @@ def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for c in ("x", "y"))
-                keep = (100 + percent) * np.minimum(x, y).sum(1) >= percent * (x.sum(1) + y.sum(1))
+                keep = []
+                for pair in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    x, y = (np.frombuffer(v, np.uint32).astype(np.int64) for v in pair)
+                    few = min(len(x), len(y))
+                    bound = np.minimum(folded(x, few), folded(y, few)).sum()
+                    keep.append(bool((100 + percent) * bound >= percent * (x.sum() + y.sum())))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return run
@@ -193,7 +219,8 @@ def link_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     sizes = np.array([len(x) for x in sets])
     order = np.lexsort((ids, sizes))
     ids, sets, sizes = ids[order], [sets[i] for i in order], sizes[order]
-    points = np.stack([count_vector(x) for x in sets]).astype(np.int64)
+    groups = groups_for(int(np.median(sizes)))
+    points = np.stack([count_vector(x, groups) for x in sets])
     tree, group = CountVectorTree(points, sizes), np.arange(len(ids))
     for q in range(len(ids) - 1):
         found, bound = tree.search(points[q], int(sizes[q]), percent, q + 1)
@@ -212,8 +239,8 @@ def link_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     return [(i, least[g]) for g, i in zip(group.tolist(), ids.tolist()) if least[g] != i]
 
 
-def _link_cells(percent: int):
-    """Reads (cell, doc_id, values) sorted by cell."""
+def _link_cells(k: int, percent: int):
+    """Reads (cell, doc_id, text) sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids, sets):
@@ -221,25 +248,21 @@ def _link_cells(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         cell, ids, sets = None, [], []
-        for batch in batches:
-            for c, i, x in zip(*(batch.column(name).to_pylist() for name in ("cell", "doc_id", "values"))):
+        for batch, texts in _texts(batches):
+            for c, i, x in zip(batch.column("cell").to_pylist(), batch.column("doc_id").to_pylist(), kernels.shingle_sets(texts, k)):
                 if c != cell:
                     yield out(ids, sets)
                     cell, ids, sets = c, [], []
                 ids.append(i)
-                sets.append(np.frombuffer(x, np.uint64))
+                sets.append(x)
         yield out(ids, sets)
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
-            values = pa.array([x.tobytes() for x in kernels.shingle_sets(texts, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("doc_id"), values], ["cell", "doc_id", "values"])
-
-    return run
+def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with ids; they are broadcast if they are few, and both sides are shuffled otherwise."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how)
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, small_block: int = SMALL_BLOCK, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
@@ -251,6 +274,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, small_blo
     and are returned as often; a row with a null doc_id is returned with null class and component.  Other columns are
     ignored.  An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     feats = stash(features(docs, k, percent, frequent_shingles(docs, k)), "features")
     full = feats.where("n > 0 and doc_id is not null")
@@ -260,7 +284,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, small_blo
     members = stash(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     rep_of = members.where("n > 0").select("doc_id", "rep").dropDuplicates(["doc_id"])
 
-    rows = full.select("doc_id", "n", "d1", "prefix").mapInArrow(_prefix_rows, "token long, doc_id long, n long")
+    others = members.where("rep <> doc_id").select("doc_id")
+    rows = _only(full, others, "left_anti").select("doc_id", "n", "prefix").mapInArrow(_prefix_rows, "token long, doc_id long, n long")
     rows = rows.repartition("token").sortWithinPartitions("token")
     found = stash(rows.mapInArrow(_blocks(percent, small_block), "block long, a long, b long"), "blocks")
 
@@ -281,9 +306,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, small_blo
     cells = clusters.join(weight, "component").withColumn("parts", parts).withColumn("own", own)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select(F.col("node").alias("doc_id"), F.concat_ws("-", "component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    texts = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).join(cells, "doc_id").select("cell", "doc_id", "text")
-    sets = texts.mapInArrow(_sets(k), "cell string, doc_id long, values binary").repartition("cell").sortWithinPartitions("cell")
-    links = sets.mapInArrow(_link_cells(percent), "a long, b long")
+    texts = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = _only(texts, clusters.select(F.col("node").alias("doc_id")), "left_semi").join(cells, "doc_id").select("cell", "doc_id", "text")
+    links = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells(k, percent), "a long, b long")
 
     whole = components(links).withColumnsRenamed({"node": "rep", "component": "least"})
     return members.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those linked to a smaller doc_id: one text of each component stays.
+
+    Rows with a null doc_id stay; so do all rows that repeat the doc_id that stays.
+    """
+    linked = ngram_jaccard_join(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return _only(docs, stash(linked, "linked"), "left_anti")
