@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search, xpaths
+from .plans import graphs, logs, search, urls, vectors, xpaths
 
-_MODULES = [search, xpaths]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
