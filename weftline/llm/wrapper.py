@@ -20,6 +20,8 @@ from .shared import bounded_batches
 #: Pages of a host that are aligned together, different pages needed to call a node a template, and the share of them
 #: that must have it.
 GROUP_PAGES, LEAST_PAGES, TEMPLATE_SHARE = 48, 4, 0.8
+#: Hosts whose page counts may be broadcast; with more, pages are shuffled to the counts.
+FEW_HOSTS = 200_000
 
 #: Fixed word lists: elements that hold blocks of text, elements whose content isn't text, elements without an end tag,
 #: elements that are no article text, and words of class, id and role that mark such elements.
@@ -279,7 +281,8 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     name = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), name.alias("host"))
     groups = pages.select(name.alias("host")).groupBy("host").agg(F.ceil(F.count("*") / F.lit(group_pages)).alias("groups"))
-    rows = rows.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    few = groups.count() <= FEW_HOSTS
+    rows = rows.join(F.broadcast(groups) if few else groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
 
     def group(own: pa.Table) -> pa.Table:
         own = own.sort_by([("page_id", "ascending"), ("html", "ascending")])
