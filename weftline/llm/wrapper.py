@@ -19,7 +19,7 @@ from .shared import bounded_batches
 
 #: Pages of a host that are aligned together, different pages needed to call a node a template, and the share of them
 #: that must have it.
-GROUP_PAGES, LEAST_PAGES, TEMPLATE_SHARE = 48, 4, 0.8
+GROUP_PAGES, LEAST_PAGES, TEMPLATE_SHARE = 48, 6, 0.9
 #: Hosts whose page counts may be broadcast; with more, pages are shuffled to the counts.
 FEW_HOSTS = 200_000
 
