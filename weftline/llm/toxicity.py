@@ -15,6 +15,7 @@ An SVM over landmarks is linear in the subsequences of the landmarks, so the tra
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from .shared import bounded_batches, stash
 
 #: Length and decay of the kernel's gaps; landmarks; labelled texts of each class that training reads at most; words that
 #: the driver reads at most; rounds of training.
-SPAN, DECAY, LANDMARKS, SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS, ROUNDS = 6, 0.7, 160, 4000, 8000, 150_000, 3
+SPAN, DECAY, LANDMARKS, SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS, ROUNDS = 6, 0.7, 160, 4000, 8000, 40_000, 3
 
 _CODES = 128
 
@@ -148,16 +149,18 @@ def _features(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps over the active rows; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+def _svm(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps over the active rows. Each row counts for both classes, by these weights."""
+    x = np.hstack([x, np.ones((len(x), 1))])
     beta = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * ridge * weight.sum() / 10
+    penalty = np.eye(x.shape[1]) * ridge * (plus.sum() + minus.sum()) / 10
     penalty[-1, -1] *= 1e-3
     for _ in range(25):
-        active = y * (x @ beta) < 1
-        part = x[active]
-        new = np.linalg.solve(part.T @ (part * weight[active, None]) + penalty, part.T @ (weight[active] * y[active]))
+        value = x @ beta
+        up, down = plus * (value < 1), minus * (value > -1)
+        rows = up + down > 0
+        part = x[rows]
+        new = np.linalg.solve(part.T @ (part * (up + down)[rows, None]) + penalty, part.T @ (up - down)[rows])
         if np.allclose(new, beta, atol=1e-6):
             break
         beta = new
@@ -210,15 +213,13 @@ def _worst(held):
 
 def _landmarks(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], limit: int) -> list[bytes]:
     """Strings that set toxic texts apart: five-byte pieces of words and whole words, by the gap between their rates."""
-    seen: dict[bytes, np.ndarray] = {}
+    seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
     for w, t, c in zip(words, toxic.tolist(), clean.tolist()):
         for piece in {w, *(w[i : i + 5] for i in range(len(w) - 4))}:
-            if piece in seen:
-                seen[piece] += (t, c)
-            else:
-                seen[piece] = np.array([t, c], float)
-    pieces = list(seen)
-    counts = np.array([seen[p] for p in pieces])
+            seen[0][piece] += t
+            seen[1][piece] += c
+    pieces = list(seen[0])
+    counts = np.array([[side[p] for side in seen] for p in pieces])
     rate = (counts + 0.5) / (np.array(texts) + 1.0)
     value = (rate[:, 0] - rate[:, 1]) / np.sqrt(rate.mean(1) / min(texts))
     order = np.lexsort((np.arange(len(pieces)), -value))
@@ -258,9 +259,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     # round one: each word of the sample counts for both classes, by its share of their texts
     x = _features(words, marks) @ whiten
-    y = np.concatenate([np.ones(len(words)), -np.ones(len(words))])
-    weight = np.concatenate([toxic / sizes[1], clean / sizes[0]])
-    beta, bias = _svm(np.vstack([x, x])[weight > 0], y[weight > 0], weight[weight > 0])
+    beta, bias = _svm(x, toxic / sizes[1], clean / sizes[0])
     for turn in range(ROUNDS):
         weights = _primal(marks, whiten @ beta)
         rows = texts.select(F.col("toxic").alias("key"), "text").mapInArrow(_worst(spark.sparkContext.broadcast(weights)), "key long, value double, word binary").where("word is not null").collect()
@@ -273,10 +272,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         witness = list(worst)
         common = np.argsort(-clean, kind="stable")[:5000]
         x = np.vstack([_features(witness, marks), _features([words[i] for i in common], marks)]) @ whiten
-        y = np.concatenate([np.ones(len(witness)), -np.ones(len(witness) + len(common))])
-        rows_x = np.vstack([x[: len(witness)], x])
-        weight = np.concatenate([t / label.sum(), (n - t) / (len(label) - label.sum()), np.full(len(common), 0.5 / len(common))])
-        beta, bias = _svm(rows_x[weight > 0], y[weight > 0], weight[weight > 0])
+        plus = np.concatenate([t / label.sum(), np.zeros(len(common))])
+        minus = np.concatenate([(n - t) / (len(label) - label.sum()), np.full(len(common), 0.5 / len(common))])
+        beta, bias = _svm(x, plus, minus)
     slope, offset = _logistic(value, label.astype(float))
     return Model(weights, bias, slope, offset)
 
