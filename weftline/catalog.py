@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graphs, logs, pages, search, urls, vectors, xpaths
+from .plans import graphs, logs, maintenance, pages, search, urls, vectors, xpaths
 
-_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
