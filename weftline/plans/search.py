@@ -66,7 +66,7 @@ def tfidf_pages(spark, sf):
     scored = _scores(spark, sf).join(_docs(spark, sf).select("doc_id", "source"), "doc_id")
     best = scored.withColumn("page", F.struct("item_id", "source"))
     best = search.top_per(best, "page", 5, F.desc("score"), F.col("doc_id"), rank="rn")
-    pages = best.groupBy("item_id", "source").agg(F.round(F.avg("score"), 5).alias("score"), F.count("*").alias("n_docs"))
+    pages = best.groupBy("item_id", "source").agg(F.round(F.avg("score"), 7).alias("score"), F.count("*").alias("n_docs"))
     return search.top_per(pages, "item_id", 3, F.desc("score"), F.col("source"))
 
 
@@ -146,7 +146,7 @@ def token_entropy(spark, sf):
     token = _docs(spark, sf).select(F.explode(T.lexical_tokens(F.col("text"))).alias("token")).distinct()
     signs = token.select("token", F.explode(F.split("token", "")).alias("c")).where("c <> ''").groupBy("token", "c").agg(F.count("*").alias("n"))
     p = F.col("n") / F.length("token")
-    return signs.groupBy("token").agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"))
+    return signs.groupBy("token").agg((F.round(-F.sum(p * F.log2(p)), 6) + 0.0).alias("entropy"))
 
 
 def discriminative_tokens(spark, sf):
@@ -175,7 +175,7 @@ SQL = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""",
     "tfidf_pages": f"""WITH {TERMS_SQL}, {QUERY_SQL}, s AS (SELECT item_id, doc_id, source, round(score, 6) AS score FROM sc),
         b AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rn FROM s),
-        p AS (SELECT item_id, source, round(avg(score), 5) AS score, count(*) AS n_docs FROM b WHERE rn <= 5 GROUP BY ALL)
+        p AS (SELECT item_id, source, round(avg(score), 7) AS score, count(*) AS n_docs FROM b WHERE rn <= 5 GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source)::INT AS rank FROM p) WHERE rank <= 3""",
     "jaccard_pairs": f"""WITH {_SETS}, s AS (SELECT item_id, doc_id, count(*) AS s FROM l JOIN r USING (token) GROUP BY ALL),
         a AS (SELECT item_id, count(*) AS a FROM l GROUP BY ALL), b AS (SELECT doc_id, count(*) AS b FROM r GROUP BY ALL)
@@ -194,8 +194,8 @@ SQL = {
         SELECT DISTINCT a.item_id FROM s a JOIN s b ON a.item_id <> b.item_id AND len(a.w) > 0 AND list_has_all(b.w, a.w)
         AND (len(b.w) > len(a.w) OR (len(b.w) = len(a.w) AND b.item_id < a.item_id))""",
     "text_search": """WITH h AS (SELECT *, strpos(text, 'and the') AS e, strpos(lower(text), 'and the') AS i FROM documents),
-        p AS (SELECT *, CASE WHEN e > 0 THEN e ELSE i END AS at FROM h WHERE i > 0),
-        b AS (SELECT *, greatest(at - 80, 1) AS a, least(at + 87, length(text) + 1) AS z FROM p)
+        p AS (SELECT *, CASE WHEN e > 0 THEN e ELSE i END AS pos FROM h WHERE i > 0),
+        b AS (SELECT *, greatest(pos - 80, 1) AS a, least(pos + 87, length(text) + 1) AS z FROM p)
         SELECT doc_id, round(least(1.0, (CASE WHEN e > 0 THEN 1.0 ELSE 0.8 END) + (CASE WHEN n_chars > 1000 THEN 0.1 ELSE 0.0 END))::DOUBLE, 2) AS score,
                (CASE WHEN a > 1 THEN '…' ELSE '' END) || substring(text, a, z - a) || (CASE WHEN z <= length(text) THEN '…' ELSE '' END) AS snippet FROM b""",
     "completions": """SELECT p_name, tier FROM (SELECT DISTINCT p_name, CASE WHEN starts_with(lower(p_name), 'pa') THEN 0 WHEN contains(lower(p_name), 'pa') THEN 1 END AS tier FROM part)
@@ -206,7 +206,7 @@ SQL = {
         length(regexp_replace(regexp_replace(text, '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'))::INT AS n_spaced FROM documents""",
     "token_entropy": r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
         c AS (SELECT token, ch, count(*) AS n FROM (SELECT token, unnest(string_split(token, '')) AS ch FROM t) WHERE ch <> '' GROUP BY ALL)
-        SELECT token, round(-sum(n / length(token) * log2(n / length(token))), 6) AS entropy FROM c GROUP BY token""",
+        SELECT token, round(-sum(n / length(token) * log2(n / length(token))), 6) + 0.0 AS entropy FROM c GROUP BY token""",
     "discriminative_tokens": r"""WITH r AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS token FROM documents),
         n AS (SELECT source, count(*) AS n FROM documents GROUP BY ALL), c AS (SELECT source, token, count(*) AS c FROM r GROUP BY ALL),
         g AS (SELECT token, count(*) AS g FROM r GROUP BY ALL),
