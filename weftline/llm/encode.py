@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from . import kernels
 
 #: Distinct pieces that a worker keeps before it starts anew; longer pieces than ``KEPT_BYTES`` are not kept.
-KEPT_PIECES, KEPT_BYTES = 1_000_000, 64
+KEPT_PIECES, KEPT_BYTES = 2_000_000, 64
 
 #: Texts on which cutting must agree with the library before it is used.
 PROBES = (
@@ -90,7 +90,8 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.keys = pd.Index(np.zeros(0, np.uint64))
+        # a lookup table is built anew when it grows, so new pieces gather in a small one first
+        self.keys = self.recent = pd.Index(np.zeros(0, np.uint64))
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
@@ -123,9 +124,13 @@ class Encoder:
                 kind[np.isin(starts, at_text)] = 1
                 hashes = kernels.mix64(hashes + kind)
         codes, distinct = pd.factorize(hashes)
-        if len(self.keys) > KEPT_PIECES:
+        if len(self.ends) > KEPT_PIECES:
             self._clear()
         known = self.keys.get_indexer(distinct)
+        if len(self.recent):
+            rest = np.flatnonzero(known < 0)
+            late = self.recent.get_indexer(distinct[rest])
+            known[rest] = np.where(late < 0, -1, late + len(self.keys))
         new = np.flatnonzero(known < 0)
         flat, edge = self.flat, self.ends
         if len(new):
@@ -139,11 +144,13 @@ class Encoder:
             flat, edge = np.concatenate([flat, ids]), np.concatenate([edge, edge[-1] + np.cumsum(size)])
             short = ends[first] - starts[first] <= KEPT_BYTES
             if short.all():
-                self.keys, self.flat, self.ends = self.keys.append(pd.Index(distinct[new])), flat, edge
+                self.recent, self.flat, self.ends = self.recent.append(pd.Index(distinct[new])), flat, edge
             else:
-                self.keys = self.keys.append(pd.Index(distinct[new[short]]))
+                self.recent = self.recent.append(pd.Index(distinct[new[short]]))
                 self.flat = np.concatenate([self.flat, ids[np.repeat(short, size)]])
                 self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size[short])])
+            if len(self.recent) > max(50_000, len(self.keys) // 2):
+                self.keys, self.recent = self.keys.append(self.recent), pd.Index(np.zeros(0, np.uint64))
         code = known[codes]
         at, size = edge[code], edge[code + 1] - edge[code]
         total = np.cumsum(size)

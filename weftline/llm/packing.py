@@ -57,9 +57,9 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int,
         for batch in batches:
             width = batch.column("width").to_pylist()
             for raw, w in zip(batch.column("ids").to_pylist(), width):
-                seen = np.zeros(size, dtype=bool)
-                seen[_ids(raw, w)] = True
-                df += seen
+                order = np.sort(_ids(raw, w))
+                df[order[0]] += 1
+                df[order[1:][order[1:] != order[:-1]]] += 1
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(df[there])], ["term", "df"])
 
@@ -73,8 +73,8 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int,
 def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms of a document and their BM25 weights."""
     order = np.sort(ids)
-    start = np.flatnonzero(np.diff(order, prepend=-1))
-    tf = np.diff(np.append(start, len(order)))
+    start = np.concatenate(([0], np.flatnonzero(order[1:] != order[:-1]) + 1))
+    tf = np.diff(start, append=len(order))
     terms = order[start].astype(np.int64)
     return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
 
@@ -104,10 +104,11 @@ def _route(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, df, mean = held.value
+        idf = np.where(df > 1, idf, 0)  # a term of one document finds no other
         for batch in batches:
             lead, part = [], []
             for doc, raw, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "width"))):
-                terms, weight = _weights(_ids(raw, w), np.where(df > 1, idf, 0), mean)  # a term of one document finds no other
+                terms, weight = _weights(_ids(raw, w), idf, mean)
                 lead.append(int(terms[np.argmax(weight)]))
                 part.append(zlib.crc32(str(doc).encode()) % (1 + int(df[lead[-1]]) // SHARD_DOCS))
             yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(part, pa.int64()), *(batch.column(c) for c in ("doc_id", "ids", "width"))], ["lead", "part", "doc_id", "ids", "width"])
