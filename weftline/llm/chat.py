@@ -46,9 +46,9 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while left:
         jumps.append(jump)
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
-        both = jump.join(above, ["tree", "up"], "left")
-        jump = both.select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        jump = stash(jump, "jumps")
+        both = jump.where("up is not null").join(above, ["tree", "up"])  # messages that have reached their root rise no more
+        risen = both.select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
+        jump = stash(jump.where("up is null").union(risen), "jumps")
         before, left = left, jump.where("up is not null").count()
         if left == before:  # only messages on or below cycles still rise
             break
@@ -60,7 +60,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for step in jumps:
         rise = step.where("up is not null").select("tree", "node", "up", "span")
         more = path.join(rise, ["tree", "node"]).select("tree", "leaf", "branch", (F.col("depth") - F.col("span")).alias("depth"), F.col("up").alias("node"))
-        path = path.union(more)
+        path = stash(path.union(more), "paths")
     return path
 
 
