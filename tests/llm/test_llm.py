@@ -354,6 +354,37 @@ def test_lm_is_a_distribution(spark):
     assert lm_scoring.cross_entropy_difference(df.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 5, 1000])
+def test_lm_counts_every_word_bigram_and_target(spark, held):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.3)) % 20_000}" for _ in range(rnd.randrange(9))) for _ in range(30_000)] + [None, ""]
+    good = set(range(0, 60_000, 2)) - set(range(100))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 30_002, "w1 w1 w7") for i in range(30_000)] + [(None, "w1 w1 w7")]
+    df, pairs, words, size = spark.createDataFrame(rows, "doc_id long, text string"), ({}, {}), ({}, {}), {}
+    tokens = lambda t: list(zip(["^", *(t or "").split()], [*(t or "").split(), "$"]))
+    for i, t in rows:
+        for side in (0, 1) if i in good else (0,):
+            for h, w in tokens(t):
+                pairs[side][h, w] = pairs[side].get((h, w), 0) + 1
+                words[side][w] = words[side].get(w, 0) + 1
+                size[w] = 1
+    assert len(size) > 8192 and len(good) > 20_000
+
+    def loss(side, t):
+        total, out = sum(words[side].values()) + len(size) + 2, 0.0
+        for h, w in tokens(t):
+            p, c = (words[side].get(w, 0) + 1) / total, words[side].get("$" if h == "^" else h, 0)
+            out -= np.log(0.7 * pairs[side].get((h, w), 0) / c + 0.3 * p if c else p)
+        return out / len(tokens(t))
+
+    got = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), held).collect()
+    own, expected = {r.doc_id: r for r in got}, dict(rows)
+    assert len(got) == len(rows) and set(own) == set(expected)
+    for i in [None, *range(0, 60_001, 7)]:
+        assert own[i].n_words == len(tokens(expected[i])) - 1
+        assert abs(own[i].target_loss - loss(1, expected[i])) < 1e-6 and abs(own[i].background_loss - loss(0, expected[i])) < 1e-6
+
+
 # ---- 10: top-k
 
 

@@ -1,12 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models of the same form, one of target texts and one of all texts, share one vocabulary: the most frequent
-words of all texts, with all others as one unknown word.  A text's score is its mean loss per token under the target
-model minus that under the background model, so lower is nearer to the target.
-
-Counts cover all texts.  Each model mixes the bigrams that are kept with its word frequencies:
-p(w | h) = D c(h w) / c(h) + (1 - D K(h)) p(w), where K(h) is the share of h's bigrams that are kept.  Kept are the most
-frequent bigrams of all texts, ``BIGRAMS`` at most, as the table goes to every task.
+Two bigram models of the same form, one of target texts and one of all texts, share one vocabulary: all words of all
+texts.  A text's score is its mean loss per token under the target model minus that under the background model, so
+lower is nearer to the target.
+
+Counts cover all texts, all target texts, and every word and bigram.  Each model mixes its bigrams with its word
+frequencies: p(w | h) = D c(h w) / c(h) + (1 - D) p(w), and p(w) alone if h doesn't occur.  Words and bigrams are Spark
+tables; each text's bigrams are joined with them.  The most frequent bigrams' logarithms also go to every task, which
+only spares their rows the shuffle: a bigram has the same value from either.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 from . import kernels
 from .shared import bounded_batches, stash
 
-#: Words of the vocabulary, bigrams kept, weight of the bigrams, and target texts at most (their ids are broadcast).
-VOCABULARY, BIGRAMS, MIX, TARGET_TEXTS = 8192, 1_000_000, 0.7, 20_000
-#: Ids of the unknown word, the start and the end of a text; words follow.
+#: Weight of the bigrams, and bigrams whose logarithms are sent to every task (no result depends on their number).
+MIX, HELD = 0.7, 1_000_000
+#: Stand for the unknown word, the start and the end of a text; words' ids follow, and their hashes are other numbers.
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 _COUNTED = 2_000_000
+#: Logarithms are added as whole multiples of 1 / UNIT, so that sums don't depend on the order of rows.
+UNIT = 1 << 30
 
 
 @dataclass(frozen=True)
 class Models:
-    """``words``: sorted hashes with their ``ids``. ``keys``: sorted kept bigrams h * size + w. Natural logarithms of both
-    models: of kept bigrams, of w if h w isn't kept (``single[w] + rest[h]``)."""
+    """``words``: sorted hashes with their ``ids``. ``keys``: sorted bigrams h * size + w. Natural logarithms of both
+    models: of bigrams that occur, of w if h w doesn't (``single[w] + rest[h]``)."""
 
     words: np.ndarray
     ids: np.ndarray
@@ -42,138 +45,128 @@ class Models:
     rest: tuple[np.ndarray, np.ndarray]
 
 
-def _sums(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, target = keys[order], target[order]
-    start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    return keys[start], np.diff(np.append(start, len(keys))), np.add.reduceat(target.astype(np.int64), start)
-
-
-def _count(read):
-    """Counts what ``read`` makes of the words of each run of texts, in all texts and in target texts, in parts of some millions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            keys, n, t = _sums(np.concatenate([k for k, _ in held]), np.concatenate([t for _, t in held]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], ["key", "n", "t"])
-
-        for batch in batches:
-            flags = np.array(batch.column("target").to_pylist(), dtype=bool)
-            with np.errstate(over="ignore"):
-                for first, texts in kernels.buffers(batch.column("text").to_pylist()):
-                    words, bounds = kernels.hash_words(texts, kernels.WORD_NOT_SPACE)
-                    keys, text = read(words, bounds)
-                    held.append((keys, flags[first + text]))
-            if sum(len(k) for k, _ in held) > _COUNTED:
-                yield out()
-        if sum(len(k) for k, _ in held):
-            yield out()
-
-    return run
-
-
-def _single(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return words, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
-def _encoded(words: np.ndarray, bounds: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, word, text) for each token and each text's end."""
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    own = np.where(known[at] == words, ids[at], UNKNOWN) if len(known) else np.zeros(len(words), np.int64)
-    word = np.insert(own, bounds[1:], END)
+def _bigrams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, history, word, text) for each token and each text's end. Keys are odd hashes of both."""
+    word = np.insert(words, bounds[1:], np.uint64(END))
     n = np.diff(bounds) + 1
     first = np.cumsum(n) - n
     history = np.empty_like(word)
     history[1:] = word[:-1]
     history[first] = START
-    return history, word, np.repeat(np.arange(len(n)), n)
+    key = kernels.mix64(history * np.uint64(0xD6E8FEB86659FD93) + word) | np.uint64(1)
+    return key, history, word, np.repeat(np.arange(len(n)), n)
+
+
+def _runs(batch: pa.RecordBatch):
+    with np.errstate(over="ignore"):
+        for first, texts in kernels.buffers(batch.column("text").to_pylist()):
+            yield first, len(texts), _bigrams(*kernels.hash_words(texts, kernels.WORD_NOT_SPACE))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams in all texts and in target texts, in parts of some millions."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> pa.RecordBatch:
+        key, history, word, target = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+        own, n = order[start], np.diff(np.append(start, len(key)))
+        t = np.add.reduceat(target[order].astype(np.int64), start)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[own].view(np.int64)) for x in (key, history, word)), pa.array(n), pa.array(t)], ["key", "h", "w", "n", "t"])
+
+    for batch in batches:
+        flags = np.array(batch.column("target").to_pylist(), dtype=bool)
+        for first, _, (key, history, word, text) in _runs(batch):
+            held.append((key, history, word, flags[first + text]))
+        if sum(len(x[0]) for x in held) > _COUNTED:
+            yield out()
+    if held:
+        yield out()
 
 
-def _pairs(held, size: int):
-    def read(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, ids = held.value
-        history, word, text = _encoded(words, bounds, known, ids)
-        return (history * size + word).astype(np.uint64), text
+def _flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, text, target, row) of all ``docs``; row numbers differ."""
+    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    return stash(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), F.monotonically_increasing_id().alias("row")), "texts")
 
-    return read
 
+def _counts(rows: DataFrame) -> DataFrame:
+    """(key, h, w, n, t): each bigram with its counts in all texts and in target texts."""
+    parts = rows.select("text", "target").mapInArrow(_count, "key long, h long, w long, n long, t long")
+    return stash(parts.groupBy("key").agg(F.min("h").alias("h"), F.min("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t")), "bigrams")
 
-def train(docs: DataFrame, target: DataFrame) -> Models:
-    """Count all of ``docs`` (doc_id, text) and those in ``target`` (doc_id), of which TARGET_TEXTS are used at most.
 
-    The driver gets VOCABULARY words and BIGRAMS bigrams, as numbers."""
-    spark = docs.sparkSession
-    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_TEXTS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.withColumn("target", F.lit(True))), "doc_id", "left")
-    rows = rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = "key long, n long, t long"
-    add = [F.sum("n").alias("n"), F.sum("t").alias("t")]
-    single = stash(rows.mapInArrow(_count(_single), counts).groupBy("key").agg(*add), "words")
-    total = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    texts = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0))).first()
-    top = single.orderBy(F.desc("n"), "key").limit(VOCABULARY).toArrow()
-    hashes = top["key"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    words, word_ids, size = hashes[order], FIRST + order.astype(np.int64), FIRST + top.num_rows
-
-    held = spark.sparkContext.broadcast((words, word_ids))
-    pairs = rows.mapInArrow(_count(_pairs(held, size)), counts).groupBy("key").agg(*add).where("n > 1")
-    pairs = stash(pairs, "bigrams")
-    cut, room = 2, BIGRAMS
-    for x in pairs.groupBy("n").count().orderBy(F.desc("n")).limit(BIGRAMS).toLocalIterator():
-        room -= x["count"]
-        if room < 0:
-            cut = x["n"] + 1
-            break
-    kept = pairs.where(F.col("n") >= cut).toArrow()  # as Arrow, as rows would take a hundred times the memory
-    order = np.argsort(kept["key"].to_numpy())
-    kept = {c: kept[c].to_numpy()[order] for c in ("key", "n", "t")}
-    keys = kept["key"]
-
-    models = []
-    for column, all_words, all_texts in (("n", total[0], texts[0]), ("t", total[1], texts[1])):
-        c = np.zeros(size)
-        c[FIRST:] = top[column].to_numpy()
-        c[UNKNOWN], c[END], c[START] = all_words - c.sum(), all_texts, 0
-        p = (c + 1) / (c.sum() + size)
-        history = np.maximum(c, 1)
-        history[START] = max(all_texts, 1)
-        share = kept[column].astype(np.float64) / history[keys // size] if len(keys) else np.zeros(0)
-        mass = np.bincount(keys // size, share, size) if len(keys) else np.zeros(size)
-        rest = 1 - MIX * np.minimum(mass, 1)
-        models.append((np.log(MIX * share + rest[keys // size] * p[keys % size]).astype(np.float32), np.log(p), np.log(rest)))
+def train(docs: DataFrame, target: DataFrame) -> Models:
+    """Both models as arrays on the driver, to look into those of a small corpus; scoring never gathers them."""
+    pairs = _counts(_flagged(docs, target)).toArrow()
+    h, w = (pairs[c].to_numpy().view(np.uint64) for c in ("h", "w"))
+    words = np.unique(w[w != END])
+    ids, size = FIRST + np.arange(len(words)), FIRST + len(words)
+    number = lambda x: np.where(x < FIRST, x.astype(np.int64), FIRST + np.searchsorted(words, x))
+    keys = number(h) * size + number(w)
+    order = np.argsort(keys)
+    keys, models = keys[order], []
+    for column in ("n", "t"):
+        n = pairs[column].to_numpy()[order].astype(np.float64)
+        p = (np.bincount(keys % size, n, size) + 1) / (n.sum() + size)
+        c = np.bincount(keys // size, n, size)
+        rest = np.where(c > 0, 1 - MIX, 1.0)
+        models.append((np.log(MIX * n / np.maximum(c, 1)[keys // size] + rest[keys // size] * p[keys % size]), np.log(p), np.log(rest)))
     background, aim = models
-    return Models(words, word_ids, keys, (aim[0], background[0]), (aim[1], background[1]), (aim[2], background[2]))
+    return Models(words, ids, keys, (aim[0], background[0]), (aim[1], background[1]), (aim[2], background[2]))
+
+
+def _logs(pairs: DataFrame) -> DataFrame:
+    """(key, n, lt, lb): each bigram's logarithms under the target and the background model, as multiples of 1 / UNIT."""
+    words = stash(pairs.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt")), "words")
+    n, all_n, all_t = words.agg(F.sum((F.col("w") != END).cast("long")), F.sum("wn"), F.sum("wt")).first()
+    # each word is a history as often as it occurs, and the start as often as the end
+    histories = words.select(F.when(F.col("w") == END, START).otherwise(F.col("w")).alias("h"), F.col("wn").alias("hn"), F.col("wt").alias("ht"))
+    size = FIRST + (n or 0)
+
+    def log(c: str, own: str, before: str, total: int):
+        p = (F.col(own) + 1) / F.lit(float((total or 0) + size))
+        mixed = F.when(F.col(before) > 0, MIX * F.col(c) / F.col(before) + (1 - MIX) * p).otherwise(p)
+        return F.round(F.log(mixed) * UNIT).cast("long")
+
+    both = pairs.join(words, "w").join(histories, "h")
+    return both.select("key", "n", log("t", "wt", "ht", all_t).alias("lt"), log("n", "wn", "hn", all_n).alias("lb"))
 
 
 def _score(held):
+    """Per text the sums over bigrams that ``held`` has, under an even key; and each other bigram with its count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Models = held.value
-        size = FIRST + len(m.words)
+        keys, *logs = held.value
         for batch in batches:
-            n, losses = [], ([], [])
-            with np.errstate(over="ignore"):
-                for _, texts in kernels.buffers(batch.column("text").to_pylist()):
-                    words, bounds = kernels.hash_words(texts, kernels.WORD_NOT_SPACE)
-                    history, word, text = _encoded(words, bounds, m.words, m.ids)
-                    key = history * size + word
-                    at = np.minimum(np.searchsorted(m.keys, key), max(len(m.keys) - 1, 0))
-                    found = m.keys[at] == key if len(m.keys) else np.zeros(len(key), bool)
-                    tokens = np.diff(bounds) + 1
-                    n += (tokens - 1).tolist()
-                    for out, kept, single, rest in zip(losses, m.kept, m.single, m.rest):
-                        log = single[word] + rest[history]
-                        log[found] = kept[at[found]]
-                        out += (-np.bincount(text, log, len(tokens)) / tokens).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in losses)], ["doc_id", "n_words", "target_loss", "background_loss"])
+            row = batch.column("row").to_numpy()
+            for first, texts, (key, _, _, text) in _runs(batch):
+                key = key.view(np.int64)
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                edge = np.searchsorted(text[found], np.arange(texts + 1))
+                sums = [np.diff(np.concatenate(([0], np.cumsum(x[at[found]])))[edge]) for x in logs]
+                key, text = key[~found], text[~found]
+                order = np.lexsort((key, text))
+                key, text = key[order], text[order]
+                start = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(text, prepend=-1) != 0))
+                owner = row[first + np.concatenate((np.arange(texts), text[start]))]
+                nothing = np.zeros(len(start), np.int64)
+                columns = [
+                    owner,
+                    np.concatenate((row[first : first + texts] << 1, key[start])),
+                    np.concatenate((np.diff(edge), np.diff(np.append(start, len(key))))),
+                    *(np.concatenate((x, nothing)) for x in sums),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["row", "key", "tokens", "st", "sb"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, held: int = HELD) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row of ``docs`` (doc_id, text; other columns are ignored).
 
     Losses are nats per token, the end of the text included, so null and empty texts have a loss too (of the end alone).
@@ -181,8 +174,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     is uniform.  Rows with a null doc_id are scored; repeated rows each count and get the same score.  An empty table
     gives no rows.
     """
-    bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, target))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = rows.mapInArrow(_score(held), "doc_id long, n_words long, target_loss double, background_loss double")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = _flagged(docs, target)
+    logs = stash(_logs(_counts(rows)), "logs")
+    top = logs.orderBy(F.desc("n"), "key").limit(held).select("key", "lt", "lb").toArrow()
+    order = np.argsort(top["key"].to_numpy())
+    sent = spark.sparkContext.broadcast(tuple(top[c].to_numpy()[order] for c in ("key", "lt", "lb")))
+    parts = rows.select("row", "text").mapInArrow(_score(sent), "row long, key long, tokens long, st long, sb long")
+    parts = parts.join(logs.drop("n"), "key", "left")
+    sums = parts.groupBy("row").agg(
+        F.sum("tokens").alias("tokens"),
+        *(F.sum(F.col(s) + F.coalesce(F.col(x) * F.col("tokens"), F.lit(0))).alias(s) for s, x in (("st", "lt"), ("sb", "lb"))),
+    )
+    loss = [(-F.col(s) / UNIT / F.col("tokens")).alias(name) for s, name in (("st", "target_loss"), ("sb", "background_loss"))]
+    scored = rows.select("row", "doc_id").join(sums, "row").select("doc_id", (F.col("tokens") - 1).alias("n_words"), *loss)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
