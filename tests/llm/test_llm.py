@@ -287,6 +287,19 @@ def test_toxicity_tolerates_gaps(spark):
     assert toxicity.keep_clean(df, labels).columns == df.columns
 
 
+def test_toxicity_learns_from_rare_words(spark):
+    rnd = random.Random(2)
+    word = lambda n=7: "".join(rnd.choice("aeioulnrst") for _ in range(n))
+    often = sorted({word() for _ in range(43_000)})  # each in two texts or more, unlike any word with the insult
+    assert len(often) > 40_000
+    clean = [" ".join(often[i::400]) for i in range(400)] * 2
+    texts = clean + [" ".join([*rnd.sample(often, 20), f"{word(2)}blorgh{word(3)}"]) for _ in range(400)]
+    labels = spark.createDataFrame([(i, int(i >= 800)) for i in range(1200)], "doc_id long, toxic int")
+    df = made(spark, [*texts, f"{often[5]} zzblorghzz {often[7]}", f"{often[5]} {often[7]}"])
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df, labels).where("doc_id >= 1200").collect()}
+    assert got == {1200: 1, 1201: 0}
+
+
 # ---- 7: decontamination
 
 

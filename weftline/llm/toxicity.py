@@ -15,7 +15,6 @@ An SVM over landmarks is linear in the subsequences of the landmarks, so the tra
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +26,8 @@ from pyspark.sql import functions as F
 from . import kernels
 from .shared import bounded_batches, stash
 
-#: Length and decay of the kernel's gaps; landmarks; labelled texts of each class that training reads at most; words that
-#: the driver reads at most; rounds of training.
-SPAN, DECAY, LANDMARKS, SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS, ROUNDS = 6, 0.7, 160, 4000, 8000, 40_000, 3
+#: Length and decay of the kernel's gaps; landmarks; labelled texts of each class that training reads at most; rounds of training.
+SPAN, DECAY, LANDMARKS, SAMPLE_TOXIC, SAMPLE_CLEAN, ROUNDS = 6, 0.7, 160, 4000, 8000, 3
 
 _CODES = 128
 
@@ -149,24 +147,72 @@ def _features(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps over the active rows. Each row counts for both classes, by these weights."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * ridge * (plus.sum() + minus.sum()) / 10
+def _newton(sums, size: int, total: float, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps. ``sums`` gives the matrix and the vector of the active rows at some factors."""
+    beta = np.zeros(size)
+    penalty = np.eye(size) * ridge * total / 10
     penalty[-1, -1] *= 1e-3
     for _ in range(25):
-        value = x @ beta
-        up, down = plus * (value < 1), minus * (value > -1)
-        rows = up + down > 0
-        part = x[rows]
-        new = np.linalg.solve(part.T @ (part * (up + down)[rows, None]) + penalty, part.T @ (up - down)[rows])
+        matrix, vector = sums(beta)
+        new = np.linalg.solve(matrix + penalty, vector)
         if np.allclose(new, beta, atol=1e-6):
             break
         beta = new
     return beta[:-1], float(beta[-1])
 
 
+def _active(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of one Newton step. Each row counts for both classes, by these weights."""
+    value = x @ beta
+    up, down = plus * (value < 1), minus * (value > -1)
+    rows = up + down > 0
+    part = x[rows]
+    return part.T @ (part * (up + down)[rows, None]), part.T @ (up - down)[rows]
+
+
+def _svm(x: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, float]:
+    """The SVM of rows on the driver."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    return _newton(lambda beta: _active(x, plus, minus, beta), x.shape[1], plus.sum() + minus.sum())
+
+
+def _kernel_rows(marks: list[bytes]):
+    """Each word's kernel with the landmarks as the bytes of single-precision numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _features(batch.column("word").to_pylist(), marks)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary()), batch.column("t"), batch.column("c")], ["kernel", "t", "c"])
+
+    return run
+
+
+def _svm_of_words(words: DataFrame, marks: list[bytes], whiten: np.ndarray, texts: tuple[int, int]) -> tuple[np.ndarray, float]:
+    """The SVM of all ``words`` (word, t, c); the driver gets sums alone, of landmarks by landmarks."""
+    rows = stash(words.mapInArrow(_kernel_rows(marks), "kernel binary, t long, c long"), "kernels")
+    size = whiten.shape[1] + 1
+    total = rows.agg(F.sum("t"), F.sum("c")).first()
+
+    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix, vector = np.zeros((size, size)), np.zeros(size)
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column("kernel").to_pylist()), np.float32).reshape(batch.num_rows, -1)
+                x = np.hstack([x @ whiten, np.ones((len(x), 1))])
+                more = _active(x, batch.column("t").to_numpy() / texts[0], batch.column("c").to_numpy() / texts[1], beta)
+                matrix += more[0]
+                vector += more[1]
+            yield pa.RecordBatch.from_arrays([pa.array([matrix.tobytes()], pa.binary()), pa.array([vector.tobytes()], pa.binary())], ["matrix", "vector"])
+
+        matrix, vector = np.zeros((size, size)), np.zeros(size)
+        for x in rows.mapInArrow(run, "matrix binary, vector binary").toLocalIterator():
+            matrix += np.frombuffer(x["matrix"]).reshape(size, size)
+            vector += np.frombuffer(x["vector"])
+        return matrix, vector
+
+    return _newton(sums, size, total[0] / texts[0] + total[1] / texts[1])
+
+
 def _logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve through 0/1 labels, slightly smoothed."""
     x, target = np.stack([value, np.ones(len(value))], 1), np.clip(y, 0.01, 0.99)
@@ -211,28 +257,34 @@ def _worst(held):
     return run
 
 
-def _landmarks(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], limit: int) -> list[bytes]:
-    """Strings that set toxic texts apart: five-byte pieces of words and whole words, by the gap between their rates."""
-    seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-    for w, t, c in zip(words, toxic.tolist(), clean.tolist()):
-        for piece in {w, *(w[i : i + 5] for i in range(len(w) - 4))}:
-            seen[0][piece] += t
-            seen[1][piece] += c
-    pieces = list(seen[0])
-    counts = np.array([[side[p] for side in seen] for p in pieces])
-    rate = (counts + 0.5) / (np.array(texts) + 1.0)
-    value = (rate[:, 0] - rate[:, 1]) / np.sqrt(rate.mean(1) / min(texts))
-    order = np.lexsort((np.arange(len(pieces)), -value))
-    chosen = [pieces[i] for i in order[: limit * 3 // 4]]
-    common = np.argsort(-clean, kind="stable")[: limit - len(chosen)]
-    return list(dict.fromkeys([*chosen, *(words[i] for i in common.tolist())]))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word and its five-byte pieces, with the word's counts."""
+    for batch in batches:
+        own = [{w, *(w[i : i + 5] for i in range(len(w) - 4))} for w in batch.column("word").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for pieces in own for x in pieces], pa.binary()), batch.column("t").take(at), batch.column("c").take(at)], ["piece", "t", "c"])
+
+
+def _common(words: DataFrame, limit: int) -> list[bytes]:
+    """The words of the most clean texts."""
+    return [bytes(x["word"]) for x in words.orderBy(F.desc("c"), F.desc("t"), F.xxhash64("word"), "word").limit(limit).select("word").collect()]
+
+
+def _landmarks(words: DataFrame, texts: tuple[int, int], limit: int) -> list[bytes]:
+    """Strings that set toxic texts apart: five-byte pieces of words and whole words, by the gap between their rates, of all ``words`` (word, t, c)."""
+    pieces = words.mapInArrow(_pieces, "piece binary, t long, c long").groupBy("piece").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    toxic, clean = ((F.col(x) + 0.5) / (n + 1.0) for x, n in zip("tc", texts))
+    value = (toxic - clean) / F.sqrt((toxic + clean) / 2 / min(texts))
+    best = pieces.orderBy(F.desc(value), F.desc(F.col("t") + F.col("c")), F.xxhash64("piece"), "piece").limit(limit * 3 // 4)
+    chosen = [bytes(x["piece"]) for x in best.select("piece").collect()]
+    return list(dict.fromkeys([*chosen, *_common(words, limit - len(chosen))]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on rows of ``labels`` (doc_id, toxic) outside the held-out fold, at most SAMPLE_TOXIC and SAMPLE_CLEAN texts.
 
-    The driver gets counts of at most SAMPLE_WORDS words and one word of each sampled text, never texts.  None without
-    labelled texts of both classes.
+    All words of these texts count.  The driver gets landmarks, sums of landmarks by landmarks, 5,000 common words and
+    one word of each sampled text, never texts.  None without labelled texts of both classes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -245,12 +297,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(sizes) < 2:
         return None
     stats = texts.select("text", "toxic").mapInArrow(_distinct_words, "word binary, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    stats = stats.select("word", "t", (F.col("n") - F.col("t")).alias("c")).orderBy(F.desc(F.col("t") + F.col("c")), F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()
-    words = [bytes(x["word"]) for x in stats]
-    if not words:
+    words = stash(stats.select("word", "t", (F.col("n") - F.col("t")).alias("c")), "words")
+    common = _common(words, 5000)
+    if not common:
         return None
-    toxic, clean = np.array([x["t"] for x in stats], float), np.array([x["c"] for x in stats], float)
-    marks = _landmarks(words, toxic, clean, (sizes[1], sizes[0]), LANDMARKS)
+    counts = (sizes[1], sizes[0])
+    marks = _landmarks(words, counts, LANDMARKS)
     gram = _features(marks, marks).astype(np.float64)
     gram = (gram + gram.T) / 2
     low, axes = np.linalg.eigh(gram)
@@ -258,8 +310,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     whiten = axes[:, keep] / np.sqrt(low[keep])
 
     # round one: each word of the sample counts for both classes, by its share of their texts
-    x = _features(words, marks) @ whiten
-    beta, bias = _svm(x, toxic / sizes[1], clean / sizes[0])
+    beta, bias = _svm_of_words(words, marks, whiten, counts)
     for turn in range(ROUNDS):
         weights = _primal(marks, whiten @ beta)
         rows = texts.select(F.col("toxic").alias("key"), "text").mapInArrow(_worst(spark.sparkContext.broadcast(weights)), "key long, value double, word binary").where("word is not null").collect()
@@ -270,8 +321,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         worst, back = np.unique(np.array([bytes(x["word"]) for x in rows], object), return_inverse=True)
         t, n = np.bincount(back, label, len(worst)), np.bincount(back, minlength=len(worst))
         witness = list(worst)
-        common = np.argsort(-clean, kind="stable")[:5000]
-        x = np.vstack([_features(witness, marks), _features([words[i] for i in common], marks)]) @ whiten
+        x = np.vstack([_features(witness, marks), _features(common, marks)]) @ whiten
         plus = np.concatenate([t / label.sum(), np.zeros(len(common))])
         minus = np.concatenate([(n - t) / (len(label) - label.sum()), np.full(len(common), 0.5 / len(common))])
         beta, bias = _svm(x, plus, minus)
