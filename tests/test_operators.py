@@ -1,5 +1,7 @@
 """Edge cases of operators and functions."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,15 @@ def test_reach_ends_on_cycles(spark):
     assert {(r.node, r.distance) for r in graph.reach(edges, seeds, 6).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_circuits_of_any_length(spark):
+    nodes = "abcde"
+    edges = spark.createDataFrame([(x, y, 1 + 5 * nodes.index(x) + nodes.index(y)) for x in nodes for y in nodes], "src string, dst string, n long")
+    n = lambda x, y: 1 + 5 * nodes.index(x) + nodes.index(y)
+    every = [p for size in range(1, 6) for p in itertools.permutations(nodes, size) if p[0] == min(p)]
+    got = [(tuple(r.path), r.least) for r in graph.circuits(edges).collect()]
+    assert len(every) == 89 and sorted(got) == sorted((p, min(n(x, y) for x, y in zip(p, p[1:] + p[:1]))) for p in every)
+
+
 def test_sessions_and_rate(spark):
     rows = spark.sql("SELECT 1 AS u, id AS e, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 40) AS ts FROM range(3)")
     assert [r.session for r in logs.sessions(rows, "u", "ts", 1800, "e").orderBy("e").collect()] == [1, 2, 3]

@@ -40,5 +40,22 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, n: int |
     return rank
 
 
+def circuits(edges: DataFrame) -> DataFrame:
+    """(path, least): every elementary circuit of (src, dst, n) once, from its smallest node, with the least n on it; loops are circuits of one node.
+
+    Paths grow by a join until none is left. Edges are distinct; their nodes are not null."""
+    e = edges.select("src", "dst", "n")
+    found = e.where("src = dst").select(F.array("src").alias("path"), F.col("n").alias("least"))
+    paths = e.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"), F.col("n").alias("least"))
+    while True:
+        if _checkpointed(edges):
+            paths = paths.checkpoint()
+        if paths.isEmpty():
+            return found
+        more = paths.join(e, paths.node == e.src).withColumn("least", F.least("least", "n"))
+        found = found.union(more.where("dst = start").select("path", "least"))
+        paths = more.where("dst > start and not array_contains(path, dst)").select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), "least")
+
+
 def _checkpointed(df: DataFrame) -> bool:
     return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import graph, search
 from ..sources import table
 
 
@@ -77,6 +77,12 @@ def simple_cycles(spark, sf):
     return two.union(three)
 
 
+def elementary_circuits(spark, sf):
+    """All circuits of event types in the moves of users, of any length and loops too, as in simple_cycles."""
+    e = transitions(spark, sf).where("event_type is not null").select(F.col("event_type").alias("src"), F.col("next").alias("dst"), "n")
+    return graph.circuits(e).select(F.array_join("path", ">").alias("cycle"), "least")
+
+
 def transitive_reduction(spark, sf):
     """Order of part sizes within a brand: of all pairs a < b, those that no size lies between."""
     sizes = table(spark, sf, "part").select("p_brand", "p_size").distinct()
@@ -92,7 +98,7 @@ def numbers_in_text(spark, sf):
     return rows.select("doc_id", F.size("f").alias("n"), F.array_max(F.transform("f", lambda x: F.length(x))).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (typed_props, name_hashes, order_kinds, cluster_features, group_fingerprints, perimeter_rescale, transitions, simple_cycles, transitive_reduction, numbers_in_text)}
+QUERIES = {f.__name__: f for f in (typed_props, name_hashes, order_kinds, cluster_features, group_fingerprints, perimeter_rescale, transitions, simple_cycles, elementary_circuits, transitive_reduction, numbers_in_text)}
 
 _T = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')"
 _MOVES = """m AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events), c AS (SELECT event_type, next, count(*) AS n FROM m WHERE next IS NOT NULL GROUP BY ALL)"""
@@ -113,6 +119,10 @@ SQL = {
     "simple_cycles": f"""WITH {_MOVES}, e AS (SELECT event_type AS a, next AS b, n FROM c WHERE event_type <> next)
         SELECT x.a || '>' || x.b AS cycle, least(x.n, y.n) AS least FROM e x JOIN e y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
         UNION ALL SELECT x.a || '>' || x.b || '>' || y.b, least(x.n, y.n, z.n) FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b""",
+    "elementary_circuits": f"""WITH RECURSIVE {_MOVES}, e AS (SELECT event_type AS a, next AS b, n FROM c WHERE event_type IS NOT NULL),
+        p AS (SELECT a AS start, b AS node, [a, b] AS path, n AS lo FROM e WHERE a < b
+              UNION ALL SELECT start, e.b, list_append(path, e.b), least(lo, e.n) FROM p JOIN e ON node = e.a WHERE e.b > start AND NOT list_contains(path, e.b))
+        SELECT a AS cycle, n AS least FROM e WHERE a = b UNION ALL SELECT array_to_string(path, '>'), least(lo, e.n) FROM p JOIN e ON node = e.a AND e.b = start""",
     "transitive_reduction": "SELECT p_brand, a, b FROM (SELECT p_brand, p_size AS a, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS b FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE b IS NOT NULL",
     "numbers_in_text": "SELECT doc_id, len(f)::INT AS n, list_max(list_transform(f, lambda x: length(x)))::INT AS longest FROM (SELECT doc_id, regexp_extract_all(text, '[0-9][0-9,.]*[KMB]?') AS f FROM documents) WHERE len(f) > 0",
 }
