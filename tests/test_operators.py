@@ -83,6 +83,15 @@ def test_reach_ends_on_cycles(spark):
     assert {(r.node, r.distance) for r in graph.reach(edges, seeds, 6).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_pagerank_makes_thirty_rounds(spark):
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c")]
+    rank = dict.fromkeys("abcd", 0.25)
+    for _ in range(30):
+        rank = {v: 0.15 / 4 + 0.85 * sum(rank[x] / sum(y == x for y, _ in links) for x, w in links if w == v) for v in rank}
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame(links, "src string, dst string")).collect()}
+    assert got == pytest.approx(rank, abs=1e-9)
+
+
 def test_circuits_of_any_length(spark):
     nodes = "abcde"
     edges = spark.createDataFrame([(x, y, 1 + 5 * nodes.index(x) + nodes.index(y)) for x in nodes for y in nodes], "src string, dst string, n long")

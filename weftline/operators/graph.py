@@ -25,7 +25,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return flat.groupBy("x.node").agg(F.sum("x.i").alias("n_in"), F.sum("x.o").alias("n_out"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, n: int | None = None, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, n: int | None = None, checkpoint_every: int = 5) -> DataFrame:
     """(node, rank) after fixed rounds from a uniform start. Parallel edges count; mass of nodes without out-edges is dropped."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n = n or nodes.count()

@@ -66,11 +66,20 @@ def candidate_targets(spark, sf):
     return every.join(near, "node", "left_anti")
 
 
+def _both_ways(spark, sf):
+    """Nations and customers, edges both ways."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst"))
+    return c.union(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def pagerank(spark, sf):
     """PageRank of nations and customers after ten rounds, edges both ways, dangling mass dropped."""
-    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst"))
-    edges = c.union(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.pagerank(edges, rounds=10).select("node", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(_both_ways(spark, sf), rounds=10).select("node", F.round("rank", 8).alias("rank"))
+
+
+def pagerank_settled(spark, sf):
+    """The same after thirty rounds, as many as the original makes."""
+    return graph.pagerank(_both_ways(spark, sf), rounds=30).select("node", F.round("rank", 8).alias("rank"))
 
 
 def causal_chain(spark, sf):
@@ -87,7 +96,7 @@ def two_step_suppliers(spark, sf):
     return lines.join(s, lines.l_suppkey == s.s_suppkey).groupBy("n_regionkey", "l_partkey").agg(F.count("*").alias("n_suppliers"), F.sum("n").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (bfs_khop, forward_reachable, upstream_walk, degree_peripheral, incident_edges, sources_sinks, candidate_targets, pagerank, causal_chain, two_step_suppliers)}
+QUERIES = {f.__name__: f for f in (bfs_khop, forward_reachable, upstream_walk, degree_peripheral, incident_edges, sources_sinks, candidate_targets, pagerank, pagerank_settled, causal_chain, two_step_suppliers)}
 
 _E = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
 _W = f"""{_E}, w AS (SELECT 'r' || r_regionkey AS origin, 'r' || r_regionkey AS node, 0 AS distance FROM region UNION ALL SELECT origin, dst, distance + 1 FROM w JOIN e ON node = src WHERE distance < 3),
@@ -114,6 +123,7 @@ SQL = {
     "sources_sinks": "SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "candidate_targets": "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey <> 0",
     "pagerank": _pagerank_sql(),
+    "pagerank_settled": _pagerank_sql(30),
     "causal_chain": "SELECT conv_id, string_agg(turn || ':' || role, '>' ORDER BY turn) AS chain, count(*)::INT AS n FROM conversations GROUP BY conv_id",
     "two_step_suppliers": """SELECT n_regionkey, l_partkey, count(*) AS n_suppliers, sum(n)::BIGINT AS n_lines FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""",
