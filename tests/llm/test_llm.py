@@ -221,12 +221,14 @@ def test_packing(spark, docs):
 
 def test_index_equals_bm25_by_hand():
     docs = [np.array(x, np.uint16) for x in ([1, 1, 2], [2, 3], [1, 3, 3, 3])]
-    idf = np.array([0, 0.5, 0.7, 0.9])
-    described = [packing._weights(d, idf, 3.0) for d in docs]
-    scores = packing.Index(described).ask(np.array([1, 3]))
-    for d, s in zip(docs, scores):
-        want = sum(idf[t] * (tf := (d == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 3)) for t in (1, 3))
-        assert abs(want - s) < 1e-12
+    idf, n = np.array([0, 0.5, 0.7, 0.9]), np.array([3, 2, 4])
+    index = packing.Index(np.concatenate(docs), n, idf, 3.0)
+    for k, query in enumerate(docs):
+        for d, s in zip(docs, index.ask(k)):
+            want = sum(idf[t] * (tf := (d == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 3)) for t in set(query.tolist()))
+            assert abs(want - s) < 1e-12
+    strongest = index.ask(2, 1)  # term 3
+    assert strongest[0] == 0 and strongest[1] > 0
 
 
 # ---- 5: HTML

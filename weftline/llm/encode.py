@@ -16,8 +16,9 @@ from tokenizers import Tokenizer
 
 from . import kernels
 
-#: Distinct pieces that a worker keeps before it starts anew; longer pieces than ``KEPT_BYTES`` are not kept.
-KEPT_PIECES, KEPT_BYTES = 2_000_000, 64
+#: Distinct pieces that a worker keeps before it starts anew; longer pieces than ``KEPT_BYTES`` are not kept. Texts are
+#: encoded in runs of about ``RUN_BYTES``.
+KEPT_PIECES, KEPT_BYTES, RUN_BYTES = 500_000, 64, 1 << 20
 
 #: Texts on which cutting must agree with the library before it is used.
 PROBES = (
@@ -32,14 +33,20 @@ PROBES = (
 #: A piece is a run without blank and line end.
 _PIECE = np.ones(256, dtype=bool)
 _PIECE[[10, 32]] = False
-_SAME = np.arange(256, dtype=np.uint8)
+#: Bytes of ASCII letters and of the signs that may follow a plain word.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGNS = ".,;:!?#$%&*()-"
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[ord(x) for x in _SIGNS]] = True
 #: Parts two pieces in one call of the library; it has ids of its own and doesn't affect the pieces beside it.
 _MARK = {"apart": " \x01 ", "before": "\n\x01"}
 
 
 #: Pieces of letters (ASCII and Latin-1) and signs after them. They are words for the model as they stand, so the steps
-#: before it can be left out; that this agrees with the library is tried on ``PLAIN_PROBES``.
-_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()\-]*)")
+#: before it can be left out, and the signs are a piece of their own; that this agrees with the library is tried on
+#: ``PLAIN_PROBES``.
+_PLAIN = re.compile(rf"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(_SIGNS)}]*)")
 PLAIN_PROBES = (" Hello", "\nWorld", " Straße,", " élève###", "\nÜber%%%", " a", " I.", " DONT!?", " ñandú&&&", " (", " x-")
 
 
@@ -67,20 +74,31 @@ class Encoder:
         else:
             self.mode = None
         probes = [x if self.mode == "before" else x.strip() for x in PLAIN_PROBES]
-        self.plain = self.mode is not None and all(self._model_ids(x) in (None, self._ids(x)) for x in probes)
+        self.plain = self.mode is not None and all(self._probe(x) in (None, self._ids(x)) for x in probes)
         self._clear()
 
+    def _probe(self, piece: str) -> list[int] | None:
+        m = _PLAIN.fullmatch(piece)
+        return m and [i for x in (m[1] + m[2], m[3]) if x for i in (self._model_ids(x) or [-1])]
+
     def _model_ids(self, piece: str) -> list[int] | None:
-        """Ids of a plain piece straight from the model; None if the piece isn't plain."""
+        """Ids of a plain word or of signs straight from the model; None for any other piece."""
         m = _PLAIN.fullmatch(piece)
         if m is None:
+            if piece.strip(_SIGNS):
+                return None
+            words = [piece]
+        elif m[3]:
             return None
-        lead, word, signs = m.groups()
-        if self.mode == "apart":
-            words = [word.lower(), signs]
+        elif self.mode == "apart":
+            words = [m[2].lower()]
+        elif m[1] == "\n":
+            words = ["\n", m[2]]
         else:
-            words = [" " + word, signs] if lead == " " else [lead, word, signs]
-        return [t.id for w in words if w for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_BYTES))]
+            words = [piece]
+        if not piece.isascii():
+            words = [w.encode().decode("latin-1") for w in words]
+        return [t.id for w in words for t in self.tokenizer.model.tokenize(w.translate(_BYTES))]
 
     def _agrees(self) -> bool:
         ids, size = self.encode(PROBES)
@@ -100,7 +118,7 @@ class Encoder:
         if self.mode is None:
             return self._encode_each(list(texts))
         parts, size = [np.zeros(0, np.uint32)], []
-        for first, run in kernels.buffers(texts, 4 << 20):
+        for first, run in kernels.buffers(texts, RUN_BYTES):
             ids, n = self._encode_run(run)
             if self.mode == "before":
                 odd = [i for i, x in enumerate(run) if x[-1:] in (b" ", b"\n") or b"  " in x or b"\n\n" in x or b" \n" in x or b"\n " in x]
@@ -115,13 +133,24 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(size) if size else np.zeros(0, np.int64)
 
     def _encode_run(self, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = b" ".join(run) + b" "
+        buf = np.frombuffer(raw, np.uint8)
+        at_text = np.concatenate(([0], np.cumsum([len(x) + 1 for x in run])))
+        starts, ends = kernels.spans(_PIECE[buf])
+        joined = np.zeros(0, np.int64)
+        if self.plain:  # signs after a letter are a piece that is joined to the one before it
+            tail = np.maximum.accumulate(np.where(_SIGN[buf], 0, np.arange(len(buf))))[ends - 1] + 1
+            cut = np.flatnonzero((tail > starts) & (tail < ends))
+            last, before = buf[tail[cut] - 1], buf[np.maximum(tail[cut] - 2, 0)]
+            cut = cut[_LETTER[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]
+            joined = cut + np.arange(1, len(cut) + 1)
+            starts, ends = np.insert(starts, cut + 1, tail[cut]), np.insert(ends, cut, tail[cut])
+        bounds = np.searchsorted(starts, at_text)
         with np.errstate(over="ignore"):
-            hashes, bounds, starts, ends = kernels.hash_words(run, _PIECE, _SAME, spans=True)
-            raw = b" ".join(run) + b" "
-            if self.mode == "before":  # a piece has the blank or line end before it; the first of a text has neither
-                kind = np.frombuffer(raw, np.uint8)[np.maximum(starts - 1, 0)].astype(np.uint64)
-                at_text = np.concatenate(([0], np.cumsum([len(x) + 1 for x in run])[:-1]))
-                kind[np.isin(starts, at_text)] = 1
+            hashes = kernels.hash_spans(buf, starts, ends)
+            if self.mode == "before":  # a piece has the blank or line end before it; the first of a text has neither, nor have joined ones
+                kind = buf[np.maximum(starts - 1, 0)].astype(np.uint64)
+                kind[np.isin(starts, at_text)] = kind[joined] = 1
                 hashes = kernels.mix64(hashes + kind)
         codes, distinct = pd.factorize(hashes)
         if len(self.ends) > KEPT_PIECES:
@@ -138,8 +167,17 @@ class Encoder:
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             first = first[new]
             lead = (kind[first] != 1).astype(int) if self.mode == "before" else np.zeros(len(new), int)
-            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip((starts[first] - lead).tolist(), ends[first].tolist())]
-            ids, size = self._encode_new(pieces, lead)
+            letters = np.concatenate(([0], np.cumsum(_LETTER[buf])))
+            plain = letters[ends[first]] - letters[starts[first]] == ends[first] - starts[first]
+            if self.mode == "before":
+                plain &= kind[first] != 10
+            order = np.argsort(~(plain & self.plain), kind="stable")  # plain ASCII words first
+            new, first, lead, n = new[order], first[order], lead[order], int((plain & self.plain).sum())
+            ids, size = self._encode_words(raw, starts[first[:n]], ends[first[:n]], lead[:n])
+            if n < len(new):
+                pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip((starts[first] - lead)[n:].tolist(), ends[first[n:]].tolist())]
+                more = self._encode_new(pieces, lead[n:])
+                ids, size = np.concatenate([ids, more[0]]), np.concatenate([size, more[1]])
             known[new] = len(edge) - 1 + np.arange(len(new))
             flat, edge = np.concatenate([flat, ids]), np.concatenate([edge, edge[-1] + np.cumsum(size)])
             short = ends[first] - starts[first] <= KEPT_BYTES
@@ -161,6 +199,16 @@ class Encoder:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
+    def _encode_words(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words of ASCII letters, straight from the model; those with a lead have a blank before them."""
+        tokenize, mark = self.tokenizer.model.tokenize, ("", _BYTES[32])
+        if self.mode == "apart":
+            found = [tokenize(raw[a:b].decode().lower()) for a, b in zip(starts.tolist(), ends.tolist())]
+        else:
+            found = [tokenize(mark[x] + raw[a:b].decode()) for a, b, x in zip(starts.tolist(), ends.tolist(), lead.tolist())]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((t.id for x in found for t in x), np.uint32, int(size.sum())), size
+
     def _encode_new(self, pieces: list[str], lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces; in mode "before", those without a lead, which could run into a mark, are encoded one by one."""
         order, flat, sizes = [], [], []

@@ -54,36 +54,52 @@ def buffers(texts: Sequence[str | None], limit: int = BUFFER_BYTES) -> Iterator[
 
 
 _POWERS: list[np.ndarray] = []
+#: Powers that a worker keeps; bytes are hashed in blocks of about as many.
+KEPT_POWERS = 1 << 20
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of an odd factor and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 19)
-        factors = (_BASE, _U(pow(int(_BASE), -1, 1 << 64)))
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([_U(1)], np.full(size - 1, x)))) for x in factors]
-    return _POWERS
-
-
-def hash_words(run: list[bytes], table: np.ndarray, fold: np.ndarray = LOWER, spans: bool = False) -> tuple[np.ndarray, ...]:
-    """Hashes of all words in ``run`` after folding bytes, and the bounds of each text in them (len(run) + 1 values);
-    with ``spans`` also where each word begins and ends in the texts joined by one byte."""
-    buf = fold[np.frombuffer(b" ".join(run) + b" ", dtype=np.uint8)]
-    inside = table[buf]
+    """The first n powers or more of an odd factor and of its inverse modulo 2**64. More than KEPT_POWERS are not kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    size = max(n, KEPT_POWERS // 2)
+    factors = (_BASE, _U(pow(int(_BASE), -1, 1 << 64)))
+    made = [np.multiply.accumulate(np.concatenate(([_U(1)], np.full(size - 1, x)))) for x in factors]
+    if size <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made
+
+
+def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true values begin and end; the last value is false."""
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
+    if len(inside) and inside[0]:
         edge = np.concatenate(([0], edge))
-    starts, ends = edge[0::2], edge[1::2]
-    text_ends = np.cumsum([len(x) + 1 for x in run])
-    bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
-    if not len(starts):
-        return (np.zeros(0, np.uint64), bounds, starts, ends) if spans else (np.zeros(0, np.uint64), bounds)
-    power, inverse = _powers(len(buf))
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    words = (total[ends] - total[starts]) * inverse[starts]
-    words = mix64(words + (ends - starts).astype(np.uint64))
-    return (words, bounds, starts, ends) if spans else (words, bounds)
+    return edge[0::2], edge[1::2]
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a buffer, which ascend and don't overlap. Worked off in blocks, so that a very long text needs no more memory."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    low = 0
+    while low < len(starts):
+        at = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, at + KEPT_POWERS // 2, "right")))
+        part, s, e = buf[at : int(ends[high - 1])], starts[low:high] - at, ends[low:high] - at
+        power, inverse = _powers(len(part))
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
+        out[low:high] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        low = high
+    return out
+
+
+def hash_words(run: list[bytes], table: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in ``run`` after folding bytes, and the bounds of each text in them (len(run) + 1 values)."""
+    buf = fold[np.frombuffer(b" ".join(run) + b" ", dtype=np.uint8)]
+    starts, ends = spans(table[buf])
+    bounds = np.concatenate(([0], np.searchsorted(starts, np.cumsum([len(x) + 1 for x in run]))))
+    return hash_spans(buf, starts, ends), bounds
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
