@@ -356,21 +356,18 @@ def test_lm_scores_tell_quality(spark):
     assert np.mean(np.array(good)[:, None] < np.array(bad)) > 0.95
 
 
-def test_lm_is_a_distribution(spark):
-    df = made(spark, ["a b a c", "a b", "c c c", None, ""])
-    m = lm_scoring.train(df, spark.createDataFrame([(0,), (77,)], "doc_id long"))
-    size = lm_scoring.FIRST + len(m.words)
-    for kept, single, rest in zip(m.kept, m.single, m.rest):
-        p = np.exp(single)[None, :] * np.exp(rest)[:, None]
-        p[m.keys // size, m.keys % size] = np.exp(kept)
-        assert (p.sum(1) < 1 + 1e-5).all() and (p > 0).all()
-    scored = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([], "doc_id long")).collect()
-    assert [r.n_words for r in sorted(scored, key=lambda r: r.doc_id)] == [4, 2, 3, 0, 0]
-    assert lm_scoring.cross_entropy_difference(df.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
-
-
-@pytest.mark.parametrize("held", [0, 5, 1000])
-def test_lm_counts_every_word_bigram_and_target(spark, held):
+def test_lm_edge_cases(spark):
+    df = made(spark, ["a b a c", "a b", "c c c", None, "", LONG])
+    none = spark.createDataFrame([], "doc_id long")
+    scored = lm_scoring.cross_entropy_difference(df, none).collect()
+    assert [r.n_words for r in sorted(scored, key=lambda r: r.doc_id)] == [4, 2, 3, 0, 0, 30_000]
+    uniform = np.log(30_015 + 7)  # tokens and vocabulary
+    assert all(abs(r.target_loss - np.log(3 + 4)) < 1e-9 and r.background_loss < uniform for r in scored)
+    assert lm_scoring.cross_entropy_difference(df.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("chunk, bucket", [(1 << 23, 1 << 21), (20_000, 10_000)])
+def test_lm_counts_every_word_bigram_and_target(spark, chunk, bucket):
     rnd = random.Random(3)
     texts = [" ".join(f"w{int(rnd.paretovariate(0.3)) % 20_000}" for _ in range(rnd.randrange(9))) for _ in range(30_000)] + [None, ""]
     good = set(range(0, 60_000, 2)) - set(range(100))
@@ -392,7 +389,7 @@ def test_lm_counts_every_word_bigram_and_target(spark, held):
             out -= np.log(0.7 * pairs[side].get((h, w), 0) / c + 0.3 * p if c else p)
         return out / len(tokens(t))
 
-    got = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), held).collect()
+    got = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), chunk, bucket).collect()
     own, expected = {r.doc_id: r for r in got}, dict(rows)
     assert len(got) == len(rows) and set(own) == set(expected)
     for i in [None, *range(0, 60_001, 7)]:

@@ -2,18 +2,19 @@
 
 Two bigram models of the same form, one of target texts and one of all texts, share one vocabulary: all words of all
 texts.  A text's score is its mean loss per token under the target model minus that under the background model, so
-lower is nearer to the target.
-
-Counts cover all texts, all target texts, and every word and bigram.  Each model mixes its bigrams with its word
-frequencies: p(w | h) = D c(h w) / c(h) + (1 - D) p(w), and p(w) alone if h doesn't occur.  Words and bigrams are Spark
-tables; each text's bigrams are joined with them.  The most frequent bigrams' logarithms also go to every task, which
-only spares their rows the shuffle: a bigram has the same value from either.
+lower is nearer to the target.  Each model mixes its bigrams with its word frequencies:
+p(w | h) = D c(h w) / c(h) + (1 - D) p(w), and p(w) alone if h doesn't occur.
+
+Counts cover all texts, all target texts, and every word and bigram.  They travel in two shuffles.  Texts are dealt to
+chunks of some MB; a chunk sends each of its distinct n-grams once, with its own counts, to the n-gram's bucket (the first
+bits of its hash).  A bucket adds up the counts of all chunks and answers each chunk with the totals of the n-grams that
+the chunk sent, in the same order, so answers hold no keys.  A chunk then scores its texts.  No table of n-grams is
+broadcast or held in one place, and a frequent n-gram is one number per chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,172 +22,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .shared import bounded_batches, stash
-
-#: Weight of the bigrams, and bigrams whose logarithms are sent to every task (no result depends on their number).
-MIX, HELD = 0.7, 1_000_000
-#: Stand for the unknown word, the start and the end of a text; words' ids follow, and their hashes are other numbers.
-UNKNOWN, START, END, FIRST = 0, 1, 2, 3
+from .shared import bounded_batches
+
+#: Weight of the bigrams.
+MIX = 0.7
+#: Bytes of text of a chunk, and n-grams of a bucket (of which each chunk sends some).
+CHUNK_BYTES, BUCKET_KEYS = 8 << 20, 2_000_000
+#: Stand for the start and the end of a text; words' hashes are other numbers.
+START, END, FIRST = 1, 2, 3
 _COUNTED = 2_000_000
-#: Logarithms are added as whole multiples of 1 / UNIT, so that sums don't depend on the order of rows.
-UNIT = 1 << 30
+_U = np.uint64
 
 
-@dataclass(frozen=True)
-class Models:
-    """``words``: sorted hashes with their ``ids``. ``keys``: sorted bigrams h * size + w. Natural logarithms of both
-    models: of bigrams that occur, of w if h w doesn't (``single[w] + rest[h]``)."""
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the bigram, key of the word, tokens of each text) for each word and each text's end. Keys of bigrams are odd
+    hashes, those of words even ones."""
+    bigrams, words, sizes = [np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    with np.errstate(over="ignore"):
+        for _, run in kernels.buffers(texts):
+            own, bounds = kernels.hash_words(run, kernels.WORD_NOT_SPACE)
+            word, n = np.insert(own, bounds[1:], _U(END)), np.diff(bounds) + 1
+            history = np.empty_like(word)
+            history[1:] = word[:-1]
+            history[np.cumsum(n) - n] = START
+            bigrams.append(kernels.mix64(history * _U(0xD6E8FEB86659FD93) + word) | _U(1))
+            words.append(_word_key(word))
+            sizes.append(n)
+    return np.concatenate(bigrams), np.concatenate(words), np.concatenate(sizes)
 
-    words: np.ndarray
-    ids: np.ndarray
-    keys: np.ndarray
-    kept: tuple[np.ndarray, np.ndarray]
-    single: tuple[np.ndarray, np.ndarray]
-    rest: tuple[np.ndarray, np.ndarray]
 
+def _word_key(word: np.ndarray) -> np.ndarray:
+    return kernels.mix64(word) & ~_U(1)
 
-def _bigrams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, history, word, text) for each token and each text's end. Keys are odd hashes of both."""
-    word = np.insert(words, bounds[1:], np.uint64(END))
-    n = np.diff(bounds) + 1
-    first = np.cumsum(n) - n
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[first] = START
-    key = kernels.mix64(history * np.uint64(0xD6E8FEB86659FD93) + word) | np.uint64(1)
-    return key, history, word, np.repeat(np.arange(len(n)), n)
 
+def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs in all texts and in target texts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    n = np.diff(start, append=len(keys))
+    return keys[start], n, np.add.reduceat(target[order].astype(np.int64), start) if len(start) else n
 
-def _runs(batch: pa.RecordBatch):
-    with np.errstate(over="ignore"):
-        for first, texts in kernels.buffers(batch.column("text").to_pylist()):
-            yield first, len(texts), _bigrams(*kernels.hash_words(texts, kernels.WORD_NOT_SPACE))
 
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of bigrams in all texts and in target texts, in parts of some millions."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words in all texts and in target texts, in parts of some millions."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        key, history, word, target = (np.concatenate(x) for x in zip(*held))
+        keys, n, t = _counted(*(np.concatenate(x) for x in zip(*held)))
         held.clear()
-        order = np.argsort(key, kind="stable")
-        start = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-        own, n = order[start], np.diff(np.append(start, len(key)))
-        t = np.add.reduceat(target[order].astype(np.int64), start)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[own].view(np.int64)) for x in (key, history, word)), pa.array(n), pa.array(t)], ["key", "h", "w", "n", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], ["word", "n", "t"])
 
     for batch in batches:
-        flags = np.array(batch.column("target").to_pylist(), dtype=bool)
-        for first, _, (key, history, word, text) in _runs(batch):
-            held.append((key, history, word, flags[first + text]))
+        _, words, sizes = _tokens(batch.column("text").to_pylist())
+        held.append((words, np.repeat(np.array(batch.column("target").to_pylist(), bool), sizes)))
         if sum(len(x[0]) for x in held) > _COUNTED:
             yield out()
     if held:
         yield out()
 
 
-def _flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, text, target, row) of all ``docs``; row numbers differ."""
-    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
-    return stash(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), F.monotonically_increasing_id().alias("row")), "texts")
-
-
-def _counts(rows: DataFrame) -> DataFrame:
-    """(key, h, w, n, t): each bigram with its counts in all texts and in target texts."""
-    parts = rows.select("text", "target").mapInArrow(_count, "key long, h long, w long, n long, t long")
-    return stash(parts.groupBy("key").agg(F.min("h").alias("h"), F.min("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t")), "bigrams")
-
-
-def train(docs: DataFrame, target: DataFrame) -> Models:
-    """Both models as arrays on the driver, to look into those of a small corpus; scoring never gathers them."""
-    pairs = _counts(_flagged(docs, target)).toArrow()
-    h, w = (pairs[c].to_numpy().view(np.uint64) for c in ("h", "w"))
-    words = np.unique(w[w != END])
-    ids, size = FIRST + np.arange(len(words)), FIRST + len(words)
-    number = lambda x: np.where(x < FIRST, x.astype(np.int64), FIRST + np.searchsorted(words, x))
-    keys = number(h) * size + number(w)
-    order = np.argsort(keys)
-    keys, models = keys[order], []
-    for column in ("n", "t"):
-        n = pairs[column].to_numpy()[order].astype(np.float64)
-        p = (np.bincount(keys % size, n, size) + 1) / (n.sum() + size)
-        c = np.bincount(keys // size, n, size)
-        rest = np.where(c > 0, 1 - MIX, 1.0)
-        models.append((np.log(MIX * n / np.maximum(c, 1)[keys // size] + rest[keys // size] * p[keys % size]), np.log(p), np.log(rest)))
-    background, aim = models
-    return Models(words, ids, keys, (aim[0], background[0]), (aim[1], background[1]), (aim[2], background[2]))
-
-
-def _logs(pairs: DataFrame) -> DataFrame:
-    """(key, n, lt, lb): each bigram's logarithms under the target and the background model, as multiples of 1 / UNIT."""
-    words = stash(pairs.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt")), "words")
-    n, all_n, all_t = words.agg(F.sum((F.col("w") != END).cast("long")), F.sum("wn"), F.sum("wt")).first()
-    # each word is a history as often as it occurs, and the start as often as the end
-    histories = words.select(F.when(F.col("w") == END, START).otherwise(F.col("w")).alias("h"), F.col("wn").alias("hn"), F.col("wt").alias("ht"))
-    size = FIRST + (n or 0)
-
-    def log(c: str, own: str, before: str, total: int):
-        p = (F.col(own) + 1) / F.lit(float((total or 0) + size))
-        mixed = F.when(F.col(before) > 0, MIX * F.col(c) / F.col(before) + (1 - MIX) * p).otherwise(p)
-        return F.round(F.log(mixed) * UNIT).cast("long")
-
-    both = pairs.join(words, "w").join(histories, "h")
-    return both.select("key", "n", log("t", "wt", "ht", all_t).alias("lt"), log("n", "wn", "hn", all_n).alias("lb"))
-
-
-def _score(held):
-    """Per text the sums over bigrams that ``held`` has, under an even key; and each other bigram with its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, *logs = held.value
-        for batch in batches:
-            row = batch.column("row").to_numpy()
-            for first, texts, (key, _, _, text) in _runs(batch):
-                key = key.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                edge = np.searchsorted(text[found], np.arange(texts + 1))
-                sums = [np.diff(np.concatenate(([0], np.cumsum(x[at[found]])))[edge]) for x in logs]
-                key, text = key[~found], text[~found]
-                order = np.lexsort((key, text))
-                key, text = key[order], text[order]
-                start = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(text, prepend=-1) != 0))
-                owner = row[first + np.concatenate((np.arange(texts), text[start]))]
-                nothing = np.zeros(len(start), np.int64)
-                columns = [
-                    owner,
-                    np.concatenate((row[first : first + texts] << 1, key[start])),
-                    np.concatenate((np.diff(edge), np.diff(np.append(start, len(key))))),
-                    *(np.concatenate((x, nothing)) for x in sums),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["row", "key", "tokens", "st", "sb"])
+def _ask(bits: int):
+    """A chunk's n-grams with its counts, one row for each bucket."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        bigrams, words, sizes = _tokens(texts["text"].to_pylist())
+        target = np.repeat(np.array(texts["target"].to_pylist(), bool), sizes)
+        keys, n, t = _counted(np.concatenate([bigrams, words]), np.concatenate([target, target]))
+        bucket = _bucket(keys, bits)
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        cut = [slice(a, b) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)])]
+        columns = [[x[c].astype(kind).tobytes() for c in cut] for x, kind in ((keys, "<u8"), (n, "<u4"), (t, "<u4"))]
+        return pa.table({"chunk": pa.array([texts["chunk"][0].as_py()] * len(cut), pa.int64()), "bucket": pa.array(bucket[start]), **{k: pa.array(x, pa.binary()) for k, x in zip(("keys", "n", "t"), columns)}})
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, held: int = HELD) -> DataFrame:
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """The sums over all chunks for each chunk's n-grams of a bucket."""
+    raw = rows["keys"].to_pylist()
+    size = [len(x) // 8 for x in raw]
+    keys = np.frombuffer(b"".join(raw), "<u8")
+    order = np.argsort(keys, kind="stable")
+    first = np.concatenate(([True], np.diff(keys[order]) != 0))
+    start, place = np.flatnonzero(first), np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    out = {"chunk": rows["chunk"], "bucket": rows["bucket"]}
+    for name in ("n", "t"):
+        values = np.frombuffer(b"".join(rows[name].to_pylist()), "<u4")[order].astype(np.int64)
+        total = np.add.reduceat(values, start)[place]
+        out[name] = pa.array([x.tobytes() for x in np.split(total, np.cumsum(size)[:-1])], pa.binary())
+    return pa.table(out)
+
+
+def _loss(c: np.ndarray, before: np.ndarray, word: np.ndarray, total: int) -> np.ndarray:
+    """Nats of tokens whose bigram, history and word occur so often."""
+    p = (word + 1) / total
+    return -np.log(np.where(before > 0, MIX * c / np.maximum(before, 1) + (1 - MIX) * p, p))
+
+
+def _score(size: int, totals: tuple[int, int]):
+    """Scores a chunk's texts with the answers of the buckets."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        bigrams, words, sizes = _tokens(texts["text"].to_pylist())
+        keys = np.unique(np.concatenate([bigrams, words]))
+        answers = answers.sort_by("bucket")
+        first = np.cumsum(sizes) - sizes
+        end = np.searchsorted(keys, _word_key(np.array([END], _U)))[0]
+        at, word = np.searchsorted(keys, bigrams), np.searchsorted(keys, words)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[first] = end  # the start of a text occurs as often as the end
+        losses = []
+        for name, total in zip(("t", "n"), totals):
+            count = np.frombuffer(b"".join(answers[name].to_pylist()), "<i8")
+            losses.append(np.add.reduceat(_loss(count[at], count[before], count[word], total + size), first) / sizes)
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(sizes - 1), "target_loss": pa.array(losses[0]), "background_loss": pa.array(losses[1])})
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row of ``docs`` (doc_id, text; other columns are ignored).
 
     Losses are nats per token, the end of the text included, so null and empty texts have a loss too (of the end alone).
     ``target`` has the doc_ids of target texts; ids that aren't in ``docs`` are ignored, and without any the target model
-    is uniform.  Rows with a null doc_id are scored; repeated rows each count and get the same score.  An empty table
-    gives no rows.
+    is uniform.  Rows with a null doc_id are scored; repeated rows each count and get the same score, and so do ties.  A very
+    long text is in one chunk, which then is as large.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = _flagged(docs, target)
-    logs = stash(_logs(_counts(rows)), "logs")
-    top = logs.orderBy(F.desc("n"), "key").limit(held).select("key", "lt", "lb").toArrow()
-    order = np.argsort(top["key"].to_numpy())
-    sent = spark.sparkContext.broadcast(tuple(top[c].to_numpy()[order] for c in ("key", "lt", "lb")))
-    parts = rows.select("row", "text").mapInArrow(_score(sent), "row long, key long, tokens long, st long, sb long")
-    parts = parts.join(logs.drop("n"), "key", "left")
-    sums = parts.groupBy("row").agg(
-        F.sum("tokens").alias("tokens"),
-        *(F.sum(F.col(s) + F.coalesce(F.col(x) * F.col("tokens"), F.lit(0))).alias(s) for s, x in (("st", "lt"), ("sb", "lb"))),
-    )
-    loss = [(-F.col(s) / UNIT / F.col("tokens")).alias(name) for s, name in (("st", "target_loss"), ("sb", "background_loss"))]
-    scored = rows.select("row", "doc_id").join(sums, "row").select("doc_id", (F.col("tokens") - 1).alias("n_words"), *loss)
+    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts = rows.select("text", "target").mapInArrow(_count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    distinct, all_n, all_t = counts.agg(F.count("*"), F.sum("n"), F.sum("t")).first()
+    size = FIRST + max(distinct - 1, 0)  # the end of a text isn't a word
+    bits = max(0, (2 * (all_n or 0) // bucket_keys).bit_length())
+    chunks = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes
+
+    # both uses of the dealt texts read one shuffle, so they take the same columns
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(bits), "chunk long, bucket long, keys binary, n binary, t binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, n binary, t binary")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(size, (all_t or 0, all_n or 0)), "doc_id long, n_words long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
