@@ -28,8 +28,11 @@ from .shared import bounded_batches
 MIX = 0.7
 #: Bytes of text of a chunk, and n-grams of a bucket (of which each chunk sends some).
 CHUNK_BYTES, BUCKET_KEYS = 8 << 20, 2_000_000
+#: Target ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+FEW_IDS = 1_000_000
 #: Stand for the start and the end of a text; words' hashes are other numbers.
 START, END, FIRST = 1, 2, 3
+#: Words that a task gathers before it passes them on.
 _COUNTED = 2_000_000
 _U = np.uint64
 
@@ -64,22 +67,70 @@ def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[start], n, np.add.reduceat(target[order].astype(np.int64), start) if len(start) else n
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words in all texts and in target texts, in parts of some millions."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences of as many bytes as the largest needs; the first byte says how many."""
+    gaps = np.diff(keys, prepend=_U(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def out() -> pa.RecordBatch:
-        keys, n, t = _counted(*(np.concatenate(x) for x in zip(*held)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], ["word", "n", "t"])
 
-    for batch in batches:
-        _, words, sizes = _tokens(batch.column("text").to_pylist())
-        held.append((words, np.repeat(np.array(batch.column("target").to_pylist(), bool), sizes)))
-        if sum(len(x[0]) for x in held) > _COUNTED:
+def _unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    gaps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, all their first bytes before all second ones and so on: bytes that are mostly zero compress well."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """Buckets of ascending keys, and where each lies."""
+    bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), bucket[1:] != bucket[:-1])))
+    return bucket[start], [slice(a, b) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)])]
+
+
+def _words(bits: int):
+    """Distinct words by bucket, of some millions of tokens at a time; and, with a null bucket, tokens of all and of target texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total, aim = [], 0, 0, 0
+        names = ["bucket", "keys", "n", "t"]
+
+        def out() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(held))
+            bucket, cut = _cuts(keys, bits)
+            nothing = pa.nulls(len(cut), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([_packed(keys[c]) for c in cut], pa.binary()), nothing, nothing], names)
+
+        for batch in batches:
+            _, words, sizes = _tokens(batch.column("text").to_pylist())
+            total, aim = total + len(words), aim + int(sizes[np.array(batch.column("target").to_pylist(), bool)].sum())
+            held.append(np.unique(words))
+            size += len(held[-1])
+            if size > _COUNTED:
+                yield out()
+                held, size = [], 0
+        if size:
             yield out()
-    if held:
-        yield out()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total]), pa.array([aim])], names)
+
+    return run
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """How many distinct words a bucket has; tokens are passed on."""
+    if rows["bucket"].null_count:
+        return rows.select(["n", "t"]).append_column("words", pa.array([0] * len(rows), pa.int64()))
+    words = len(np.unique(np.concatenate([_unpacked(x) for x in rows["keys"].to_pylist()])))
+    return pa.table({"n": pa.array([0]), "t": pa.array([0]), "words": pa.array([words])})
 
 
 def _ask(bits: int):
@@ -89,33 +140,26 @@ def _ask(bits: int):
         bigrams, words, sizes = _tokens(texts["text"].to_pylist())
         target = np.repeat(np.array(texts["target"].to_pylist(), bool), sizes)
         keys, n, t = _counted(np.concatenate([bigrams, words]), np.concatenate([target, target]))
-        bucket = _bucket(keys, bits)
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        cut = [slice(a, b) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)])]
-        columns = [[x[c].astype(kind).tobytes() for c in cut] for x, kind in ((keys, "<u8"), (n, "<u4"), (t, "<u4"))]
-        return pa.table({"chunk": pa.array([texts["chunk"][0].as_py()] * len(cut), pa.int64()), "bucket": pa.array(bucket[start]), **{k: pa.array(x, pa.binary()) for k, x in zip(("keys", "n", "t"), columns)}})
+        bucket, cut = _cuts(keys, bits)
+        columns = {name: pa.array([code(x[c]) for c in cut], pa.binary()) for name, x, code in (("keys", keys, _packed), ("n", n, _planes), ("t", t, _planes))}
+        return pa.table({"chunk": pa.array([texts["chunk"][0].as_py()] * len(cut), pa.int64()), "bucket": pa.array(bucket), **columns})
 
     return run
 
 
-def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
-
 def _answer(rows: pa.Table) -> pa.Table:
     """The sums over all chunks for each chunk's n-grams of a bucket."""
-    raw = rows["keys"].to_pylist()
-    size = [len(x) // 8 for x in raw]
-    keys = np.frombuffer(b"".join(raw), "<u8")
+    parts = [_unpacked(x) for x in rows["keys"].to_pylist()]
+    keys, size = np.concatenate(parts), [len(x) for x in parts]
     order = np.argsort(keys, kind="stable")
     first = np.concatenate(([True], np.diff(keys[order]) != 0))
     start, place = np.flatnonzero(first), np.empty(len(keys), np.int64)
     place[order] = np.cumsum(first) - 1
     out = {"chunk": rows["chunk"], "bucket": rows["bucket"]}
     for name in ("n", "t"):
-        values = np.frombuffer(b"".join(rows[name].to_pylist()), "<u4")[order].astype(np.int64)
+        values = np.concatenate([_values(x) for x in rows[name].to_pylist()])[order]
         total = np.add.reduceat(values, start)[place]
-        out[name] = pa.array([x.tobytes() for x in np.split(total, np.cumsum(size)[:-1])], pa.binary())
+        out[name] = pa.array([_planes(x) for x in np.split(total, np.cumsum(size)[:-1])], pa.binary())
     return pa.table(out)
 
 
@@ -140,7 +184,7 @@ def _score(size: int, totals: tuple[int, int]):
         before[first] = end  # the start of a text occurs as often as the end
         losses = []
         for name, total in zip(("t", "n"), totals):
-            count = np.frombuffer(b"".join(answers[name].to_pylist()), "<i8")
+            count = np.concatenate([_values(x) for x in answers[name].to_pylist()])
             losses.append(np.add.reduceat(_loss(count[at], count[before], count[word], total + size), first) / sizes)
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(sizes - 1), "target_loss": pa.array(losses[0]), "background_loss": pa.array(losses[1])})
 
@@ -158,13 +202,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, chunk_bytes: in
     spark = docs.sparkSession
     bounded_batches(spark)
     ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
     rows = rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = rows.select("text", "target").mapInArrow(_count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    distinct, all_n, all_t = counts.agg(F.count("*"), F.sum("n"), F.sum("t")).first()
-    size = FIRST + max(distinct - 1, 0)  # the end of a text isn't a word
-    bits = max(0, (2 * (all_n or 0) // bucket_keys).bit_length())
-    chunks = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(text_bytes // (3 * bucket_keys)).bit_length()  # a text has an n-gram for each three bytes
+    words = rows.select("text", "target").mapInArrow(_words(bits), "bucket long, keys binary, n long, t long")
+    words = words.groupBy("bucket").applyInArrow(_distinct, "n long, t long, words long")
+    all_n, all_t, distinct = words.agg(F.sum("n"), F.sum("t"), F.sum("words")).first()
+    size = FIRST + max((distinct or 0) - 1, 0)  # the end of a text isn't a word
+    chunks = 1 + text_bytes // max(1, chunk_bytes)
 
     # both uses of the dealt texts read one shuffle, so they take the same columns
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
