@@ -68,16 +68,17 @@ def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences of as many bytes as the largest needs; the first byte says how many."""
-    gaps = np.diff(keys, prepend=_U(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending keys: how many bytes a difference has, the first key, and the differences."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     width = raw[0]
-    gaps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    gaps = np.zeros((1 + (len(raw) - 9) // width, 8), np.uint8)
+    gaps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    gaps[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
