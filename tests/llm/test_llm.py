@@ -346,6 +346,26 @@ def test_longest_matches(spark):
     assert [(x.item_id, x.doc_start, x.item_start, x.length) for x in m] == [("1", 2, 1, 30)]
 
 
+def test_longest_matches_in_repeats(spark):
+    docs = made(spark, ["x " * 20_000, "a x x x x x x x x x x x x x x b", None])
+    b = spark.createDataFrame([(1, "x " * 15)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(docs, b).collect()}
+    assert got[0].n_hit == 20_000 and max(m.length for m in got[0].matches) == 15
+    assert [(m.doc_start, m.length) for m in got[1].matches if m.item_start == 0] == [(1, 14), (2, 13)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 25, 40])
+def test_rows_are_judged_by_their_text(spark, chunk):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (1, item), (1, "clean words"), (2, "clean words"), (2, "clean words"), (None, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "never there at all"), (3, "...")], "item_id long, text string")
+    kept = decontamination.decontaminate(docs, b, chunk_bytes=chunk).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "clean words"), (2, "clean words"), (2, "clean words")]
+    nothing = spark.createDataFrame([(1, "... !!"), (2, "-" * 100)], "item_id long, text string")
+    assert decontamination.contamination(docs, nothing, chunk_bytes=chunk).where("n_hit = 0").count() == 6
+    assert decontamination.contamination(docs.limit(0), b, chunk_bytes=chunk).count() == 0
+
+
 # ---- 9: language models
 
 

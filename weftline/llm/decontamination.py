@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Each task reads its texts in shards of some hundred kB and builds a suffix array of their words: of all suffixes that can
-match (the hash of their first words is among the benchmark's), the positions in lexicographic order of words.  Every
-suffix of every benchmark item is binary-searched there.  Its matches of at least a window of words give the words hit, and
-are extended to the longest verbatim matches with their places.
+Each task reads its texts in shards of some hundred kB and builds the suffix array of a shard: the positions of its words
+in lexicographic order of what follows, by prefix doubling, as far as a window reaches.  Words that no benchmark item has
+and the ends of texts are stops, at which any match ends.  Every suffix of every benchmark item is binary-searched there.
+The ranges found give the words hit and the items, and their matches that can't grow to the left are extended to the
+right: the longest verbatim matches with their places.
 
 A window is 13 consecutive words of an item; an item of fewer words is one window.
 """
@@ -26,18 +27,19 @@ from .shared import bounded_batches, stash
 WINDOW, PERCENT, CHUNK_BYTES = 13, 5, 32 << 20
 
 MATCHES = "array<struct<item_id string, doc_start long, item_start long, length long>>"
-_FILTER_BITS = 20
 
 
 @dataclass(frozen=True)
 class Suffixes:
-    """The words of a chunk of the benchmark, one item after another, and all suffixes that begin a window, by window length."""
+    """A chunk of the benchmark: items one after another as ranks of words in ``vocabulary``, each followed by a stop (0),
+    and the places of all suffixes that begin a window, by window length."""
 
     items: list[str]
+    vocabulary: np.ndarray
     words: np.ndarray
     owner: np.ndarray
     starts: np.ndarray
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: suffixes, their windows' hashes, filter
+    by_length: dict[int, np.ndarray]
 
 
 def _suffixes(rows: list[tuple[str, str | None]], window: int) -> Suffixes:
@@ -48,58 +50,79 @@ def _suffixes(rows: list[tuple[str, str | None]], window: int) -> Suffixes:
             if len(words):
                 items.append(item)
                 parts.append(words)
-        size = np.array([len(x) for x in parts], np.int64)
-        starts = np.cumsum(size) - size
-        words = np.concatenate([np.zeros(0, np.uint64), *parts])
-        by_length: dict[int, list[np.ndarray]] = {}
-        for first, n in zip(starts.tolist(), size.tolist()):
-            k = min(window, n)
-            by_length.setdefault(k, []).append(np.arange(first, first + n - k + 1))
-        out = {}
-        for k, at in by_length.items():
-            at = np.concatenate(at)
-            hashes = kernels.windows(words, k)[at]
-            table = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            table[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-            out[k] = (at, np.unique(hashes), table)
-    return Suffixes(items, words, np.repeat(np.arange(len(items)), size), starts, out)
-
-
-def _keys(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """The first k words of suffixes as byte strings that sort as the words do."""
-    return np.ascontiguousarray(words[at[:, None] + np.arange(k)].astype(">u8")).view(f"S{8 * k}").ravel()
-
-
-def _find(words: np.ndarray, bounds: np.ndarray, test: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (text position, benchmark position, window length) at which a window of the benchmark occurs in a shard."""
-    found = [(np.zeros(0, np.int64),) * 3]
-    last = np.repeat(bounds[1:], np.diff(bounds))  # where the text of each word ends
-    for k, (suffixes, hashes, table) in test.by_length.items():
-        own = kernels.windows(words, k)
-        at = np.flatnonzero(table[own >> np.uint64(64 - _FILTER_BITS)])
-        at = at[at + k <= last[at]]
-        at = at[hashes[np.minimum(np.searchsorted(hashes, own[at]), len(hashes) - 1)] == own[at]]
-        if not len(at):
-            continue
-        keys = _keys(words, at, k)
-        order = np.argsort(keys, kind="stable")
-        keys, array = keys[order], at[order]  # the suffix array of the shard, as far as it can match
-        sought = _keys(test.words, suffixes, k)
-        low, high = np.searchsorted(keys, sought, "left"), np.searchsorted(keys, sought, "right")
-        n = high - low
-        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        found.append((array[place], np.repeat(suffixes, n), np.full(len(place), k)))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _longest(p: np.ndarray, q: np.ndarray, k: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins window matches that continue each other in the same text and item to maximal ones: (text position, benchmark position, words)."""
-    order = np.lexsort((p, owner[q], q - p))
-    p, q, k = p[order], q[order], k[order]
-    joined = (np.diff(q - p, prepend=np.iinfo(np.int64).min) == 0) & (np.diff(p, prepend=-2) == 1) & (np.diff(owner[q], prepend=-1) == 0)
-    start = np.flatnonzero(~joined)
-    end = np.append(start[1:], len(p)) - 1
-    return p[start], q[start], p[end] + k[end] - p[start]
+    size = np.array([len(x) for x in parts], np.int64)
+    starts = np.cumsum(size + 1) - size - 1
+    vocabulary, rank = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_inverse=True)
+    by_length: dict[int, list[np.ndarray]] = {}
+    for first, n in zip(starts.tolist(), size.tolist()):
+        k = min(window, n)
+        by_length.setdefault(k, []).append(np.arange(first, first + n - k + 1))
+    words = np.insert(rank + 1, np.cumsum(size), 0)
+    return Suffixes(items, vocabulary, words, np.repeat(np.arange(len(items)), size + 1), starts, {k: np.concatenate(x) for k, x in by_length.items()})
+
+
+def _ranked(own: np.ndarray, test: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step of prefix doubling: from ranks of the next n words to those of the next n + step, in a shard and in a test
+    text. 0 stands for a stop within these words, or for words that the shard doesn't have there."""
+
+    def joined(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        if step < len(x):
+            both = (x[:-step] > 0) & (x[step:] > 0)
+            out[:-step] = np.where(both, (x[:-step] << 31) | x[step:], 0)
+        return out
+
+    own, test = joined(own), joined(test)
+    at, sought = np.flatnonzero(own), np.flatnonzero(test)
+    known, rank = np.unique(own[at], return_inverse=True)
+    own[at] = rank + 1
+    place = np.minimum(np.searchsorted(known, test[sought]), max(len(known) - 1, 0))
+    test[sought] = np.where(known[place] == test[sought], place + 1, 0) if len(known) else 0
+    return own, test
+
+
+def _search(words: np.ndarray, test: Suffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window length: (length, suffix array, test suffixes that occur, their ranges in the array: low, high)."""
+    own, sought, n = words, test.words, 1
+    levels = {1: (own, sought)}
+    while 2 * n <= max(test.by_length, default=0):
+        own, sought = _ranked(own, sought, n)
+        n *= 2
+        levels[n] = own, sought
+    for k, suffixes in test.by_length.items():
+        n = 1 << (k.bit_length() - 1)
+        own, sought = _ranked(*levels[n], k - n) if k > n else levels[n]  # the same words, joined with an overlap
+        at = np.flatnonzero(own)
+        array = at[np.argsort(own[at], kind="stable")]
+        suffixes = suffixes[sought[suffixes] > 0]
+        low, high = (np.searchsorted(own[array], sought[suffixes], side) for side in ("left", "right"))
+        there = high > low
+        if there.any():
+            yield k, array, suffixes[there], low[there], high[there]
+
+
+def _longest(words: np.ndarray, test: Suffixes, k: int, array: np.ndarray, suffixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """Matches of at least k words that can't grow: (text position, test position, words)."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    order = np.argsort(low, kind="stable")
+    start = np.flatnonzero(np.diff(low[order], prepend=-1))
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)]):
+        own, tests = array[low[order[a]] : high[order[a]]], suffixes[order[a:b]]
+        before = np.where(own > 0, words[own - 1], 0)
+        ahead = np.where(tests > 0, test.words[tests - 1], 0)
+        for symbol in np.unique(ahead).tolist():  # what stands before differs, or is a stop
+            p, q = own[(before != symbol) | (before == 0)], tests[ahead == symbol]
+            found.append((np.repeat(p, len(q)), np.tile(q, len(p))))
+    if not found:
+        return []
+    p, q = (np.concatenate(x) for x in zip(*found))
+    length, grows = np.full(len(p), k), np.arange(len(p))
+    while len(grows):
+        a, b = p[grows] + length[grows], q[grows] + length[grows]
+        own = np.where(a < len(words), words[np.minimum(a, len(words) - 1)], 0)
+        grows = grows[(own > 0) & (own == test.words[np.minimum(b, len(test.words) - 1)])]
+        length[grows] += 1
+    return list(zip(p.tolist(), q.tolist(), length.tolist()))
 
 
 def _scan(held, keep_matches: bool):
@@ -107,33 +130,41 @@ def _scan(held, keep_matches: bool):
 
     def scan(texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str], list[dict]]]:
         test: Suffixes = held.value
-        with np.errstate(over="ignore"):
-            for _, run in kernels.buffers(texts):
+        for _, run in kernels.buffers(texts):
+            with np.errstate(over="ignore"):
                 words, bounds = kernels.hash_words(run, kernels.WORD_ALNUM)
-                p, q, k = _find(words, bounds, test)
-                text = np.searchsorted(bounds, p, "right") - 1
-                order = np.argsort(text, kind="stable")
-                cut = np.searchsorted(text[order], np.arange(len(run) + 1))
-                for i in range(len(run)):
-                    n = int(bounds[i + 1] - bounds[i])
-                    rows = order[cut[i] : cut[i + 1]]
-                    if not len(rows):
-                        yield n, [], [], []
-                        continue
-                    p1, q1, k1 = p[rows] - bounds[i], q[rows], k[rows]
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, p1, 1)
-                    np.add.at(edge, p1 + k1, -1)
-                    hit = np.concatenate(([0], (np.cumsum(edge)[:n] > 0).astype(np.int8), [0]))
-                    step = np.diff(hit)
-                    spans = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
-                    items = sorted({test.items[j] for j in np.unique(test.owner[q1]).tolist()})
-                    matches = []
-                    if keep_matches:
-                        for a, b, m in zip(*(x.tolist() for x in _longest(p1, q1, k1, test.owner))):
-                            j = int(test.owner[b])
-                            matches.append({"item_id": test.items[j], "doc_start": a, "item_start": b - int(test.starts[j]), "length": m})
-                    yield n, spans, items, matches
+            size = np.diff(bounds)
+            first = bounds[:-1] + np.arange(len(run))  # a stop follows each text
+            if not len(test.vocabulary):
+                yield from ((n, [], [], []) for n in size.tolist())
+                continue
+            place = np.minimum(np.searchsorted(test.vocabulary, words), len(test.vocabulary) - 1)
+            ranks = np.insert(np.where(test.vocabulary[place] == words, place + 1, 0), bounds[1:], 0)
+            edge = np.zeros(len(ranks) + 1, np.int64)
+            items: dict[int, set[str]] = {}
+            matches: dict[int, list[dict]] = {}
+            for k, array, suffixes, low, high in _search(ranks, test):
+                cover = np.zeros(len(array) + 1, np.int64)
+                np.add.at(cover, low, 1)
+                np.add.at(cover, high, -1)
+                p = array[np.cumsum(cover)[:-1] > 0]
+                np.add.at(edge, p, 1)
+                np.add.at(edge, p + k, -1)
+                classes = np.unique(np.stack([low, high, test.owner[suffixes]]), axis=1)
+                for a, b, owner in classes.T.tolist():
+                    for i in np.unique(np.searchsorted(first, array[a:b], "right") - 1).tolist():
+                        items.setdefault(i, set()).add(test.items[owner])
+                for a, b, m in _longest(ranks, test, k, array, suffixes, low, high) if keep_matches else ():
+                    i, owner = int(np.searchsorted(first, a, "right")) - 1, int(test.owner[b])
+                    found = {"item_id": test.items[owner], "doc_start": a - int(first[i]), "item_start": b - int(test.starts[owner]), "length": m}
+                    matches.setdefault(i, []).append(found)
+            inside = np.cumsum(edge)[:-1] > 0
+            for i, n in enumerate(size.tolist()):
+                if i not in items:
+                    yield n, [], [], []
+                    continue
+                step = np.diff(np.concatenate(([0], inside[first[i] : first[i] + n].astype(np.int8), [0])))
+                yield n, list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())), sorted(items[i]), matches.get(i, [])
 
     return scan
 
@@ -152,16 +183,16 @@ def _facts(n: int, spans: list[tuple[int, int]], items: list[str], percent: int)
     return n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 100 * hit >= percent * n
 
 
-def _chunks(benchmark: DataFrame, window: int, chunk_bytes: int) -> Iterator[Suffixes]:
-    """The benchmark in chunks of about ``chunk_bytes``; the driver holds one at a time."""
+def _parts(benchmark: DataFrame, chunk_bytes: int) -> int:
+    return 1 + int((benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes)
+
+
+def _chunks(benchmark: DataFrame, window: int, parts: int) -> Iterator[Suffixes]:
+    """The benchmark in chunks; the driver holds one at a time."""
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = 1 + int(total // chunk_bytes)
     for i in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()
-        test = _suffixes([(x["item_id"], x["text"]) for x in own], window)
-        if test.items or parts == 1:
-            yield test
+        yield _suffixes([(x["item_id"], x["text"]) for x in own], window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -171,69 +202,78 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     are one.  A text is contaminated if it has a hit and at least ``percent`` hundredths of its words are hit.
     ``matches`` are the maximal verbatim matches.  Null and empty texts have no words.  Either table may be empty.
     """
-    bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tests = list(_chunks(benchmark, window, chunk_bytes))
-    many = len(tests) > 1
-    if many:
-        rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    else:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
-    schema = f"row long, doc_id long, n_words long, spans array<array<long>>, items array<string>, matches {MATCHES}"
-    out = None
-    for test in tests:
-        part = rows.mapInArrow(_rows(spark.sparkContext.broadcast(test), schema), schema)
-        out = part if out is None else out.union(part)
-    if many:
-        out = out.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
-        )
-        merged = F.aggregate(
-            F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach")),
-            lambda s, x: F.struct((s.total + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s.reach))).cast("long").alias("total"), F.greatest(s.reach, x[1]).alias("reach")),
-            lambda s: s.total,
-        )
-        n_hit = merged
-    else:
-        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    out = _hits(rows, benchmark, window, chunk_bytes)
+    merged = F.aggregate(
+        F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach")),
+        lambda s, x: F.struct((s.total + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s.reach))).cast("long").alias("total"), F.greatest(s.reach, x[1]).alias("reach")),
+        lambda s: s.total,
+    )
+    n_hit = merged
     out = out.withColumn("n_hit", n_hit)
     joined = F.array_join("items", ",")
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(joined, "UTF-8"), 256).alias("items_sha256"), contaminated.alias("contaminated"), "matches")
 
 
-def _rows(held, schema: str):
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
+    """(row, doc_id, n_words, spans, items, matches) for each of ``rows`` (doc_id, text). A benchmark of several chunks is
+    searched chunk after chunk, and what they hit is put together by row."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    schema = f"row long, doc_id long, n_words long, spans array<array<long>>, items array<string>, matches {MATCHES}"
+    parts = _parts(benchmark, chunk_bytes)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = stash(rows, "rows") if parts > 1 else rows
+    found = []
+    for test in _chunks(benchmark, window, parts):
+        held = spark.sparkContext.broadcast(test)
+        part = rows.mapInArrow(_rows(held), schema)
+        if parts == 1:
+            return part
+        found.append(stash(part if not found else part.where("size(spans) > 0"), "hits"))
+        held.destroy()
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.groupBy("row").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
+    )
+
+
+def _rows(held):
     names = ["row", "doc_id", "n_words", "spans", "items", "matches"]
     match = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(held, True)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, spans, items, matches = zip(*scan(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(matches, match)], names
-            )
+            if batch.num_rows:
+                n, spans, items, matches = zip(*scan(batch.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(matches, match)], names
+                )
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of ``docs`` (with all their columns) that aren't contaminated; see ``contamination``."""
+    """The rows of ``docs`` (with all their columns) that aren't contaminated; see ``contamination``. Each row is judged by
+    its own text, whatever its doc_id is, and however many chunks the benchmark has."""
     bounded_batches(docs.sparkSession)
-    tests = list(_chunks(benchmark, window, chunk_bytes))
-    if len(tests) == 1:
-        held = docs.sparkSession.sparkContext.broadcast(tests[0])
+    parts = _parts(benchmark, chunk_bytes)
+    if parts == 1:
+        held = docs.sparkSession.sparkContext.broadcast(next(_chunks(benchmark, window, 1)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan = _scan(held, False)
             for batch in batches:
-                found = scan(batch.column("text").to_pylist())
+                found = scan(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 yield batch.filter(pa.array([not _facts(n, spans, items, percent)[-1] for n, spans, items, _ in found], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    bad = contamination(docs, benchmark, window, percent, chunk_bytes).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    key = "weftline_row"
+    rows = stash(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    bad = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, window, percent, chunk_bytes).where("contaminated")
+    return rows.join(bad.select(F.col("doc_id").alias(key)), key, "left_anti").drop(key).select(docs.columns)
