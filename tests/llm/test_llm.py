@@ -246,6 +246,42 @@ def test_wrapper():
     assert wrapper.extract(["", "<p>a < b", "<!-- x", "<script>"]) == ["", "a < b", "", ""]
 
 
+def test_wrapper_keeps_article_text():
+    one = "<article><h1>T</h1><div class='chart alert-levels'>Levels</div><section class='discussion'>Talk</section><div class='ad-box'>Buy</div><p>Words</p></article>"
+    assert wrapper.extract([one]) == ["T\nLevels\nTalk\nWords"]
+    slots = [f"<div><p>Our shop</p></div><div><p>Text {i} is here</p><p>More of {i}</p></div>" for i in range(5)]
+    slots.append("<div><p>Our shop</p></div><div><p>Our shop</p><p>That was their name</p></div>")
+    assert wrapper.extract(slots)[-1] == "Our shop\nThat was their name"  # dropped in its slot only
+    assert wrapper.extract(slots)[0] == "Text 0 is here\nMore of 0"
+    other = [f"<table><tr><td>Menu</td></tr><tr><td><h2>N{i}</h2><ul><li>a{i}<li>b{i}</ul></td></tr></table>" for i in range(5)]
+    assert wrapper.extract(slots + other)[6:] == [f"N{i}\na{i}\nb{i}" for i in range(5)]
+
+
+def test_wrapper_of_deep_and_long_pages():
+    deep = [f"{'<div>' * 3000}Text {i}{'</div>' * (3000 - i)}<p>{i} more" for i in range(6)]
+    assert wrapper.extract(deep) == [f"Text {i}\n{i} more" for i in range(6)]
+    assert wrapper.extract([f"<p>{LONG}</p>"]) == [LONG.strip()]
+
+
+def test_matching_equals_brute_force():
+    def brute(a, b):
+        if a.name != b.name:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute(x, y))
+        return 1 + best[-1][-1]
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b = (wrapper.parse("".join(rnd.choice(["<div>", "</div>", "<ul>", "</ul>", "<section>", "</section>"]) for _ in range(rnd.randrange(25)))) for _ in range(2))
+        for t in (a, b):
+            wrapper._settle(t)
+        pairs = []
+        assert wrapper.match(a, b, pairs) == brute(a, b) == wrapper.match(a, b) == len(pairs)
+
+
 def test_tree_matching():
     a, b = wrapper.parse("<ul><li>1<li>2</ul><p>x"), wrapper.parse("<div>n</div><ul><li>1<li>2<li>3</ul>")
     for t in (a, b):

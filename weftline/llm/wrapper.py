@@ -1,15 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed to small trees of block elements and aligned by simple tree matching.  A node whose text is
-the same on the aligned pages belongs to the template; slots whose text varies are content.  Elements that say by name
-that they are menus, adverts, comments and the like are left out on every page, so hosts with too few different pages
-to align still lose them.
+Pages of one host are parsed to small trees of block elements, gathered by layout and aligned by simple tree matching with
+the largest page of their layout.  A slot whose text is the same on the aligned pages belongs to the template and is dropped
+there, and only there; slots whose text varies are content.  Elements that say by name that they are menus, adverts,
+comments and the like are left out on every page, so hosts with too few different pages to align still lose them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches
 
-#: Pages of a host that are aligned together, different pages needed to call a node a template, and the share of them
-#: that must have it.
-GROUP_PAGES, LEAST_PAGES, TEMPLATE_SHARE = 48, 6, 0.9
+#: Pages of a host that are aligned together, different pages of a layout needed to call a slot's text a template (it must
+#: be on all of them, or on the share of at least twice as many), and how much of the larger tree two pages of a layout have
+#: in common.
+GROUP_PAGES, LEAST_PAGES, TEMPLATE_SHARE, LAYOUT = 48, 4, 0.9, 0.6
 #: Hosts whose page counts may be broadcast; with more, pages are shuffled to the counts.
 FEW_HOSTS = 200_000
 
@@ -38,6 +40,8 @@ MARKS = frozenset(
     "consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "widget toolbar pagination pager complementary contentinfo search form".split()
 )
+#: Words that say nothing beside one of these. Inside an article, a class counts only if it has no other words.
+PLAIN_MARKS = frozenset("box block list section area container wrapper unit slot inner outer item items bar text body thread row cell".split())
 #: Elements that a new element of the same group ends if they are still open.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -63,9 +67,12 @@ class Node:
         self.shape, self.size = 0, 1
 
 
-def _marked(attributes: str) -> bool:
-    found = _MARKING.findall(attributes)
-    return bool(found) and any(not MARKS.isdisjoint(_WORD.findall("".join(x).lower())) for x in found)
+def _marked(attributes: str, inside: bool = False) -> bool:
+    found = ["".join(x).lower() for x in _MARKING.findall(attributes)]
+    if not inside:
+        return any(not MARKS.isdisjoint(_WORD.findall(x)) for x in found)
+    names = [set(_WORD.findall(name)) for x in found for name in x.split()]
+    return any(not MARKS.isdisjoint(x) and x <= MARKS | PLAIN_MARKS and x != {"discussion"} for x in names)
 
 
 def parse(source: str) -> Node:
@@ -91,7 +98,8 @@ def parse(source: str) -> Node:
             continue
         attributes = m[4] or m[7] or ""
         block = name in BLOCKS
-        marked = bool(attributes) and _marked(attributes)
+        inside = any(x.name in ("article", "main") for x in stack)
+        marked = bool(attributes) and _marked(attributes, inside)
         if not block and not marked and name not in NOT_ARTICLE or name in ("html", "body"):
             continue
         if block:
@@ -100,7 +108,6 @@ def parse(source: str) -> Node:
         ends = SIBLINGS.get(name, ())
         while ends and stack[-1].name in ends:
             stack.pop()
-        inside = any(x.name in ("article", "main") for x in stack)
         skip = name in NOT_ARTICLE and not (name == "header" and inside) or marked and not (name in ("article", "main") and not inside)
         node = Node(name, skip, not block)
         stack[-1].parts.append(node)
@@ -173,36 +180,34 @@ def region(root: Node) -> list[Node]:
     return found or [root]
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
-    """Simple tree matching: the most nodes that can be paired with names, ancestors and order kept. ``pairs`` gets them."""
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, known: dict | None = None) -> int:
+    """Simple tree matching: the most nodes that can be paired with names, ancestors and order kept. ``pairs`` gets them;
+    ``known`` keeps what pairs of shapes are worth, so that deep trees are gone through once."""
     if a.name != b.name or a.skip != b.skip:
         return 0
+    known = {} if known is None else known
     if pairs is not None:
         pairs.append((a, b))
+    elif (a.shape, b.shape) in known:
+        return known[a.shape, b.shape]
     x, y = a.children, b.children
     low, m, n = 0, len(x), len(y)
     total = 1
     while low < m and low < n and x[low].shape == y[low].shape:
-        total += match(x[low], y[low], pairs) if pairs is not None else x[low].size
+        total += match(x[low], y[low], pairs, known) if pairs is not None else x[low].size
         low += 1
     while m > low and n > low and x[m - 1].shape == y[n - 1].shape:
         m, n = m - 1, n - 1
-        total += match(x[m], y[n], pairs) if pairs is not None else x[m].size
-    if low == m or low == n:
-        return total
-    best = [[0] * (n - low + 1) for _ in range(m - low + 1)]
-    weight = {}
-    for i in range(low, m):
-        above, row = best[i - low], best[i - low + 1]
-        for j in range(low, n):
-            key = (x[i].shape, y[j].shape)
-            if key not in weight:
-                weight[key] = match(x[i], y[j])
-            row[j - low + 1] = max(above[j - low + 1], row[j - low], above[j - low] + weight[key])
-    total += best[-1][-1]
-    if pairs is not None:
+        total += match(x[m], y[n], pairs, known) if pairs is not None else x[m].size
+    if low < m and low < n:
+        best = [[0] * (n - low + 1) for _ in range(m - low + 1)]
+        for i in range(low, m):
+            above, row = best[i - low], best[i - low + 1]
+            for j in range(low, n):
+                row[j - low + 1] = max(above[j - low + 1], row[j - low], above[j - low] + match(x[i], y[j], None, known))
+        total += best[-1][-1]
         i, j = m, n
-        while i > low and j > low:
+        while pairs is not None and i > low and j > low:
             here = best[i - low][j - low]
             if here == best[i - low - 1][j - low]:
                 i -= 1
@@ -210,47 +215,60 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                match(x[i], y[j], pairs)
+                match(x[i], y[j], pairs, known)
+    known[a.shape, b.shape] = total
     return total
 
 
+def _layouts(trees: list[Node], pages: list[int]) -> list[list[int]]:
+    """Pages by layout, each with its largest page first. Pages of like trees share most nodes with that page."""
+    out: list[list[int]] = []
+    for i in sorted(pages, key=lambda i: -trees[i].size):
+        own = next((x for x in out if match(trees[x[0]], trees[i]) >= LAYOUT * trees[x[0]].size), None)
+        out.append([i]) if own is None else own.append(i)
+    return out
+
+
 def extract(pages: list[str], least: int = LEAST_PAGES, share: float = TEMPLATE_SHARE) -> list[str]:
     """Main texts of pages of one host."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be as deep as pages are long
     trees = [parse(x) for x in pages]
     found = [blocks(x) for t in trees for x in [_joined(region(t))]]
+    if len(pages) < least:
+        return ["\n".join(text for _, text in own) for own in found]
     seen: set[str] = set()
-    different = []  # pages of which at least half of the blocks are new: copies say nothing about the template
+    different = set()  # pages of which at least half of the blocks are new: copies say nothing about the template
     for i, own in enumerate(found):
         texts = [t for _, t in own]
         if texts and 2 * sum(t not in seen for t in texts) >= len(texts):
-            different.append(i)
+            different.add(i)
             seen.update(texts)
-    template: set[tuple[int, str]] = set()
-    if len(different) >= least:
-        for i in different:
-            _settle(trees[i])
-        base = trees[different[0]]
+    for t in trees:
+        _settle(t)
+    out = [""] * len(pages)
+    for layout in _layouts(trees, list(range(len(pages)))):
+        base = trees[layout[0]]
         slot = {id(n): k for k, n in enumerate(_all(base))}
-        votes: dict[tuple[int, str], int] = {}
-        for i in different:
+        texts_of: dict[int, dict[int, str]] = {}  # by page: the text of each slot that is aligned
+        place: dict[int, int] = {}
+        for i in layout:
             own: dict[int, list[str]] = {}
             for node, text in found[i]:
                 own.setdefault(id(node), []).append(text)
             pairs: list[tuple[Node, Node]] = []
             match(base, trees[i], pairs)
-            for a, b in pairs:
-                if id(b) in own:
-                    key = (slot[id(a)], "\n".join(own[id(b)]))
-                    votes[key] = votes.get(key, 0) + 1
-        template = {key for key, n in votes.items() if n >= least and n >= share * len(different)}
-    fixed = {text for _, text in template}
-    out = []
-    for own in found:
-        by_node: dict[int, list[str]] = {}
-        for node, text in own:
-            by_node.setdefault(id(node), []).append(text)
-        drop = {k for k, texts in by_node.items() if fixed and "\n".join(texts) in fixed}
-        out.append("\n".join(text for node, text in own if id(node) not in drop))
+            place.update((id(b), slot[id(a)]) for a, b in pairs)
+            texts_of[i] = {slot[id(a)]: "\n".join(own[id(b)]) for a, b in pairs if id(b) in own}
+        votes: dict[tuple[int, str], int] = {}
+        among = [i for i in layout if i in different]
+        for i in among:
+            for key in texts_of[i].items():
+                votes[key] = votes.get(key, 0) + 1
+        enough = share * len(among) if len(among) >= 2 * least else len(among)
+        template = {key for key, n in votes.items() if n >= least and n >= enough}
+        for i in layout:
+            drop = {k for k, text in texts_of[i].items() if (k, text) in template}
+            out[i] = "\n".join(text for node, text in found[i] if place.get(id(node)) not in drop)
     return out
 
 
@@ -275,7 +293,8 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     Blocks are joined by a line end; white space in a block is one space; character references are decoded.  A null or
     empty html gives an empty text.  Pages whose url is null or has no host are aligned with each other.  A host's pages
     are spread over groups of about ``group_pages`` by a hash, so no host is gathered in one task; a repeated row comes
-    back as often.  An empty table gives no rows.
+    back as often.  Very long and very deep pages are taken whole; the larger of two layouts' pages of equal size is the one that
+    comes first by page_id and html.  An empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
     name = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
