@@ -132,3 +132,28 @@ def test_streams(spark, tmp_path):
     run.awaitTermination()
     seen = spark.sql("SELECT pattern, max(members) AS m, count(*) AS n FROM absorbed GROUP BY pattern").collect()
     assert {r.pattern: r.m for r in seen} == {"p": 3, "q": 1}
+
+
+def test_idempotency_window_is_not_renewed(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import logs
+
+    hours = [0, 20, 23, 24, 40, 47, 49]
+    rows = spark.createDataFrame([("a", 3600 * h, i) for i, h in enumerate(hours)] + [("b", 3600, 9), ("b", 3600, 10)], "k string, s long, i int")
+    rows = rows.withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.i for r in logs.first_within(rows, ["k"], "ts", 86400, "i").collect()) == [0, 3, 6, 9]
+    assert logs.first_within(rows.limit(0), ["k"], "ts", 86400, "i").count() == 0
+
+
+def test_url_and_text_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import text as T
+    from weftline.functions import url as U
+
+    rows = spark.createDataFrame([("https://WWW.Site.org/Games/DOS_list-2/?Q=A",), ("/",), (" HTTP://a/B/// ",)], "u string")
+    got = [tuple(r) for r in rows.select(U.canonical_href(F.col("u")), F.array_join(U.semantic_tokens(F.col("u")), " ")).collect()]
+    assert got == [("https://www.site.org/games/dos_list-2/?Q=A", "site games dos list"), ("/", ""), ("http://a/b", " http")]
+    values = spark.createDataFrame([("data:image/png;base64,AA",), ("data:,x",), ("/a.png",)], "v string")
+    assert [r[0] for r in values.select(T.compact_data_uri(F.col("v"))).collect()] == ["data:image/png", "data:inline", "/a.png"]

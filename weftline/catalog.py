@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graphs, logs, maintenance, pages, search, urls, values, vectors, xpaths
+from .plans import graphs, logs, maintenance, pages, search, selections, urls, values, vectors, xpaths
 
-_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

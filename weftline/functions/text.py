@@ -52,3 +52,19 @@ def snippet(text: Column, at: Column, size: Column, around: int = 80) -> Column:
     start = F.greatest(at - around, F.lit(1))
     end = F.least(at + size + around, F.length(text) + 1)
     return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "…").otherwise(""))
+
+
+def letter_digit_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, marks and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"))
+
+
+def visible(text: Column) -> Column:
+    """Without zero-width signs, trimmed."""
+    return F.trim(F.translate(text, "\u200b\u200c\u200d\u2060\ufeff", ""))
+
+
+def compact_data_uri(value: Column) -> Column:
+    """A data URI as a marker of its media type ("inline" without one); other values as they are."""
+    kind = F.regexp_extract(value, r"^data:([^;,]*)", 1)
+    return F.when(value.startswith("data:"), F.concat(F.lit("data:"), F.when(kind == "", "inline").otherwise(kind))).otherwise(value)

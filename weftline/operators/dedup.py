@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import term_counts
 
 
 def merge_by_content(rows: DataFrame, key: str, url: str, text: str) -> DataFrame:
@@ -17,8 +16,23 @@ def merge_by_content(rows: DataFrame, key: str, url: str, text: str) -> DataFram
 
 def first_per_bag(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Keys of rows whose set of tokens and pairs no smaller key has. Texts without tokens are one bag."""
-    terms = term_counts(rows, key, text).groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("term")), "\x1f"), 256).alias("bag"))
-    return rows.select(key).join(terms, key, "left").groupBy(F.coalesce("bag", F.lit("")).alias("bag")).agg(F.min(key).alias(key)).select(key)
+    words = rows.select(key, T.tokens(F.col(text)).alias("words"))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    terms = F.array_distinct(F.concat("words", F.filter(pairs, lambda x: x.isNotNull())))
+    bag = F.sha2(F.array_join(F.array_sort(terms), "\x1f"), 256)
+    return words.groupBy(bag.alias("bag")).agg(F.min(key).alias(key)).select(key)
+
+
+def first_in_group(rows: DataFrame, group: str, key: str, text: str, shortest: int = 3, least: int = 2) -> DataFrame:
+    """(group, key, hash): the first row of each text in a group; texts under ``shortest`` signs and groups that keep under ``least`` texts are left out."""
+    own = rows.where(F.length(F.trim(text)) >= shortest).groupBy(group, T.short_sha1(F.col(text)).alias("hash")).agg(F.min(key).alias(key))
+    large = own.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(group)
+    return own.join(large, group, "left_semi").select(group, key, "hash")
+
+
+def most_specific(rows: DataFrame, mark: str, *order) -> DataFrame:
+    """One row for each ``mark``, the first by ``order``."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(mark).orderBy(*order))).where("rn = 1").drop("rn")
 
 
 def collapse_across_urls(rows: DataFrame, group: list[str], url: str, key: str, score: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +51,21 @@ def latest_by(rows: DataFrame, key: list[str], n: int, *order: str) -> DataFrame
 
 
 def first_within(rows: DataFrame, key: list[str], ts: str, seconds: int, *tie: str) -> DataFrame:
-    """Rows without an equal key in the ``seconds`` before them (idempotency window)."""
-    w = Window.partitionBy(*key).orderBy(ts, *tie)
-    gap = micros(ts) - micros(F.lag(ts).over(w))
-    return rows.withColumn("gap", gap).where("gap is null or gap > %d" % (seconds * 1_000_000)).drop("gap")
+    """Rows that an idempotency window of ``seconds`` accepts: the first of a key opens it, rows inside are repeats and don't
+    renew it, and the first row at its end or later opens the next one.
+
+    A key's rows pass through one task in order of time, and only the end of its window is held."""
+    micro = "weftline_micros"
+    spans = rows.withColumn(micro, micros(ts)).repartition(*key).sortWithinPartitions(*key, micro, *tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, 0
+        for batch in batches:
+            keep = []
+            for own, at in zip(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key)), batch.column(batch.schema.get_field_index(micro)).to_pylist()):
+                keep.append(own != last or at is None or at >= until)
+                if keep[-1]:
+                    last, until = own, (at or 0) + seconds * 1_000_000
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return spans.mapInArrow(run, spans.schema).drop(micro)

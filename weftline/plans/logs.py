@@ -54,7 +54,7 @@ def telemetry_rollup(spark, sf):
 
 
 def idempotent_events(spark, sf):
-    """Events without one of the same user and type in the day before them."""
+    """Events that a window of a day accepts for their user and type; repeats inside it don't renew it."""
     return logs.first_within(_events(spark, sf), ["user_id", "event_type"], "ts", 86400, "event_id").select("event_id")
 
 
@@ -122,7 +122,10 @@ SQL = {
     "latency_percentiles": """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 200)
         SELECT event_type, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.95), 2) AS p95, round(quantile_cont(value, 0.99), 2) AS p99, round(max(value), 2) AS most, count(*) AS n FROM l GROUP BY event_type""",
     "telemetry_rollup": "SELECT coalesce(event_type, 'untyped') AS event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(avg(value), 4) AS mean FROM events GROUP BY 1",
-    "idempotent_events": "SELECT event_id FROM (SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS gap FROM events) WHERE gap IS NULL OR gap > 86400000000",
+    "idempotent_events": """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events),
+        r AS (SELECT user_id, event_type, min((t, event_id)) AS x FROM e GROUP BY ALL
+              UNION ALL SELECT r.user_id, r.event_type, min((e.t, e.event_id)) FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.t >= r.x[1] + 86400000000 GROUP BY ALL)
+        SELECT x[2] AS event_id FROM r""",
     "revisioned_state": "SELECT user_id, count(*)::INT AS revision, arg_max(event_type, (ts, event_id)) AS current FROM events GROUP BY user_id",
     "unchanged_skip": "SELECT event_id, before FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type",
     "cursor_position": "SELECT event_id, ((sum((props->>'$.k')::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 17 + 17) % 17)::BIGINT AS slot FROM events",

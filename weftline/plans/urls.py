@@ -55,21 +55,23 @@ def link_targets(spark, sf):
 QUERIES = {f.__name__: f for f in (domain_of, domain_pages, url_path_tree, url_tokens, page_profile, link_targets)}
 
 _D, _P = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-_HREF = """CASE WHEN true THEN regexp_extract(b, '^([a-z]+://[^/?#]*)', 1) || lower(regexp_extract(substr(b, length(regexp_extract(b, '^([a-z]+://[^/?#]*)', 1)) + 1), '^([^?#]*)', 1))
-    || substr(substr(b, length(regexp_extract(b, '^([a-z]+://[^/?#]*)', 1)) + 1), length(regexp_extract(substr(b, length(regexp_extract(b, '^([a-z]+://[^/?#]*)', 1)) + 1), '^([^?#]*)', 1)) + 1) END"""
+_HREF = "lower(regexp_extract(b, '^([^?]*)', 1)) || substr(b, length(regexp_extract(b, '^([^?]*)', 1)) + 1)"
+_BASE = "CASE WHEN length(trim({0})) > 1 THEN regexp_replace(trim({0}), '/+$', '') ELSE trim({0}) END AS b"
+_STOP = ", ".join(f"'{x}'" for x in U.STOP_WORDS)
 _KIND = "CASE WHEN regexp_matches({0}, '^(data|blob):') THEN 'resource' WHEN regexp_matches({0}, '^(//|http)') THEN 'external' ELSE 'internal' END"
 _SEG = f"list_filter(string_split({_P}, '/'), lambda x: x <> '')"
 _TOK = "regexp_extract_all(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '%[0-9A-Fa-f][0-9A-Fa-f]', ' ', 'g')), '[a-z0-9]+')"
 
 SQL = {
-    "domain_of": f"SELECT page_id, {_D} AS domain, {_HREF} AS href, {_KIND.format('url')} AS kind FROM (SELECT *, regexp_replace(trim(url), '/+$', '') AS b FROM pages)",
+    "domain_of": f"SELECT page_id, {_D} AS domain, {_HREF} AS href, {_KIND.format('url')} AS kind FROM (SELECT *, {_BASE.format('url')} FROM pages)",
     "domain_pages": f"SELECT {_D} AS domain, count(*) AS n, count(DISTINCT {_P}) AS n_paths, max(len({_SEG}))::INT AS depth FROM pages GROUP BY 1",
     "url_path_tree": f"""WITH s AS (SELECT {_D} AS domain, {_SEG} AS parts FROM pages), r AS (SELECT domain, parts, unnest(range(1, len(parts) + 1)) AS depth FROM s)
         SELECT domain, depth::INT AS depth, '/' || array_to_string(parts[1:depth], '/') AS path, '/' || coalesce(array_to_string(parts[1:depth - 1], '/'), '') AS parent, count(*) AS n FROM r GROUP BY ALL""",
     "url_tokens": f"""SELECT page_id, array_to_string({_TOK}, ' ') AS tokens,
-        coalesce(array_to_string((WITH x AS (SELECT t, min(i) AS i FROM (SELECT unnest({_TOK}) AS t, generate_subscripts({_TOK}, 1) AS i) GROUP BY t) SELECT list(t ORDER BY i) FROM x
-            WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ('www', 'com', 'org', 'net', 'http', 'https', 'html', 'htm', 'php', 'index', 'the', 'and'))[1:8], ' '), '') AS semantic FROM pages""",
+        coalesce(array_to_string((WITH x AS (SELECT t, min(i) AS i FROM (SELECT unnest(p) AS t, generate_subscripts(p, 1) AS i) GROUP BY t) SELECT list(t ORDER BY i) FROM x
+            WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({_STOP}))[1:12], ' '), '') AS semantic
+        FROM (SELECT *, regexp_split_to_array(lower(regexp_extract(url, '^([^?#]*)', 1)), '[/?&#=.:_-]+') AS p FROM pages)""",
     "page_profile": "SELECT page_id, length(h)::INT AS n_chars, substr(sha256(h), 1, 16) AS snapshot, len(regexp_extract_all(h, '<a '))::INT AS n_links, len(regexp_extract_all(h, '<p>'))::INT AS n_paragraphs FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)",
-    "link_targets": f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), c AS (SELECT *, regexp_replace(trim(href), '/+$', '') AS b FROM l)
+    "link_targets": f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), c AS (SELECT *, {_BASE.format('href')} FROM l)
         SELECT {_KIND.format('href')} AS kind, {_HREF} AS href, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM c GROUP BY 1, 2""",
 }
