@@ -85,18 +85,26 @@ def verified_payloads(archive: Archive) -> DataFrame:
 
 def read_records(archive: Archive) -> DataFrame:
     """Every record: page_id, url, record_type, refers_to, payload_bytes, payload_digest of the full payload, ``payload``
-    and ``record``, the original bytes (a revisit's record ends after its head, as it has no payload of its own)."""
+    and ``record``, the original bytes (a revisit's record ends after its head, as it has no payload of its own).
+
+    A record is rebuilt by the join and its fields are read from its bytes; a response fails if its block isn't as long
+    as its head says or hasn't the digest that its head claims, a revisit if the payload it shares hasn't."""
     rows = archive.heads.join(verified_payloads(archive), "digest")
+    head = F.encode("head", "UTF-8")
+    body = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    rows = rows.select("head", F.octet_length(head).alias("at"), "payload", "payload_bytes", "payload_digest", F.concat(head, body, F.lit(b"\r\n\r\n")).alias("record"))
     kind = _field("WARC-Type")
-    body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
-    claimed = _field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest")
+    size = F.octet_length("record") - F.col("at") - 4
+    block = F.substring("record", F.col("at") + 1, size)
+    digest = F.when(kind == "response", F.sha1(block)).otherwise(F.col("payload_digest"))
+    sound = (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)) & (_field("Content-Length").cast("long") == size + len(HTTP_HEAD))
     return rows.select(
         _page("WARC-Record-ID").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
-        F.when(claimed, kind).otherwise(F.raise_error(F.lit("a head claims another payload"))).alias("record_type"),
+        F.when(sound, kind).otherwise(F.raise_error(F.lit("a record differs from what its head claims"))).alias("record_type"),
         _page("WARC-Refers-To").alias("refers_to"),
-        "payload_bytes",
-        "payload_digest",
+        F.when(kind == "response", size.cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        digest.alias("payload_digest"),
         "payload",
-        F.concat(F.encode("head", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"),
+        "record",
     )
