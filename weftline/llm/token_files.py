@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, root: str |
     spark = docs.sparkSession
     bounded_batches(spark)
     root = root or f"{shared_dir(spark).rstrip('/')}/weftline-tokens-{uuid.uuid4().hex}"
-    root = root if ":" in root else f"file://{root}"
+    root = _qualified(spark, root)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -80,22 +80,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, root: str |
     return spark.createDataFrame(found, f"{SHARD}, base long, root string")
 
 
-def _bytes(root: str, path: str) -> np.ndarray:
-    store, _ = fs.FileSystem.from_uri(root)
+def _qualified(spark, root: str) -> str:
+    """``root`` with the scheme that Spark gives it: a path without one lies in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _values(store: fs.FileSystem, path: str, dtype: str, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Values ``start`` to ``end`` of a file: mapped where the folder is local, else only these bytes are read."""
+    width = np.dtype(dtype).itemsize
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, mode="r") if store.get_file_info(path).size else np.zeros(0, np.uint8)
-    return np.frombuffer(store.open_input_stream(path).read(), np.uint8)
+        whole = np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
+        return whole[start:end]
+    with store.open_input_file(path) as f:
+        end = f.size() // width if end is None else end
+        return np.frombuffer(f.read_at((end - start) * width, start * width), dtype)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
-            ids = _bytes(x["root"], x["path"] + ".ids").view(f"<u{x['width']}")
-            offsets, docs = (_bytes(x["root"], f"{x['path']}.{kind}").view("<i8") for kind in ("offsets", "docs"))
+            store, _ = fs.FileSystem.from_uri(x["root"])
+            offsets, docs = (_values(store, f"{x['path']}.{kind}", "<i8") for kind in ("offsets", "docs"))
             for at in range(0, len(docs), 2000):
                 own = docs[at : at + 2000]
                 cut = offsets[at : at + len(own) + 1]
-                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                ids, near = _values(store, f"{x['path']}.ids", f"<u{x['width']}", int(cut[0]), int(cut[-1])), cut - cut[0]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(near[:-1].tolist(), near[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, mask=own == NO_ID), pa.array(x["base"] + cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
