@@ -41,26 +41,27 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     there = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
     rows = rows.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), "score")
     # up: the ancestor 2**k above, span and total: messages and score from here until just below it
-    jump = stash(rows.select("tree", "node", "up", F.lit(1).alias("span"), F.col("score").alias("total")), "jumps")
-    jumps, left = [], jump.where("up is not null").count()
-    while left:
-        jumps.append(jump)
-        above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
-        both = jump.where("up is not null").join(above, ["tree", "up"])  # messages that have reached their root rise no more
-        risen = both.select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
-        jump = stash(jump.where("up is null").union(risen), "jumps")
+    first = jump = stash(rows.select("tree", "node", "up", F.lit(1).alias("span"), F.col("score").alias("total")), "jumps")
+    jumps, resting, left = [], jump.where("up is null"), jump.where("up is not null").count()
+    while left:  # messages that have reached their root rise no more and are not written again
+        rising = jump.where("up is not null")
+        jumps.append(rising)
+        above = rising.union(resting).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
+        risen = rising.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
+        jump = stash(risen, "jumps")
+        resting = resting.union(jump.where("up is null"))
         before, left = left, jump.where("up is not null").count()
         if left == before:  # only messages on or below cycles still rise
             break
-    parents = rows.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = jump.where("up is null").join(parents, ["tree", "node"], "left_anti")
+    parents = first.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    leaves = resting.join(stash(first.select("tree", "node").join(parents, ["tree", "node"], "left_anti"), "leaves"), ["tree", "node"])
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "branch", F.col("span").alias("depth"), "node")
+    path = stash(chosen.select("tree", F.col("node").alias("leaf"), "branch", F.col("span").alias("depth"), "node"), "paths")
     for step in jumps:
-        rise = step.where("up is not null").select("tree", "node", "up", "span")
+        rise = step.select("tree", "node", "up", "span")
         more = path.join(rise, ["tree", "node"]).select("tree", "leaf", "branch", (F.col("depth") - F.col("span")).alias("depth"), F.col("up").alias("node"))
-        path = stash(path.union(more), "paths")
+        path = path.union(stash(more, "paths"))
     return path
 
 
@@ -99,12 +100,13 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 
 def conversation_tree(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each turn answers the one before it, ties ordered by role and
-    text.  Rows with a null conv_id are one conversation; a null turn comes first."""
+    text.  Rows with a null conv_id are one conversation; a null turn comes first.  The rows are written once, as several
+    joins read them."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order)
     rows = conversations.select("conv_id", "role", "text", node.alias("node"))
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    return rows.select(tree.alias("tree"), "conv_id", "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return stash(rows.select(tree.alias("tree"), "conv_id", "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")), "turns")
 
 
 def format_report(formatted: DataFrame) -> DataFrame:
