@@ -157,3 +157,104 @@ def test_url_and_text_helpers(spark):
     assert got == [("https://www.site.org/games/dos_list-2/?Q=A", "site games dos list"), ("/", ""), ("http://a/b", " http")]
     values = spark.createDataFrame([("data:image/png;base64,AA",), ("data:,x",), ("/a.png",)], "v string")
     assert [r[0] for r in values.select(T.compact_data_uri(F.col("v"))).collect()] == ["data:image/png", "data:inline", "/a.png"]
+
+
+def node_rows(spark, sf="/root/testdata/sf0.001"):
+    """The nodes of the smallest pages, and of pages with cards within cards, as dicts and as a table."""
+    card = "<li><p>{0}</p><ul><li>a</li><li>b</li></ul></li>"
+    made = [(-i, f"made{i % 2}", "<ul>" + "".join(card.format(x) for x in ("x", "y", str(i))) + "</ul>") for i in range(1, 4)] + [(-9, None, None)]
+    table = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").union(spark.createDataFrame(made, "page_id long, url string, html string"))
+    rows = [x for r in table.collect() for x in pages._page_rows(r.page_id, r.url, r.html)]
+    return rows, pages.nodes(table)
+
+
+def test_cross_page_matches_equal_brute_force(spark):
+    rows, table = node_rows(spark)
+    places = {}
+    for r in rows:
+        if r["size"] >= 3 and r["url"] is not None:
+            places.setdefault(r["exact"], {}).setdefault(r["url"], []).append((r["page_id"], r["node_id"], r["xpath"]))
+    expected = {(e, u, min(p)[2], len(p), len(urls), min(urls)) for e, urls in places.items() if len(urls) > 1 for u, p in urls.items()}
+    found = [tuple(r) for r in pages.cross_page_matches(table).collect()]
+    assert expected and len(found) == len(expected) and set(found) == expected
+
+
+def test_containment_equals_brute_force(spark):
+    rows, table = node_rows(spark)
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r["page_id"], []).append(r)
+    expected = set()
+    for own in by_page.values():
+        kinds = [r["template"] for r in own]
+        for r in own:
+            up = r
+            while r["parent_id"] >= 0 and kinds.count(r["template"]) > 1 and up["parent_id"] > 0:
+                up = own[up["parent_id"]]
+                if kinds.count(up["template"]) > 1:
+                    if up["height"] > r["height"]:
+                        expected.add((up["template"], r["template"]))
+                    break
+    found = pages.containment(table, least_height=0)
+    assert expected and {tuple(r) for r in found.collect()} == expected
+    depth = {r.node: r.depth for r in graph.depths(found).collect()}
+    assert set(depth) == {x for e in expected for x in e} and all(depth[b] > depth[a] for a, b in expected)
+
+
+def test_chunks_equal_brute_force(spark):
+    rows, table = node_rows(spark)
+    by_page, expected = {}, set()
+    for r in rows:
+        by_page.setdefault(r["page_id"], []).append(r)
+    for own in by_page.values():
+        size = [sum(len(x["text"]) for x in own[r["node_id"] : r["last_id"] + 1]) for r in own]
+        expected |= {(r["page_id"], r["node_id"], size[i]) for i, r in enumerate(own) if 0 < size[i] <= 200 and (r["parent_id"] < 0 or size[r["parent_id"]] > 200)}
+    assert {(r.page_id, r.node_id, r.n_chars) for r in pages.chunks(table, 200).collect()} == expected
+
+
+def test_depths_take_the_longest_path_and_refuse_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "c"), ("x", "c"), ("c", "d")], "src string, dst string")
+    assert {r.node: r.depth for r in graph.depths(edges).collect()} == {"a": 0, "x": 0, "b": 1, "c": 2, "d": 3}
+    with pytest.raises(ValueError):
+        graph.depths(edges.union(spark.createDataFrame([("d", "b")], edges.schema)))
+    assert graph.depths(edges.limit(0)).count() == 0
+
+
+def test_component_of_ignores_direction(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 3), (4, 5)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,), (5,), (9,)], "origin long")
+    assert {tuple(r) for r in graph.component_of(edges, seeds).collect()} == {(1, 1), (1, 2), (1, 3), (5, 4), (5, 5), (9, 9)}
+
+
+def test_personalised_ranks_keep_their_mass(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c")], "src string, dst string")
+    prior = {"a": 0.5, "b": 0.25, "c": 0.25}
+    rank = dict(prior)
+    for _ in range(20):
+        rank = {n: 0.15 * prior[n] + 0.85 * ({"a": 0.0, "b": rank["a"] / 2, "c": rank["a"] / 2 + rank["b"]}[n] + rank["c"] * prior[n]) for n in prior}
+    found = graph.personalised_pagerank(edges, spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 1.0)], "node string, weight double"))
+    found = {r.node: r["rank"] for r in found.collect()}
+    assert sum(found.values()) == pytest.approx(1) and found == pytest.approx(rank)
+
+
+def test_rollback_restores_what_was_before(spark):
+    log = spark.createDataFrame([(1, "t", None, "a"), (2, "t", "a", "b"), (3, "t", "b", None), (4, "u", None, "x"), (5, "v", None, "y"), (6, "v", "y", "z")], "edit_id int, target string, before string, after string")
+    assert {tuple(r) for r in logs.rolled_back(log, F.col("edit_id").between(2, 4)).collect()} == {("t", "a", 2), ("u", None, 1), ("v", "z", 0)}
+    assert {r.target: r.state for r in logs.rolled_back(log, F.lit(None).cast("boolean")).collect()} == {"t": None, "u": "x", "v": "z"}
+
+
+def test_frequencies_after_changes(spark):
+    post = lambda rows: spark.createDataFrame(rows, "doc int, term string")
+    old = post([(1, "a"), (1, "b"), (2, "b"), (3, "c")])
+    stats = old.groupBy("term").agg(F.count("*").alias("df"))
+    after = search.document_frequencies_after(stats, old, spark.createDataFrame([(3,), (8,)], "doc int"), post([(1, "a"), (1, "d"), (3, "e"), (4, "b")]))
+    assert {tuple(r) for r in after.collect()} == {("a", 1), ("b", 2), ("d", 1)}
+
+
+@pytest.mark.parametrize("fold", [search.signed_hash_vectors, search.random_projection])
+def test_hashed_vectors_have_length_one(spark, fold):
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 4.0), (2, "b", 2.0), (3, "c", 0.0)], "doc int, term string, weight double")
+    by = {}
+    for r in fold(rows).collect():
+        by.setdefault(r.doc, {})[r.dim] = r.weight
+    assert sum(x * x for x in by[1].values()) == pytest.approx(1) and by[1] == pytest.approx(by[2]) and not any(by[3].values())

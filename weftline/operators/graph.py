@@ -15,6 +15,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     for step in range(1, depth + 1):
         more = frontier.join(edges, frontier.node == edges.src).select("origin", F.col("dst").alias("node")).distinct()
         frontier = more.join(seen, ["origin", "node"], "left_anti").withColumn("distance", F.lit(step))
+        if _checkpointed(edges):  # it is read twice: by the next step and by the result
+            frontier = frontier.checkpoint()
         seen = seen.union(frontier)
     return seen
 
@@ -40,6 +42,65 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, n: int |
     return rank
 
 
+def personalised_pagerank(edges: DataFrame, prior: DataFrame, damping: float = 0.85, rounds: int = 20, checkpoint_every: int = 5) -> DataFrame:
+    """(node, rank) after fixed rounds, started from and drawn back to ``prior`` (node, weight), which is scaled to one.
+
+    Repeated edges count once, edges from or to nodes without a prior lose their share, and the mass of nodes without
+    out-edges goes back by the prior. An empty prior gives no rows."""
+    total = prior.agg(F.sum("weight")).first()[0]
+    nodes = prior.select("node", (F.col("weight") / F.lit(float(total or 1))).alias("prior"))
+    links = edges.select("src", "dst").distinct()
+    out = links.groupBy("src").agg(F.count("*").alias("deg"))
+    nodes = nodes.join(out.withColumnRenamed("src", "node"), "node", "left")
+    if _checkpointed(edges):
+        nodes, links = nodes.checkpoint(), links.checkpoint()
+    rank = nodes.withColumn("rank", F.col("prior"))
+    for i in range(1, rounds + 1):
+        gain = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("gain"))
+        idle = rank.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))  # one row
+        kept = nodes.join(gain, nodes.node == gain.dst, "left").crossJoin(F.broadcast(idle))
+        rank = kept.select("node", "prior", "deg", ((1 - damping) * F.col("prior") + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("idle") * F.col("prior"))).alias("rank"))
+        if i % checkpoint_every == 0 and i < rounds and _checkpointed(edges):
+            rank = rank.checkpoint()
+    return rank.select("node", "rank")
+
+
+def component_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(origin, node): everything connected with each seed (origin), directions ignored, the seed included.
+
+    Each round joins the frontier alone and is written, so the work is in proportion to the component's edges."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seen = frontier = seeds.select("origin", F.col("origin").alias("node"))
+    while not frontier.isEmpty():
+        more = frontier.join(both, frontier.node == both.src).select("origin", F.col("dst").alias("node")).distinct()
+        frontier = more.join(seen, ["origin", "node"], "left_anti")
+        if _checkpointed(edges):
+            frontier = frontier.checkpoint()
+        seen = seen.union(frontier)
+    return seen
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest path from a node without in-edges to each node of an acyclic graph.
+
+    Round i holds the nodes that a path of i edges reaches; a node's depth is the last round that holds it. Raises on a
+    cycle below a root; nodes that no root reaches are left out."""
+    links = edges.select("src", "dst").distinct()
+    n = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    inner = links.select(F.col("dst").alias("src")).distinct()
+    level = links.join(inner, "src", "left_anti").select(F.col("src").alias("node")).distinct().withColumn("depth", F.lit(0))
+    held, i = level, 0
+    while not level.isEmpty():
+        i += 1
+        if i > n:
+            raise ValueError("the graph has a cycle")
+        level = level.join(links, level.node == links.src).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(i))
+        if _checkpointed(edges):
+            level = level.checkpoint()
+        held = held.union(level)
+    return held.groupBy("node").agg(F.max("depth").alias("depth"))
+
+
 def circuits(edges: DataFrame) -> DataFrame:
     """(path, least): every elementary circuit of (src, dst, n) once, from its smallest node, with the least n on it; loops are circuits of one node.
 

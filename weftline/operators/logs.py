@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,14 @@ def first_within(rows: DataFrame, key: list[str], ts: str, seconds: int, *tie: s
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return spans.mapInArrow(run, spans.schema).drop(micro)
+
+
+def rolled_back(log: DataFrame, undone: Column) -> DataFrame:
+    """(target, state, n_undone): the state of each target once the edits that ``undone`` marks are reversed, latest first.
+
+    ``log`` has edit_id, target, before and after. Reversing an edit restores what was before it, so the earliest undone
+    edit decides; targets without one keep what their last edit left. A null state is a deleted target."""
+    rows = log.select("target", "edit_id", "before", "after", F.coalesce(undone, F.lit(False)).alias("undone"))
+    first = F.min_by("before", F.when(F.col("undone"), F.col("edit_id")))
+    both = rows.groupBy("target").agg(first.alias("before"), F.max_by("after", "edit_id").alias("after"), F.count_if("undone").alias("n_undone"))
+    return both.select("target", F.when(F.col("n_undone") > 0, F.col("before")).otherwise(F.col("after")).alias("state"), "n_undone")

@@ -133,12 +133,10 @@ def sibling_duplicates(rows: DataFrame) -> DataFrame:
 def chunks(rows: DataFrame, budget: int) -> DataFrame:
     """(page_id, node_id, xpath, n_chars, text): the largest subtrees with at most ``budget`` signs of text.
 
-    A node's text size is a running sum over its interval, so no join on ranges is needed."""
-    order = Window.partitionBy("page_id").orderBy("node_id")
-    whole = Window.partitionBy("page_id")
-    run = rows.withColumn("until", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = F.map_from_entries(F.collect_list(F.struct("node_id", "until")).over(whole))
-    sized = run.withColumn("n_chars", F.element_at(ends, F.col("last_id")) - F.col("until") + F.length("text"))
+    A node's text size is a running sum over its interval, looked up at the interval's last node by an equality join."""
+    run = rows.withColumn("until", F.sum(F.length("text")).over(Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = run.select("page_id", F.col("node_id").alias("last_id"), F.col("until").alias("end"))
+    sized = run.join(ends, ["page_id", "last_id"]).withColumn("n_chars", F.col("end") - F.col("until") + F.length("text"))
     parents = sized.select("page_id", F.col("node_id").alias("parent_id"), F.col("n_chars").alias("above"))
     top = sized.join(parents, ["page_id", "parent_id"], "left").where((F.col("n_chars") > 0) & (F.col("n_chars") <= budget) & F.coalesce(F.col("above") > budget, F.lit(True)))
     return top.select("page_id", "node_id", "xpath", "n_chars")
@@ -160,3 +158,25 @@ def without_repeats(rows: DataFrame) -> DataFrame:
     marked = rows.withColumn("again", (F.row_number().over(w) > 1) & (F.col("size") > 1))
     reach = F.max(F.when(F.col("again"), F.col("last_id"))).over(Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("masked", F.coalesce(reach >= F.col("node_id"), F.lit(False))).where("not masked").drop("again", "masked")
+
+
+def cross_page_matches(rows: DataFrame, least_size: int = 3) -> DataFrame:
+    """(exact, url, xpath, n, n_urls, first_url): subtrees of at least ``least_size`` nodes that several urls hold.
+
+    One row per subtree and url with its first path there and the number of its places; each url is tied to the smallest
+    url of the group, so a subtree of all pages gives one row a page and not one a pair of pages."""
+    own = rows.where((F.col("size") >= least_size) & F.col("url").isNotNull()).groupBy("exact", "url").agg(F.min_by("xpath", F.struct("page_id", "node_id")).alias("xpath"), F.count("*").alias("n"))
+    groups = own.groupBy("exact").agg(F.count("*").alias("n_urls"), F.min("url").alias("first_url")).where("n_urls >= 2")
+    return own.join(groups, "exact").select("exact", "url", "xpath", "n", "n_urls", "first_url")
+
+
+def containment(rows: DataFrame, least: int = 2, least_height: int = 1) -> DataFrame:
+    """(src, dst): distinct edges from the template of each node's nearest marked ancestor to its own, both repeating in their page.
+
+    Nodes are marked if their template repeats. The edge needs a higher ancestor, and a template fixes its height, so the
+    edges are acyclic."""
+    marked = rows.join(templates(rows, least, least_height).select("page_id", "template"), ["page_id", "template"]).where("parent_id >= 0")
+    up = marked.select("page_id", "node_id", "template", "height", F.explode(X.prefixes(F.col("xpath"))).alias("above"), "xpath").where("above <> xpath").drop("xpath")
+    tops = marked.select("page_id", F.col("xpath").alias("above"), F.col("template").alias("src"), F.col("height").alias("top"))
+    near = up.join(tops, ["page_id", "above"]).groupBy("page_id", "node_id", F.col("template").alias("dst"), "height").agg(F.min_by(F.struct("src", "top"), "top").alias("p"))
+    return near.where("p.top > height").select("p.src", "dst").distinct()

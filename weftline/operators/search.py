@@ -71,3 +71,44 @@ def jaccard(left: DataFrame, right: DataFrame, weight: DataFrame | None = None)
     shared = left.join(right.drop("w"), "token").groupBy("l", "r").agg(F.sum("w").alias("s"))
     a, b = left.groupBy("l").agg(F.sum("w").alias("a")), right.groupBy("r").agg(F.sum("w").alias("b"))
     return shared.join(a, "l").join(b, "r").select("l", "r", (F.col("s") / (F.col("a") + F.col("b") - F.col("s"))).alias("score"))
+
+
+def document_frequencies_after(stats: DataFrame, postings: DataFrame, leaving: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(term, df) of an index once the documents ``leaving`` (doc) are out and the postings ``arriving`` (doc, term) are in.
+
+    Documents that arrive replace their old postings. Only the changed documents' postings are counted; ``stats`` (term,
+    df) holds the rest."""
+    gone = leaving.select("doc").union(arriving.select("doc")).distinct()
+    minus = postings.join(gone, "doc", "left_semi").select("term", F.lit(-1).alias("df"))
+    kept = arriving.join(leaving.select("doc"), "doc", "left_anti").select("term", F.lit(1).alias("df"))
+    return stats.select("term", "df").union(minus).union(kept).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+def _hex(column: Column, start: int, length: int) -> Column:
+    return F.conv(F.substring(F.md5(column), start, length), 16, 10).cast("long")
+
+
+def signed_hash_vectors(weights: DataFrame, dims: int = 1024) -> DataFrame:
+    """(doc, dim, weight): rows (doc, term, weight) folded into signed hash buckets and scaled to length one.
+
+    The first eight hex digits of the term's MD5 give the bucket, the ninth the sign. Buckets that cancel out stay, with 0;
+    vectors of length 0 stay as they are."""
+    sign = F.when(_hex(F.col("term"), 9, 1) < 8, 1.0).otherwise(-1.0)
+    rows = weights.groupBy("doc", F.pmod(_hex(F.col("term"), 1, 8), F.lit(dims)).cast("int").alias("dim")).agg(F.sum(F.col("weight") * sign).alias("weight"))
+    return _unit(rows)
+
+
+def random_projection(weights: DataFrame, dims: int = 16) -> DataFrame:
+    """(doc, dim, weight): rows (doc, term, weight) projected to ``dims`` (at most 32) dense numbers and scaled to length one.
+
+    A term's row of the matrix is one sign a dimension, a bit of its MD5, so no matrix is kept and no vocabulary is
+    needed (signs keep distances as normal numbers do). Sums are made once for all dimensions before rows are turned."""
+    bits = weights.select("doc", "weight", _hex(F.col("term"), 1, 8).alias("bits"))
+    sums = [F.sum(F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{i}") for i in range(dims)]
+    rows = bits.groupBy("doc").agg(*sums).select("doc", F.posexplode(F.array(*[f"s{i}" for i in range(dims)])).alias("dim", "weight"))
+    return _unit(rows)
+
+
+def _unit(rows: DataFrame) -> DataFrame:
+    size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc")))
+    return rows.select("doc", "dim", (F.col("weight") / F.when(size > 0, size).otherwise(1.0)).alias("weight"))
