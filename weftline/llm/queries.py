@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import conversation_tree, format_conversations, format_report
+from .conversation_repair import damage_and_repair
 from .decontamination import contamination
+from .hyperminhash import near_duplicates
 from .lm_scoring import cross_entropy_difference
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
@@ -18,6 +20,7 @@ from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
 from .toxicity import toxicity
 from .warc import read_records, write_archive
+from .whitening import whiten
 from .wrapper import main_text
 
 
@@ -68,6 +71,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -123,11 +138,55 @@ SQL = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS f FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE f <> 0),
+        r AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+        q AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, blank, NOT blank AND nth > 1 AS dup, NOT blank AND nth = 1 AND regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') AS cut,
+                     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r),
+        nx(s, t, line) AS (VALUES (0, 2, 'user:'), (1, 2, 'user:'), (2, 3, 'assistant:'), (3, 2, 'user:')),
+        ins AS (SELECT DISTINCT s, s AS t, '' AS e, 0 AS cost, '' AS lines FROM nx UNION ALL SELECT s, t, 'I', 2, chr(10) || line FROM nx
+                UNION ALL SELECT a.s, b.t, 'II', 4, chr(10) || a.line || chr(10) || b.line FROM nx a JOIN nx b ON b.s = a.t),
+        mv AS (SELECT s, t, e || 'D' AS e, cost + 3 AS cost, lines, NULL AS need, 'D' AS kind, '' AS head FROM ins
+               UNION ALL SELECT ins.s, nx.t, e || 'R', cost + 2, lines, NULL, 'R', chr(10) || line FROM ins JOIN nx ON nx.s = ins.t
+               UNION ALL SELECT ins.s, nx.t, e || 'K', cost, lines, line[1], 'K', '' FROM ins JOIN nx ON nx.s = ins.t
+               UNION ALL SELECT s, 1, e || 'K', cost, lines, 's', 'K', '' FROM ins WHERE t = 0),
+        dp AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS best FROM d
+            UNION ALL
+            SELECT dp.conv_id, q.i, mv.t, min({'cost': best.cost + mv.cost + CASE WHEN cut AND kind <> 'D' THEN 1 ELSE 0 END, 'audit': best.audit || mv.e,
+                   'lines': best.lines || mv.lines || CASE kind WHEN 'D' THEN '' WHEN 'R' THEN mv.head || text ELSE chr(10) || role || ':' || text END})
+            FROM dp JOIN q ON q.conv_id IS NOT DISTINCT FROM dp.conv_id AND q.i = dp.i + 1 JOIN mv ON mv.s = dp.s AND (kind = 'D' OR NOT blank AND NOT dup AND (need IS NULL OR need = initial))
+            GROUP BY dp.conv_id, q.i, mv.t),
+        n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                     count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY conv_id),
+        f AS (SELECT n.conv_id, min({'cost': best.cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': best.audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                     'lines': best.lines || CASE s WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}) AS best
+              FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = n.n GROUP BY n.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.lines[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id""",
+    "op13_minhash_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' ')))
+                                                  WHEN len(w) > 0 THEN [md5(array_to_string(w, ' ') || ' ')] ELSE [] END) AS h FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT node, b FROM r JOIN e ON seen = a),
+        c AS (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op6_toxicity, op7_decontamination, op8_packing, op9_lm_scoring, op10_topk_search)
+    own = (op1_ngram_jaccard_join, op2_warc_archive, op3_chat_format, op4_token_files, op5_wrapper_text, op6_toxicity, op7_decontamination, op8_packing, op9_lm_scoring, op10_topk_search, op11_embedding_whitening, op12_conversation_repair, op13_minhash_near_dedup)
     return {f.__name__: f for f in own}
 
 
