@@ -11,9 +11,9 @@ after the first one.  Steps:
 4. What is left is verified on the full sets.
 
 All texts of a key are first compared with its smallest one only.  In most keys that links all of them.  In the others
-each text outside the largest component so far is compared with all texts of the key that it isn't linked with, in tiles
-of bounded size.  So a large group of near copies costs a pair for each text, not for each two texts, and no link between
-components is lost.
+each text outside the largest component so far is verified with the text that looks most like it among those that it
+isn't linked with, as long as that gives links.  What isn't linked then is verified pair by pair.  So a large group of near
+copies costs a few pairs for each text, not one for each two texts, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS, ROWS, MANTISSA_BITS = 48, 5, 10
 #: Standard deviations by which an estimate may fall short of the threshold; texts of a tile's left side; texts that are
 #: verified with the same text in one go.
 SLACK, TILE, TOGETHER = 6.5, 256, 256
+#: Shingles of a tile's left side.
+TILE_SHINGLES = 500_000
 #: A class with more copies is joined by broadcast, if there are at most so many of them.
 HOT_COPIES, FEW_CLASSES = 500, 100_000
 
@@ -134,6 +136,15 @@ def _estimated(percent: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``percent`` hundredths."""
+    few, many = sorted((x, y), key=len)
+    if 100 * len(few) < percent * len(many):
+        return False
+    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return 100 * common >= percent * (len(few) + len(many) - common)
+
+
 def _verified(k: int, percent: int):
     """Reads (b, part, a, text) sorted by b and part, b's own text (a is null) first; gives the pairs that are links."""
 
@@ -146,41 +157,88 @@ def _verified(k: int, percent: int):
                     cell, head = (b, part), own
                     continue
                 assert (b, part) == cell
-                few, many = sorted((own, head), key=len)
-                if 100 * len(few) >= percent * len(many):
-                    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-                    if 100 * common >= percent * (len(few) + len(many) - common):
-                        found.append((a, b))
+                if _similar(own, head, percent):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _tiles(percent: int):
-    """Reads (key, i, j, right, node, least, n, sketch) sorted by tile, its left side first; gives pairs of the two sides
-    that aren't known to be linked and whose estimate leaves room for a link."""
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of tiles with the index of their batch's end: (tile, right, node, least, outside, n, sketch, text)."""
+    for batch in batches:
+        if batch.num_rows:
+            names = ("key", "i", "j", "right", "node", "least", "outside", "n", "text")
+            for row in zip(*(batch.column(c).to_pylist() for c in names), _sketches(batch.column("sketch"))):
+                yield row[:3], *row[3:8], row[9], row[8]
+
+
+class _Left:
+    """The left side of a tile. Rows are (node, least, outside, n, sketch, text)."""
+
+    def __init__(self, rows: list[tuple], percent: int, k: int):
+        self.node, self.least, self.outside, self.n, self.sketch = (np.array([r[c] for r in rows]) for c in range(5))
+        self.texts, self.sets, self.percent, self.k = [r[5] for r in rows], {}, percent, k
+        self.keys = band_keys(self.sketch)
+
+    def like(self, row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Those that aren't known to be linked with a right row and whose estimate leaves room for it, with their estimates."""
+        _, least, _, n, sketch, _ = row
+        near = np.flatnonzero((self.least != least) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n)))
+        guess = estimate((self.sketch[near] == sketch).sum(1), self.n[near], np.full(len(near), n))
+        fits = guess >= least_estimate(self.percent)
+        return near[fits], guess[fits]
+
+    def links(self, key: int, row: tuple) -> list[tuple[int, int]]:
+        """Verified links with a right row. A pair with several common keys is left to the first; two texts outside the largest component meet twice."""
+        node, _, outside, _, sketch, text = row
+        near, _ = self.like(row)
+        if outside:
+            near = near[self.node[near] < node]
+        if len(near):
+            common = self.keys[near] == band_keys(sketch[None])
+            near = near[self.keys[near, common.argmax(1)] == key]
+        if not len(near):
+            return []
+        own = next(kernels.shingle_sets([text], self.k))
+        for x in near.tolist():
+            if x not in self.sets:
+                self.sets[x] = next(kernels.shingle_sets([self.texts[x]], self.k))
+        return [(int(self.node[x]), node) for x in near.tolist() if _similar(own, self.sets[x], self.percent)]
+
+
+def _tiles(percent: int, k: int, exact: bool):
+    """Reads tiles' rows sorted, the left side first; gives (key, a, b), b the smaller: links, or for each left text the one that looks most like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, left, held = None, [], None
-        for batch in batches:
-            found = [[], []]
-            names = ("key", "i", "j", "right", "node", "least", "n")
-            rows = zip(*(batch.column(c).to_pylist() for c in names), _sketches(batch.column("sketch")) if batch.num_rows else [])
-            for key, i, j, right, node, least, n, sketch in rows:
-                if (key, i, j) != tile:
-                    tile, left, held = (key, i, j), [], None
-                if not right:
-                    left.append((node, least, n, sketch))
-                elif left:
-                    if held is None:
-                        held = [np.array(x) for x in zip(*left)]
-                    apart = (held[1] != least) & (held[0] != node) & (100 * np.minimum(held[2], n) >= percent * np.maximum(held[2], n))
-                    near = np.flatnonzero(apart)
-                    near = near[estimate((held[3][near] == sketch).sum(1), held[2][near], np.full(len(near), n)) >= least_estimate(percent)]
-                    for other in held[0][near].tolist():
-                        found[0].append(max(other, node))
-                        found[1].append(min(other, node))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+        tile, rows, left, top, found = None, [], None, None, []
+
+        def chosen() -> list[tuple[int, int, int]]:
+            return [] if left is None or exact else [(tile[0], int(x), y) for x, y, guess in zip(left.node, top[1], top[0]) if guess]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (lambda x: x[0], lambda x: max(x[1:]), lambda x: min(x[1:]))], ["key", "a", "b"])
+
+        for at, right, *row in _tile_rows(batches):
+            if at != tile:
+                found += chosen()
+                tile, rows, left = at, [], None
+                if len(found) > 10_000:
+                    yield out()
+                    found = []
+            if not right:
+                rows.append(row)
+                continue
+            if left is None and rows:
+                left, top = _Left(rows, percent, k), ([0.0] * len(rows), [0] * len(rows))
+            if left is not None and exact:
+                found += [(tile[0], *x) for x in left.links(tile[0], row)]
+            elif left is not None:
+                for x, guess in zip(*left.like(row)):
+                    if guess > top[0][x]:
+                        top[0][x], top[1][x] = guess, row[0]
+        found += chosen()
+        yield out()
 
     return run
 
@@ -235,20 +293,34 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, tile: int =
     tied = tied.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     links = verify(tied.mapInArrow(_estimated(percent), "a long, b long"))
 
-    # keys whose texts are not all linked by now: those outside the key's largest component meet all of the key
+    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+
+    def apart(rows: DataFrame, exact: bool) -> DataFrame:
+        """(key, a, b) of texts with a common key that aren't linked so far: a key's texts outside its largest component meet all of its texts."""
+        known = rows.join(linked, "node", "left").withColumn("least", F.coalesce("least", "node")).join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
+        groups = known.groupBy("key", "least").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        split = groups.groupBy("key").agg(F.max_by("least", F.struct("c", "least")).alias("top"), F.max(F.struct("c", "least", "n")).alias("x"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("c > x.c")
+        parts = lambda c, n, size: F.ceil(F.greatest(c / F.lit(size), n / F.lit(size * TILE_SHINGLES // TILE))).cast("int")
+        sizes = split.select("key", "top", parts(F.col("c") - F.col("x.c"), F.col("n") - F.col("x.n"), tile).alias("lefts"), parts(F.col("c"), F.col("n"), 16 * tile).alias("rights"))
+        sides = stash(known.select("key", "node", "least").join(sizes, "key").withColumn("outside", F.col("least") != F.col("top")), "sides")
+        part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = sides.where("outside").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(False).alias("right"), "node", "least", "outside")
+        right = sides.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(True).alias("right"), "node", "least", "outside")
+        held = sketch("node", "n", "sketch")
+        held = held.join(_only(texts, sides.select("node").distinct(), "left_semi", "node").dropDuplicates(["node"]), "node") if exact else held.withColumn("text", F.lit(None).cast("string"))
+        tiles = left.union(right).join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "node")
+        return stash(tiles.mapInArrow(_tiles(percent, k, exact), "key long, a long, b long"), "apart")
+
+    # each round at least halves the components that the best pairs can join, until none of these pairs is a link
     linked = stash(components(links).toDF("node", "least"), "linked")
-    known = rows.join(linked, "node", "left").withColumn("least", F.coalesce("least", "node"))
-    groups = known.groupBy("key", "least").agg(F.count("*").alias("c"))
-    split = groups.groupBy("key").agg(F.max_by("least", F.struct("c", "least")).alias("top"), F.max("c").alias("inside"), F.sum("c").alias("c")).where("c > inside")
-    sizes = split.select("key", "top", F.ceil((F.col("c") - F.col("inside")) / F.lit(tile)).cast("int").alias("lefts"), F.ceil(F.col("c") / F.lit(tile * 16)).cast("int").alias("rights"))
-    sides = stash(known.join(sizes, "key"), "sides")
-    part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = sides.where("least <> top").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(False).alias("right"), "node", "least")
-    right = sides.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(True).alias("right"), "node", "least")
-    tiles = left.union(right).join(sketch("node", "n", "sketch"), "node").select("key", "i", "j", "right", "node", "least", "n", "sketch")
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "node")
-    links = links.union(verify(tiles.mapInArrow(_tiles(percent), "a long, b long").distinct()))
+    while not (pairs := apart(rows, exact=False)).isEmpty():
+        rows = stash(rows.join(pairs.select("key").distinct(), "key", "left_semi"), "bands")
+        if (more := verify(pairs.select("a", "b").distinct())).isEmpty():
+            links = links.union(apart(rows, exact=True).select("a", "b"))
+            break
+        links = links.union(more)
+        linked = stash(components(links).toDF("node", "least"), "linked")
 
     whole = components(links).toDF("rep", "least")
     found = members.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))

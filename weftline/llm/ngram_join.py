@@ -260,9 +260,9 @@ def _link_cells(k: int, percent: int):
     return run
 
 
-def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _only(rows: DataFrame, ids: DataFrame, how: str, name: str = "doc_id") -> DataFrame:
     """Semi or anti join with ids; they are broadcast if they are few, and both sides are shuffled otherwise."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how)
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, name, how)
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, small_block: int = SMALL_BLOCK, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
