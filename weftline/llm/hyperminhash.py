@@ -11,9 +11,9 @@ after the first one.  Steps:
 4. What is left is verified on the full sets.
 
 All texts of a key are first compared with its smallest one only.  In most keys that links all of them.  In the others
-each text outside the largest component so far is verified with the text that looks most like it among those that it
-isn't linked with, as long as that gives links.  What isn't linked then is verified pair by pair.  So a large group of near
-copies costs a few pairs for each text, not one for each two texts, and no link between components is lost.
+the texts outside the largest component so far are compared, in tiles of bounded size, with all texts of the key that
+they aren't linked with; only links leave a tile.  So a large group of near copies gives a pair for each text, not for each
+two texts, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -74,16 +74,21 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_EDGES = np.log1p(-np.concatenate([[1 - 1e-16], 0.5 ** np.arange(1, 54), [0.0]]))  # hashes of i leading zeros lie between two of these
+
+
+def zeros(n: np.ndarray) -> np.ndarray:
+    """Probabilities of each number of leading zeros of the least of n hashes."""
+    return np.diff(np.exp(np.multiply.outer(np.asarray(n, np.float64), _EDGES)), axis=-1)
+
+
 def by_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that the registers of two disjoint sets of n and m hashes are equal."""
-    edges = np.append(0.5 ** np.arange(1, 54), 0.0)  # hashes of i leading zeros lie from edges[i] to twice that
-    share = lambda k: np.diff(np.exp(np.multiply.outer(np.asarray(k, np.float64), np.log1p(-np.append(1 - 1e-16, edges)))), axis=-1)
-    return (share(n) * share(m)).sum(-1) / (1 << MANTISSA_BITS)
+    return (zeros(n) * zeros(m)).sum(-1) / (1 << MANTISSA_BITS)
 
 
-def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def estimate(equal: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the number of equal registers, corrected by the expected chance collisions."""
-    chance = by_chance(n, m)
     return (equal / (BANDS * ROWS) - chance) / (1 - chance)
 
 
@@ -130,7 +135,7 @@ def _estimated(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                fits = estimate((_sketches(batch.column("x")) == _sketches(batch.column("y"))).sum(1), n, m) >= least_estimate(percent)
+                fits = estimate((_sketches(batch.column("x")) == _sketches(batch.column("y"))).sum(1), by_chance(n, m)) >= least_estimate(percent)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fits)) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -164,81 +169,55 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of tiles with the index of their batch's end: (tile, right, node, least, outside, n, sketch, text)."""
-    for batch in batches:
-        if batch.num_rows:
-            names = ("key", "i", "j", "right", "node", "least", "outside", "n", "text")
-            for row in zip(*(batch.column(c).to_pylist() for c in names), _sketches(batch.column("sketch"))):
-                yield row[:3], *row[3:8], row[9], row[8]
-
-
 class _Left:
     """The left side of a tile. Rows are (node, least, outside, n, sketch, text)."""
 
     def __init__(self, rows: list[tuple], percent: int, k: int):
         self.node, self.least, self.outside, self.n, self.sketch = (np.array([r[c] for r in rows]) for c in range(5))
         self.texts, self.sets, self.percent, self.k = [r[5] for r in rows], {}, percent, k
-        self.keys = band_keys(self.sketch)
+        self.keys, self.zeros = band_keys(self.sketch), zeros(self.n)
 
-    def like(self, row: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Those that aren't known to be linked with a right row and whose estimate leaves room for it, with their estimates."""
-        _, least, _, n, sketch, _ = row
-        near = np.flatnonzero((self.least != least) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n)))
-        guess = estimate((self.sketch[near] == sketch).sum(1), self.n[near], np.full(len(near), n))
-        fits = guess >= least_estimate(self.percent)
-        return near[fits], guess[fits]
-
-    def links(self, key: int, row: tuple) -> list[tuple[int, int]]:
+    def links(self, key: int, row: tuple, keys: np.ndarray, zeros: np.ndarray) -> list[tuple[int, int]]:
         """Verified links with a right row. A pair with several common keys is left to the first; two texts outside the largest component meet twice."""
-        node, _, outside, _, sketch, text = row
-        near, _ = self.like(row)
-        if outside:
-            near = near[self.node[near] < node]
-        if len(near):
-            common = self.keys[near] == band_keys(sketch[None])
-            near = near[self.keys[near, common.argmax(1)] == key]
+        node, least, outside, n, sketch, text = row
+        fits = (self.least != least) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n))
+        near = np.flatnonzero(fits & (self.node < node) if outside else fits)
+        near = near[self.keys[near, (self.keys[near] == keys).argmax(1)] == key]
+        near = near[estimate((self.sketch[near] == sketch).sum(1), self.zeros[near] @ zeros / (1 << MANTISSA_BITS)) >= least_estimate(self.percent)]
         if not len(near):
             return []
-        own = next(kernels.shingle_sets([text], self.k))
+        own, found = next(kernels.shingle_sets([text], self.k)), []
         for x in near.tolist():
+            if self.least[x] == least:  # linked meanwhile
+                continue
             if x not in self.sets:
                 self.sets[x] = next(kernels.shingle_sets([self.texts[x]], self.k))
-        return [(int(self.node[x]), node) for x in near.tolist() if _similar(own, self.sets[x], self.percent)]
+            if _similar(own, self.sets[x], self.percent):
+                found.append((int(self.node[x]), node))
+                self.least[self.least == self.least[x]] = least
+        return found
 
 
-def _tiles(percent: int, k: int, exact: bool):
-    """Reads tiles' rows sorted, the left side first; gives (key, a, b), b the smaller: links, or for each left text the one that looks most like it."""
+def _tiles(percent: int, k: int):
+    """Reads (key, i, j, right, node, least, outside, n, sketch, text) sorted by tile, the left side first; gives the links between the two sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows, left, top, found = None, [], None, None, []
-
-        def chosen() -> list[tuple[int, int, int]]:
-            return [] if left is None or exact else [(tile[0], int(x), y) for x, y, guess in zip(left.node, top[1], top[0]) if guess]
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (lambda x: x[0], lambda x: max(x[1:]), lambda x: min(x[1:]))], ["key", "a", "b"])
-
-        for at, right, *row in _tile_rows(batches):
-            if at != tile:
-                found += chosen()
-                tile, rows, left = at, [], None
-                if len(found) > 10_000:
-                    yield out()
-                    found = []
-            if not right:
-                rows.append(row)
-                continue
-            if left is None and rows:
-                left, top = _Left(rows, percent, k), ([0.0] * len(rows), [0] * len(rows))
-            if left is not None and exact:
-                found += [(tile[0], *x) for x in left.links(tile[0], row)]
-            elif left is not None:
-                for x, guess in zip(*left.like(row)):
-                    if guess > top[0][x]:
-                        top[0][x], top[1][x] = guess, row[0]
-        found += chosen()
-        yield out()
+        tile, rows, left = None, [], None
+        for batch in batches:
+            found = []
+            if batch.num_rows:
+                sketches = _sketches(batch.column("sketch"))
+                columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "right", "node", "least", "outside", "n", "text")]
+                for i, (*at, right, node, least, outside, n, text) in enumerate(zip(*columns)):
+                    if at != tile:
+                        tile, rows, left = at, [], None
+                    row = (node, least, outside, n, sketches[i], text)
+                    if not right:
+                        rows.append(row)
+                    elif rows:
+                        left = left or _Left(rows, percent, k)
+                        found += left.links(at[0], row, band_keys(sketches[i : i + 1])[0], zeros(n))
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (max, min)], ["a", "b"])
 
     return run
 
@@ -293,34 +272,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, tile: int =
     tied = tied.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     links = verify(tied.mapInArrow(_estimated(percent), "a long, b long"))
 
+    # a key's texts outside its largest component meet all of its texts
     texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-
-    def apart(rows: DataFrame, exact: bool) -> DataFrame:
-        """(key, a, b) of texts with a common key that aren't linked so far: a key's texts outside its largest component meet all of its texts."""
-        known = rows.join(linked, "node", "left").withColumn("least", F.coalesce("least", "node")).join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
-        groups = known.groupBy("key", "least").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-        split = groups.groupBy("key").agg(F.max_by("least", F.struct("c", "least")).alias("top"), F.max(F.struct("c", "least", "n")).alias("x"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("c > x.c")
-        parts = lambda c, n, size: F.ceil(F.greatest(c / F.lit(size), n / F.lit(size * TILE_SHINGLES // TILE))).cast("int")
-        sizes = split.select("key", "top", parts(F.col("c") - F.col("x.c"), F.col("n") - F.col("x.n"), tile).alias("lefts"), parts(F.col("c"), F.col("n"), 16 * tile).alias("rights"))
-        sides = stash(known.select("key", "node", "least").join(sizes, "key").withColumn("outside", F.col("least") != F.col("top")), "sides")
-        part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
-        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-        left = sides.where("outside").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(False).alias("right"), "node", "least", "outside")
-        right = sides.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(True).alias("right"), "node", "least", "outside")
-        held = sketch("node", "n", "sketch")
-        held = held.join(_only(texts, sides.select("node").distinct(), "left_semi", "node").dropDuplicates(["node"]), "node") if exact else held.withColumn("text", F.lit(None).cast("string"))
-        tiles = left.union(right).join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "node")
-        return stash(tiles.mapInArrow(_tiles(percent, k, exact), "key long, a long, b long"), "apart")
-
-    # each round at least halves the components that the best pairs can join, until none of these pairs is a link
     linked = stash(components(links).toDF("node", "least"), "linked")
-    while not (pairs := apart(rows, exact=False)).isEmpty():
-        rows = stash(rows.join(pairs.select("key").distinct(), "key", "left_semi"), "bands")
-        if (more := verify(pairs.select("a", "b").distinct())).isEmpty():
-            links = links.union(apart(rows, exact=True).select("a", "b"))
-            break
-        links = links.union(more)
-        linked = stash(components(links).toDF("node", "least"), "linked")
+    known = rows.join(linked, "node", "left").withColumn("least", F.coalesce("least", "node")).join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
+    groups = known.groupBy("key", "least").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    split = groups.groupBy("key").agg(F.max(F.struct("c", "least", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("c > top.c")
+    parts = lambda c, n, size: F.ceil(F.greatest(c / F.lit(size), n / F.lit(size * TILE_SHINGLES // TILE))).cast("int")
+    sizes = split.select("key", "top.least", parts(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n"), tile).alias("lefts"), parts(F.col("c"), F.col("n"), 16 * tile).alias("rights"))
+    sides = stash(known.select("key", "node", "least").join(sizes.withColumnRenamed("least", "top"), "key").withColumn("outside", F.col("least") != F.col("top")), "sides")
+    part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = sides.where("outside").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(False).alias("right"), "node", "least", "outside")
+    right = sides.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(True).alias("right"), "node", "least", "outside")
+    held = sketch("node", "n", "sketch").join(_only(texts, sides.select("node").distinct(), "left_semi", "node").dropDuplicates(["node"]), "node")
+    tiles = left.union(right).join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "node")
+    links = links.union(tiles.mapInArrow(_tiles(percent, k), "a long, b long"))
 
     whole = components(links).toDF("rep", "least")
     found = members.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
