@@ -212,11 +212,12 @@ def test_chunks_equal_brute_force(spark):
     assert {(r.page_id, r.node_id, r.n_chars) for r in pages.chunks(table, 200).collect()} == expected
 
 
-def test_depths_take_the_longest_path_and_refuse_cycles(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "c"), ("x", "c"), ("c", "d")], "src string, dst string")
-    assert {r.node: r.depth for r in graph.depths(edges).collect()} == {"a": 0, "x": 0, "b": 1, "c": 2, "d": 3}
-    with pytest.raises(ValueError):
-        graph.depths(edges.union(spark.createDataFrame([("d", "b")], edges.schema)))
+def test_depths_follow_the_smallest_parent(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "c"), ("x", "c"), ("c", "d"), ("p", "q"), ("q", "p"), ("q", "r")], "src string, dst string")
+    assert {r.node: r.depth for r in graph.depths(edges).collect()} == {"a": 0, "x": 0, "b": 1, "c": 1, "d": 2, "p": 0, "q": 0, "r": 0}
+    assert {tuple(r) for r in graph.reduced(edges).collect()} == {("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("p", "q"), ("q", "p"), ("q", "r")}
+    assert {r.node: r.depth for r in graph.depths(graph.reduced(edges)).collect()}["c"] == 1
+    assert graph.reduced(edges.limit(0)).count() == 0
     assert graph.depths(edges.limit(0)).count() == 0
 
 

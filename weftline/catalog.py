@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graphs, logs, maintenance, pages, search, selections, structure, urls, values, vectors, xpaths
+from .plans import fields, graphs, logs, maintenance, mining, pages, search, selections, structure, urls, values, vectors, xpaths
 
-_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure, fields, mining]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,25 +80,58 @@ def component_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen
 
 
+def components_of(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node connected with each node of an edge, directions ignored.
+
+    Each round every node takes the smallest name among its own, its neighbours' and that of the node it is named after,
+    so names travel twice as far each time."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    names = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component"))
+    while True:
+        if _checkpointed(edges):
+            names = names.checkpoint()
+        seen = both.join(names, both.dst == names.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("seen"))
+        jump = names.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        new = names.join(seen, "node").join(jump, "component").select("node", F.least("component", "seen", "far").alias("component"))
+        if _checkpointed(edges):
+            new = new.checkpoint()
+        if new.join(names, ["node", "component"], "left_anti").isEmpty():
+            return new
+        names = new
+
+
+def reduced(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(src, dst): distinct edges without those that a longer path, of up to ``most`` edges, makes needless."""
+    links = edges.select("src", "dst").distinct()
+    path = links.withColumnsRenamed({"src": "origin", "dst": "node"})
+    for _ in range(most - 1):
+        path = path.join(links, path.node == links.src).select("origin", F.col("dst").alias("node")).distinct()
+        if _checkpointed(edges):
+            path, links = path.checkpoint(), links.checkpoint()
+        if path.isEmpty():
+            break
+        links = links.join(path.withColumnsRenamed({"origin": "src", "node": "dst"}), ["src", "dst"], "left_anti")
+        path = path.where("origin <> node")
+    return links
+
+
 def depths(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest path from a node without in-edges to each node of an acyclic graph.
+    """(node, depth): 0 for nodes without in-edges, else one more than the smallest depth of the nodes before it.
 
-    Round i holds the nodes that a path of i edges reaches; a node's depth is the last round that holds it. Raises on a
-    cycle below a root; nodes that no root reaches are left out."""
+    That is the fewest edges from such a node; nodes that none reaches, as on and below closed cycles, have depth 0."""
     links = edges.select("src", "dst").distinct()
-    n = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
-    inner = links.select(F.col("dst").alias("src")).distinct()
-    level = links.join(inner, "src", "left_anti").select(F.col("src").alias("node")).distinct().withColumn("depth", F.lit(0))
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    inner = links.select(F.col("dst").alias("node")).distinct()
+    level = nodes.join(inner, "node", "left_anti").withColumn("depth", F.lit(0))
     held, i = level, 0
     while not level.isEmpty():
         i += 1
-        if i > n:
-            raise ValueError("the graph has a cycle")
-        level = level.join(links, level.node == links.src).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(i))
+        more = level.join(links, level.node == links.src).select(F.col("dst").alias("node")).distinct()
+        level = more.join(held, "node", "left_anti").withColumn("depth", F.lit(i))
         if _checkpointed(edges):
             level = level.checkpoint()
         held = held.union(level)
-    return held.groupBy("node").agg(F.max("depth").alias("depth"))
+    return nodes.join(held, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def circuits(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import xpath as X
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY_SAME = frozenset("p li tr td th dt dd option".split())
 
-NODES = "page_id long, url string, node_id int, parent_id int, last_id int, tag string, xpath string, text string, attrs map<string,string>, height int, size int, exact string, template string"
+NODES = "page_id long, url string, node_id int, parent_id int, last_id int, tag string, xpath string, text string, attrs map<string,string>, height int, size int, exact string, template string, shape string"
 
 
 def _hash(*parts: str) -> str:
@@ -67,7 +67,7 @@ def _page_rows(page_id, url, html: str | None) -> list[dict]:
     tree.feed(html or "")
     tree.close()
     rows, n = tree.rows, len(tree.rows)
-    height, size, exact, template = [0] * n, [1] * n, [""] * n, [""] * n
+    height, size, exact, template, shape = [0] * n, [1] * n, [""] * n, [""] * n, [""] * n
     for i in range(n - 1, -1, -1):  # children come after their parent
         _, tag, _, texts, attrs, children, _ = rows[i]
         height[i] = 1 + max((height[c] for c in children), default=-1)
@@ -76,10 +76,11 @@ def _page_rows(page_id, url, html: str | None) -> list[dict]:
         text = " ".join(" ".join(texts).split())
         exact[i] = _hash(tag, text, *(f"{k}={v}" for k, v in sorted(attrs.items())), *(exact[c] for c in children))
         template[i] = _hash(tag, *sorted({template[c] for c in children}))  # kinds of children, not how many
+        shape[i] = _hash(tag, *(shape[c] for c in children))
     return [
         {
             "page_id": page_id, "url": url, "node_id": i, "parent_id": r[0], "last_id": r[6], "tag": r[1], "xpath": r[2], "text": " ".join(" ".join(r[3]).split()),
-            "attrs": list(r[4].items()), "height": height[i], "size": size[i], "exact": exact[i], "template": template[i],
+            "attrs": list(r[4].items()), "height": height[i], "size": size[i], "exact": exact[i], "template": template[i], "shape": shape[i],
         }
         for i, r in enumerate(rows)
     ]
@@ -87,7 +88,7 @@ def _page_rows(page_id, url, html: str | None) -> list[dict]:
 
 _SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_id", pa.int32()), ("tag", pa.string()), ("xpath", pa.string()),
-    ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("height", pa.int32()), ("size", pa.int32()), ("exact", pa.string()), ("template", pa.string()),
+    ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("height", pa.int32()), ("size", pa.int32()), ("exact", pa.string()), ("template", pa.string()), ("shape", pa.string()),
 ])
 
 
@@ -102,7 +103,7 @@ def nodes(pages: DataFrame) -> DataFrame:
     """One row per element of each page (page_id, url, html), with content hashes. Null html gives the document node alone.
 
     ``last_id`` is the last node of the subtree; ``exact`` covers tags, attributes and texts; ``template`` the kinds of
-    children only, so repeated cards share it."""
+    children only, so repeated cards share it; ``shape`` the tags of the subtree in order."""
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, NODES)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, logs, pages, search
-from ..sources import table
+from ..sources import kept, table
 from .graphs import _E, _edges
 
 
@@ -21,14 +21,13 @@ def cross_page_matches(spark, sf):
 
 
 def containment_dag(spark, sf):
-    """Which repeating templates lie next inside which others."""
-    return pages.containment(_nodes(spark, sf), least_height=0)
+    """Which repeating templates lie next inside which others, without edges that longer paths imply."""
+    return graph.reduced(kept(pages.containment(_nodes(spark, sf), least_height=0)))
 
 
 def containment_depth(spark, sf):
     """Depth of repeating templates in the containment graph."""
-    edges = containment_dag(spark, sf)
-    return graph.depths(edges.checkpoint() if graph._checkpointed(edges) else edges)
+    return graph.depths(kept(containment_dag(spark, sf)))
 
 
 def _shortcuts(spark, sf):
@@ -39,8 +38,8 @@ def _shortcuts(spark, sf):
 
 
 def dag_depth(spark, sf):
-    """The longest path to each node of a graph with shortcuts."""
-    return graph.depths(_shortcuts(spark, sf))
+    """The depth of each node of a graph whose shortcuts are taken out first."""
+    return graph.depths(kept(graph.reduced(_shortcuts(spark, sf))))
 
 
 def component_of_seed(spark, sf):
@@ -123,7 +122,9 @@ def _ranks_sql(rounds: int = 20) -> str:
 
 SQL = {
     "dag_depth": f"""WITH RECURSIVE {_E}, s AS (SELECT * FROM e UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
-        r AS (SELECT DISTINCT src AS node, 0 AS depth FROM s WHERE src NOT IN (SELECT dst FROM s) UNION SELECT dst, depth + 1 FROM r JOIN s ON node = src) SELECT node, max(depth)::INT AS depth FROM r GROUP BY node""",
+        p AS (SELECT src, dst, 1 AS len FROM s UNION SELECT p.src, s.dst, len + 1 FROM p JOIN s ON p.dst = s.src WHERE len < 10),
+        k AS (SELECT src, dst FROM s WHERE (src, dst) NOT IN (SELECT (src, dst) FROM p WHERE len > 1)),
+        r AS (SELECT DISTINCT src AS node, 0 AS depth FROM k WHERE src NOT IN (SELECT dst FROM k) UNION SELECT dst, depth + 1 FROM r JOIN k ON node = src) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
     "component_of_seed": f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT DISTINCT 'n' || min(n_nationkey) AS origin, 'n' || min(n_nationkey) AS node FROM nation GROUP BY n_regionkey
         UNION SELECT origin, dst FROM r JOIN b ON node = src) SELECT origin, node FROM r""",
     "personalised_rank": _ranks_sql(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that what reads it several times doesn't compute it again.
+
+    The folder is that of ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is taken."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    return df.checkpoint()
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): a page for each customer with orders, an article for each order, a list entry for each line and sections for priority and status; returned lines are marked."""
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    mark = F.when(F.col("l_returnflag") == "R", "<em>returned</em>").otherwise("")
+    entry = F.concat(F.format_string('<li><a href="/parts/%d">Part %d</a><span>%d</span>', "l_partkey", "l_partkey", F.col("l_quantity").cast("long")), mark, F.lit("</li>"))
+    lists = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("entry")))), lambda x: x.entry), "").alias("entries"))
+    section = lambda kind, name: F.format_string('<section><p><a href="/%s/%s">%s</a></p></section>', F.lit(kind), name, name)
+    article = F.concat(F.format_string('<article><h2><a href="/orders/%d">Order %d</a></h2><ul>', "o_orderkey", "o_orderkey"), F.col("entries"), F.lit("</ul>"), section("priorities", "o_orderpriority"), section("status", "o_orderstatus"), F.lit("</article>"))
+    own = o.join(lists, o.o_orderkey == lists.l_orderkey).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", article.alias("article")))), lambda x: x.article), "").alias("articles"))
+    html = F.concat(F.lit("<html><body><main>"), F.col("articles"), F.lit("</main></body></html>"))
+    return own.select(F.col("o_custkey").alias("page_id"), F.format_string("/customers/%d", "o_custkey").alias("url"), html.alias("html"))
+
+
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(url, html): one row per file, whole."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
