@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cohorts, fields, graphs, logs, maintenance, mining, pages, references, search, selections, structure, urls, values, vectors, xpaths
+from .plans import cohorts, fields, graphs, layout, logs, maintenance, mining, pages, references, search, selections, structure, urls, values, vectors, xpaths
 
-_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure, fields, mining, cohorts, references]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure, fields, mining, cohorts, references, layout]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
