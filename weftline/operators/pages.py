@@ -120,7 +120,7 @@ def tagged(rows: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, least: int = 2, least_height: int = 1) -> DataFrame:
-    """(page_id, template, n, tag, size): templates that repeat in a page and aren't inside a repeat of their own."""
+    """(page_id, template, n, tag, size): templates that repeat in a page, those inside others too (``templates.template_groups`` leaves these out)."""
     groups = rows.where(F.col("height") >= least_height).groupBy("page_id", "template").agg(F.count("*").alias("n"), F.first("tag").alias("tag"), F.max("size").alias("size"), F.min("node_id").alias("first_id"))
     return groups.where(F.col("n") >= least)
 
