@@ -15,7 +15,8 @@ repaired conversation needs its turns one after another; they are streamed throu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, stash
 
-#: Rows of a segment.
-SEGMENT = 4096
+#: Rows of a segment; rows of a batch that a task gives at least, if it has them.
+SEGMENT, TOGETHER = 4096, 2048
 EMPTY, SYSTEM, USER, ANSWERED = range(4)
 NEVER = 1 << 60
 #: What an inserted or renamed turn makes of a state, and the cost and number of turns to insert behind the last row.
@@ -73,7 +74,7 @@ def steps(row: Row) -> list[tuple[int, int, int, str]]:
     return _KNOWN[row]
 
 
-def forward(rows: list[Row], low: int, high: int, costs: list[int], ranks: list[int]) -> tuple[list[int], list[int]]:
+def forward(rows: Sequence[Row], low: int, high: int, costs: list[int], ranks: list[int]) -> tuple[list[int], list[int]]:
     """Least costs of each state after rows low to high, and the order of the least edit strings behind them."""
     for i in range(low, high):
         found = [(NEVER, 0, "")] * 4
@@ -86,7 +87,7 @@ def forward(rows: list[Row], low: int, high: int, costs: list[int], ranks: list[
     return costs, ranks
 
 
-def backward(rows: list[Row], low: int, high: int, costs: list[int]) -> list[int]:
+def backward(rows: Sequence[Row], low: int, high: int, costs: list[int]) -> list[int]:
     """Least costs from each state before row low to what ``costs`` asks for behind row high."""
     for i in range(high - 1, low - 1, -1):
         found = [NEVER] * 4
@@ -96,7 +97,7 @@ def backward(rows: list[Row], low: int, high: int, costs: list[int]) -> list[int
     return costs
 
 
-def solve(rows: list[Row], start: int, end: int) -> list[str]:
+def solve(rows: Sequence[Row], start: int, end: int) -> list[str]:
     """The edits of each row (insertions before it, then its own) of the least string among the cheapest from state to state."""
     out = [""] * len(rows)
     parts = [(0, len(rows), start, end)]
@@ -113,12 +114,17 @@ def solve(rows: list[Row], start: int, end: int) -> list[str]:
     return out
 
 
-def summary(rows: list[Row]) -> tuple[list[int], list[int]]:
-    """Costs from every to every state, and the ranks of the strings from a state; row by row of a 4 x 4 table."""
-    both = [forward(rows, 0, len(rows), [0 if x == s else NEVER for x in range(4)], [0] * 4) for s in range(4)]
+def summary(rows: Sequence[Row], entries: Sequence[int] = range(4)) -> tuple[list[int], list[int]]:
+    """Costs from every to every state, and the ranks of the strings from a state; row by row of a 4 x 4 table. States that aren't ``entries`` lead nowhere."""
+    both = [forward(rows, 0, len(rows), [0 if x == s else NEVER for x in range(4)], [0] * 4) if s in entries else ([NEVER] * 4, [0] * 4) for s in range(4)]
     return [c for costs, _ in both for c in costs], [r for _, ranks in both for r in ranks]
 
 
+#: Rows of a conversation whose results a worker keeps, as short conversations have few different forms; and how many it keeps.
+SHORT, KEPT_RESULTS = 24, 20_000
+_short_summary, _short_solve = lru_cache(KEPT_RESULTS)(summary), lru_cache(KEPT_RESULTS)(solve)
+
+
 def chain(tables: list[tuple[list[int], list[int]]]) -> tuple[int, list[int]]:
     """Least total cost, and the states before the first, between and behind the last of consecutive segments."""
     costs, ranks = _FIRST
@@ -194,40 +200,51 @@ _STATES = "conv string, segment long, start int, end int, cost long, illegal lon
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before, found = None, []
     for (segment, conv), _, rows in _segments(batches):
-        cost, ranks = summary(rows)
+        entries = (EMPTY,) if segment == before else tuple(range(4))  # only a segment's first conversation may have begun in another one
+        before = segment
+        cost, ranks = _short_summary(tuple(rows), entries) if len(rows) <= SHORT else summary(rows, entries)
         initials = [x[0] for x in rows]
-        yield pa.RecordBatch.from_pylist([{"conv": conv, "segment": segment, "cost": cost, "ranks": ranks, "first": initials[0], "last": initials[-1], "illegal": _jumps(initials)}], _ARROW["tables"])
+        found.append({"conv": conv, "segment": segment, "cost": cost, "ranks": ranks, "first": initials[0], "last": initials[-1], "illegal": _jumps(initials)})
+        if len(found) == TOGETHER:
+            yield pa.RecordBatch.from_pylist(found, _ARROW["tables"])
+            found = []
+    yield pa.RecordBatch.from_pylist(found, _ARROW["tables"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads segments' tables sorted by conversation and segment. The total cost and the jumps stand at the last segment."""
 
-    def out(conv: str, held: list[dict]) -> pa.RecordBatch:
+    def out(conv: str, held: list[dict]) -> list[dict]:
         total, states = chain([(x["cost"], x["ranks"]) for x in held])
         jumps = sum(x["illegal"] for x in held) + sum(_jumps([x["last"], y["first"]]) for x, y in zip(held, held[1:]))
         last = len(held) - 1
-        return pa.RecordBatch.from_pylist([{"conv": conv, "segment": x["segment"], "start": states[i], "end": states[i + 1], "cost": total if i == last else None, "illegal": jumps if i == last else None} for i, x in enumerate(held)], _ARROW["states"])
+        return [{"conv": conv, "segment": x["segment"], "start": states[i], "end": states[i + 1], "cost": total if i == last else None, "illegal": jumps if i == last else None} for i, x in enumerate(held)]
 
     conv, held = None, []
     for batch in batches:
+        found = []
         for x in batch.to_pylist():
             if x["conv"] != conv:
                 if held:
-                    yield out(conv, held)
+                    found += out(conv, held)
                 conv, held = x["conv"], []
             held.append(x)
+        yield pa.RecordBatch.from_pylist(found, _ARROW["states"])
     if held:
-        yield out(conv, held)
+        yield pa.RecordBatch.from_pylist(out(conv, held), _ARROW["states"])
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads rows of segments, each led by a row without pos that has the segment's states as start and end; gives each row's edits, role and state before it."""
-    for batch in _with_states(batches):
-        (_, conv), places, rows, start, end, ends = batch
-        out = {"conv": [], "pos": [], "edits": [], "state": []}
+    out = {"conv": [], "pos": [], "edits": [], "state": []}
+    for (_, conv), places, rows, start, end, ends in _with_states(batches):
+        if len(out["pos"]) >= TOGETHER:
+            yield pa.RecordBatch.from_pydict(out, _ARROW["edits"])
+            out = {name: [] for name in out}
         state = start
-        for pos, edits, row in zip(places, solve(rows, start, end), rows):
+        for pos, edits, row in zip(places, _short_solve(tuple(rows), start, end) if len(rows) <= SHORT else solve(rows, start, end), rows):
             out["conv"].append(conv)
             out["pos"].append(pos)
             out["state"].append(state)
@@ -236,7 +253,7 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["edits"].append(edits)
         if ends and _ENDING[end]:
             out["edits"][-1] += "I" * _ENDING[end]
-        yield pa.RecordBatch.from_pydict(out, _ARROW["edits"])
+    yield pa.RecordBatch.from_pydict(out, _ARROW["edits"])
 
 
 def _with_states(batches: Iterator[pa.RecordBatch]):
