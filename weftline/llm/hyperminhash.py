@@ -273,7 +273,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, tile: int =
     links = verify(tied.mapInArrow(_estimated(percent), "a long, b long"))
 
     # a key's texts outside its largest component meet all of its texts
-    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
     linked = stash(components(links).toDF("node", "least"), "linked")
     known = rows.join(linked, "node", "left").withColumn("least", F.coalesce("least", "node")).join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
     groups = known.groupBy("key", "least").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
@@ -285,7 +284,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, tile: int =
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     left = sides.where("outside").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(False).alias("right"), "node", "least", "outside")
     right = sides.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(True).alias("right"), "node", "least", "outside")
-    held = sketch("node", "n", "sketch").join(_only(texts, sides.select("node").distinct(), "left_semi", "node").dropDuplicates(["node"]), "node")
+    texts = _only(docs.where("doc_id is not null"), sides.select(F.col("node").alias("doc_id")).distinct(), "left_semi").dropDuplicates(["doc_id"])
+    held = sketch("node", "n", "sketch").join(texts.withColumnRenamed("doc_id", "node"), "node")
     tiles = left.union(right).join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "node")
     links = links.union(tiles.mapInArrow(_tiles(percent, k), "a long, b long"))
 
