@@ -1,4 +1,4 @@
-"""Streaming twins of the log operators: watermarked sessions, deduplicated events, and chunk state."""
+"""Streaming twins of the log operators: watermarked sessions, deduplicated events, and members by pattern; ``state`` has those with timers."""
 
 from __future__ import annotations
 
