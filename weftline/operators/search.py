@@ -8,46 +8,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import kept, written
+
+
+#: Bytes of a lookup table up to which it is broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def smoothed_idf(n: Column | float, df: Column) -> Column:
+    return F.log((n + F.lit(1.0)) / (df + F.lit(1.0))) + 1.0
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: (doc, term, tf, idf). ``norms``: (doc, norm). ``stats``: (term, df, idf)."""
+    """``counts``: (doc, term, tf). ``stats``: (term, df, idf). ``size``: number of documents, those without terms too.
+
+    ``lengths``: (doc, norm) where norms are stored; else they are computed from ``counts``. ``buckets``: where not 0,
+    ``counts`` are stored in folders by ``bucket_of(term)``, and a search reads only those of its terms."""
 
-    postings: DataFrame
-    norms: DataFrame
+    counts: DataFrame
     stats: DataFrame
+    size: int
+    lengths: DataFrame | None = None
+    buckets: int = 0
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, term, tf, idf)."""
+        return self.counts.join(lookup(self.stats.select("term", "idf")), "term")
+
+    @property
+    def norms(self) -> DataFrame:
+        """(doc, norm): lengths of the TF-IDF vectors. Terms of one document share an idf, so only the others' are looked up."""
+        if self.lengths is not None:
+            return self.lengths
+        single = smoothed_idf(F.lit(float(self.size)), F.lit(1))
+        rows = self.counts.join(lookup(self.stats.where("df > 1").select("term", "idf")), "term", "left")
+        weight = F.col("tf") * F.coalesce("idf", single)
+        return rows.groupBy("doc").agg(F.sqrt(F.greatest(F.sum(weight * weight), F.lit(1e-12))).alias("norm"))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def lookup(rows: DataFrame) -> DataFrame:
+    """``rows`` (term, ...) marked for a broadcast if their terms and a row's other columns take at most ``BROADCAST_BYTES``."""
+    size = rows.agg(F.sum(F.octet_length("term") + 8 * len(rows.columns) + 24)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def term_counts(docs: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
-    """(doc, term, tf, kept columns): single tokens and pairs."""
-    words = docs.select(doc, *keep, T.tokens(F.col(text)).alias("words"))  # a column of its own, so that it is computed once
+    """(doc, term, tf, kept columns): single tokens and pairs. Texts of rows with the same id count together.
+
+    Only texts are shuffled, by id; their terms, many times as many bytes, are counted where they arise."""
+    words = docs.select(doc, *keep, text).repartition(doc).select(doc, *keep, T.tokens(F.col(text)).alias("words"))  # a column of its own, so that it is computed once
     rows = words.select(doc, *keep, F.explode(T.terms(F.col("words"))).alias("term"))
     return rows.groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def smoothed_idf(n: Column | float, df: Column) -> Column:
-    return F.log((n + F.lit(1.0)) / (df + F.lit(1.0))) + 1.0
+def term_stats(counts: DataFrame, size: int) -> DataFrame:
+    """(term, df, idf) of postings (doc, term, ...)."""
+    return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", smoothed_idf(F.lit(float(size)), F.col("df")))
 
 
 def build_index(docs: DataFrame, doc: str, text: str) -> Index:
-    """The number of documents is one row and is joined as a scalar; postings are shuffled by term once."""
-    tf = term_counts(docs, doc, text).withColumnRenamed(doc, "doc")
-    n = docs.count()
-    stats = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", smoothed_idf(F.lit(float(n)), F.col("df")))
-    postings = tf.join(stats.select("term", "idf"), "term")
-    weight = F.col("tf") * F.col("idf")
-    norms = postings.groupBy("doc").agg(F.sqrt(F.greatest(F.sum(weight * weight), F.lit(1e-12))).alias("norm"))
-    return Index(postings, norms, stats)
+    """Postings and document frequencies of ``docs``; both are written to the shared folder, as searches read them several times."""
+    counts, size = written(term_counts(docs, doc, text).withColumnRenamed(doc, "doc")), docs.count()
+    return Index(counts, written(term_stats(counts, size)), size)
 
 
 def search(index: Index, queries: DataFrame, query: str, text: str) -> DataFrame:
-    """(query, doc, score): the TF-IDF cosine of every query with every document that shares a term."""
+    """(query, doc, score): the TF-IDF cosine of every query with every document that shares a term.
+
+    Query terms are a lookup table: while it is small, postings are filtered and multiplied where they are read, and
+    only sums by query and document are shuffled."""
     q = term_counts(queries, query, text).withColumnRenamed(query, "query").withColumnRenamed("tf", "qtf")
-    q = q.join(index.stats.select("term", F.col("idf").alias("qidf")), "term")
+    q = kept(index.stats.select("term", F.col("idf").alias("qidf")).join(lookup(q), "term"))
     qw = F.col("qtf") * F.col("qidf")
     qnorm = q.groupBy("query").agg(F.sqrt(F.greatest(F.sum(qw * qw), F.lit(1e-12))).alias("qnorm"))
-    hits = index.postings.join(q, "term").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("qtf") * F.col("idf") * F.col("qidf")).alias("dot"))
+    sides = q.select("query", "term", (F.col("qtf") * F.col("qidf") * F.col("qidf")).alias("w"))
+    counts = index.counts
+    if index.buckets:
+        read = q.select(bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct().collect()  # numbers below index.buckets
+        counts = counts.where(F.col("bucket").isin([r.bucket for r in read]))
+    hits = counts.join(lookup(sides), "term").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
     scored = hits.join(index.norms, "doc").join(qnorm, "query")
     return scored.select("query", "doc", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 

@@ -29,7 +29,8 @@ def _docs(spark, sf):
 
 def term_df_idf(spark, sf):
     """Documents with each term, and its smoothed inverse document frequency."""
-    stats = search.build_index(_docs(spark, sf), "doc_id", "text").stats
+    docs = _docs(spark, sf)
+    stats = search.term_stats(search.term_counts(docs, "doc_id", "text"), docs.count())
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

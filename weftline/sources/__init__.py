@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that what reads it several times doesn't compute it again.
-
-    The folder is that of ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is taken."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is taken."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that what reads it several times doesn't compute it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, of which later plans read only the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html): a page for each customer with orders, an article for each order, a list entry for each line and sections for priority and status; returned lines are marked."""
     o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
