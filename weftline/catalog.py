@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cohorts, content, fields, graphs, layout, logs, maintenance, mining, ordered, pages, references, search, selections, stored, structure, urls, values, vectors, xpaths
+from .plans import cohorts, content, fields, graphs, layout, logs, maintenance, mining, ordered, pages, ranking, references, search, selections, stored, structure, urls, values, vectors, xpaths
 
-_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure, fields, mining, cohorts, references, layout, ordered, stored, content]
+_MODULES = [search, xpaths, vectors, logs, graphs, urls, pages, maintenance, values, selections, structure, fields, mining, cohorts, references, layout, ordered, stored, content, ranking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
