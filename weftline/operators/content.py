@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..sources import written
 
 #: Elements by role.
 SKIPPED = "script style noscript meta link head #comment #declaration #text #document".split()
@@ -112,9 +113,10 @@ def without_empty_branches(rows: DataFrame) -> DataFrame:
     Nodes without content and with one such branch hand it to the node above, those with none go; the root stays. A branch
     leaves exactly one child behind if any content is in it, so one count of children decides. The new parent is the last
     node before one on the level above, which needs no climbing."""
-    held = _reaching(rows.withColumn("mark", content_node()))
+    held = _reaching(rows.withColumn("mark", content_node())).select("page_id", "node_id", "parent_id", "last_id", "tag", "text", "mark", "reached")
+    held = written(held)  # read twice, and so is what stays; pages are parsed once
     branches = held.where("reached").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
-    stay = held.join(branches, ["page_id", "node_id"], "left").where("mark or n >= 2 or parent_id < 0").select("page_id", "node_id", "last_id", "tag", "text")
+    stay = written(held.join(branches, ["page_id", "node_id"], "left").where("mark or n >= 2 or parent_id < 0").select("page_id", "node_id", "last_id", "tag", "text"))
     # each node opens a level after its own id and closes it after its last one; closings come before what follows
     steps = stay.select("page_id", F.explode(F.array(F.struct(F.col("node_id").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("last_id").alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))).alias("s"))
     run = Window.partitionBy("page_id").orderBy("s.at", "s.kind").rowsBetween(Window.unboundedPreceding, 0)
