@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import catalog
 from weftline.operators import fields, graph, pages, templates, tree_match
 from weftline.sources import kept, order_pages, table
 
@@ -422,3 +423,18 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert {r.node: r.component for r in graph.components_of(spark.createDataFrame(edges, "src long, dst long")).collect()} == root
     assert graph.components_of(spark.createDataFrame(edges, "src long, dst long").limit(0)).count() == 0
+
+
+# ---- plans
+
+
+@pytest.mark.parametrize("name", ["sibling_cohorts", "template_groups", "tree_distances", "common_subtrees", "settled_signatures", "merged_templates"])
+def test_node_tables_are_not_gathered_for_broadcasts(spark, name):
+    """Spark underestimates parsed tables, so that a join with one would be a broadcast of millions of nodes."""
+    plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_order_pages_are_parsed_in_many_tasks(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert order_pages(spark, FOLDER).rdd.getNumPartitions() >= max(parts, 2 * spark.sparkContext.defaultParallelism)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import xpath as X
-from ..sources import kept
+from ..sources import kept, kept_large, side
 from .templates import SKIPPED, nearest
 
 #: Attributes that people read, whose words say nothing of structure.
@@ -34,7 +34,7 @@ def children(rows: DataFrame) -> DataFrame:
 
 def cohorts(rows: DataFrame) -> DataFrame:
     """(page_id, cohort_id, node_id): nodes by the nearest node above that has several children; chains of only children are one node, their last."""
-    sized = kept(_plain(rows).join(children(rows).select(*_KEY, F.size("kids").alias("n_kids")), _KEY, "left").select(*_KEY, "xpath", F.coalesce("n_kids", F.lit(0)).alias("n_kids")))
+    sized = kept_large(_plain(rows).join(children(rows).select(*_KEY, F.size("kids").alias("n_kids")), _KEY, "left").select(*_KEY, "xpath", F.coalesce("n_kids", F.lit(0)).alias("n_kids")))
     found = nearest(sized.where("n_kids <> 1"), sized.where("n_kids >= 2"))
     return found.select("page_id", F.col("top_id").alias("cohort_id"), "node_id")
 
@@ -148,7 +148,7 @@ def spectral_cohorts(rows: DataFrame) -> DataFrame:
     """(page_id, cohort_id, node_id, cluster): siblings by recursive spectral cuts of their structural terms; -1: in no cluster.
 
     Only distinct term sets and how many siblings have each are gathered, so a cohort of many like siblings is small."""
-    named = kept(cohorts(rows).join(structural_terms(rows), _KEY))
+    named = kept_large(cohorts(rows).join(structural_terms(rows), _KEY))
     sets = named.groupBy("page_id", "cohort_id", "terms").agg(F.count("*").alias("n"))
     cohort = sets.groupBy("page_id", "cohort_id").agg(F.array_sort(F.collect_list(F.struct("terms", "n"))).alias("sets"))
     cut = cohort.mapInArrow(_cut, "page_id long, cohort_id int, terms array<string>, cluster int")
@@ -163,11 +163,11 @@ def signatures(rows: DataFrame, depth: int = 6) -> DataFrame:
     own = _plain(rows).select(*_KEY, "parent_id", "tag")
     digest = lambda kids: F.sha1(F.concat(F.col("tag"), F.lit("("), F.array_join(kids, ","), F.lit(")")))
     none = F.array().cast("array<string>")
-    found = kept(own.withColumn("s0", digest(none)))
+    found = kept_large(own.withColumn("s0", digest(none)))
     for d in range(1, depth + 1):
         below = F.transform(F.array_sort(F.collect_list(F.struct("node_id", f"s{d - 1}"))), lambda x: x[f"s{d - 1}"])
         kids = found.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(below.alias("below"))
-        found = kept(found.join(kids, _KEY, "left").withColumn(f"s{d}", digest(F.coalesce("below", none))).drop("below"))
+        found = kept_large(found.join(kids, _KEY, "left").withColumn(f"s{d}", digest(F.coalesce("below", none))).drop("below"))
     return found.drop("parent_id", "tag")
 
 
@@ -175,7 +175,7 @@ def settled_groups(rows: DataFrame, depth: int = 6) -> DataFrame:
     """(page_id, cohort_id, node_id, depth, signature): siblings by the signature of the least depth, 1 at least, beyond which their groups don't change.
 
     Each depth refines the one before, so groups are the same if they are as many. Equal signatures of several cohorts are one group of the page."""
-    named = kept(cohorts(rows).join(signatures(rows, depth), _KEY))
+    named = kept_large(cohorts(rows).join(signatures(rows, depth), _KEY))
     counts = named.groupBy("page_id", "cohort_id").agg(*[F.countDistinct(f"s{d}").alias(f"c{d}") for d in range(depth + 1)])
     settled = F.coalesce(*[F.when(F.col(f"c{d}") == F.col(f"c{d - 1}"), F.lit(max(1, d - 1))) for d in range(1, depth + 1)], F.lit(depth))
     named = named.join(counts.select("page_id", "cohort_id", settled.alias("depth")), ["page_id", "cohort_id"])
@@ -192,9 +192,9 @@ def pq_trees(rows: DataFrame, instances: DataFrame, depth: int = 4) -> DataFrame
     A node whose instances have their children all in one order is a Q node, of one bag in several orders a P node; its
     children are nodes again. Of different bags the longest (the first of these) is taken as order. Without children, or at
     ``depth``, it is a leaf. ``place`` is the path of positions from the root ('')."""
-    kids = kept(children(rows))
+    kids = kept_large(children(rows))
     tags = lambda s: F.transform(s, lambda k: k.tag)
-    at = kept(instances.join(_plain(rows).select(*_KEY, "tag"), _KEY).select("pattern", *_KEY, "tag", F.lit("").alias("place"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("position")))
+    at = kept_large(instances.join(_plain(rows).select(*_KEY, "tag"), _KEY).select("pattern", *_KEY, "tag", F.lit("").alias("place"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("position")))
     found = []
     for level in range(depth + 1):
         held = kept(at.join(kids, _KEY, "left")) if level < depth else at.withColumn("kids", F.lit(None).cast("array<struct<node_id:int,tag:string>>"))
@@ -207,14 +207,14 @@ def pq_trees(rows: DataFrame, instances: DataFrame, depth: int = 4) -> DataFrame
         found.append(forms.select("pattern", "place", "above", "position", F.when(F.col("kind") == "longest", "Q").otherwise(F.col("kind")).alias("kind"), "tag", "n"))
         if level == depth:
             break
-        inner = held.where("kids is not null").select("pattern", "place", "page_id", "kids").join(forms.where("kind <> 'leaf'").select("pattern", "place", "kind", "order"), ["pattern", "place"])
+        inner = held.where("kids is not null").select("pattern", "place", "page_id", "kids").join(side(forms.where("kind <> 'leaf'").select("pattern", "place", "kind", "order")), ["pattern", "place"])  # few places, many instances of each
         by_place = inner.where("kind = 'Q'").select("pattern", "place", "page_id", F.posexplode("kids").alias("position", "kid"))
         by_tag = inner.where("kind = 'P'").withColumn("sorted", F.array_sort(F.array_distinct(tags(F.col("kids"))))).select("pattern", "place", "page_id", "sorted", F.explode("kids").alias("kid"))
         by_tag = by_tag.select("pattern", "place", "page_id", (F.array_position("sorted", F.col("kid.tag")) - 1).cast("int").alias("position"), "kid")
         first = inner.where("kind = 'longest'").select("pattern", "place", "page_id", "kids", F.posexplode("order").alias("position", "wanted"))
         first = first.select("pattern", "place", "page_id", "position", F.get(F.filter("kids", lambda k: k.tag == F.col("wanted")), 0).alias("kid")).where("kid is not null")
         every = by_place.union(by_tag).union(first)
-        at = kept(every.select("pattern", "page_id", F.col("kid.node_id").alias("node_id"), F.col("kid.tag").alias("tag"), F.concat("place", F.lit("/"), F.col("position").cast("string")).alias("above2"), F.col("place").alias("above"), "position").withColumnRenamed("above2", "place"))
+        at = kept_large(every.select("pattern", "page_id", F.col("kid.node_id").alias("node_id"), F.col("kid.tag").alias("tag"), F.concat("place", F.lit("/"), F.col("position").cast("string")).alias("above2"), F.col("place").alias("above"), "position").withColumnRenamed("above2", "place"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, pages, templates
-from ..sources import kept, order_pages, table
+from ..sources import kept, kept_large, order_pages, table
 
 
 def _order_nodes(spark, sf):
-    return kept(pages.nodes(order_pages(spark, sf)))
+    return kept_large(pages.nodes(order_pages(spark, sf)))
 
 
 def sibling_cohorts(spark, sf):
@@ -20,7 +20,7 @@ def sibling_cohorts(spark, sf):
 
 def spectral_cohorts(spark, sf):
     """Clusters of siblings by spectral cuts of their structural terms."""
-    found = cohorts.spectral_cohorts(kept(pages.nodes(table(spark, sf, "pages"))))
+    found = cohorts.spectral_cohorts(kept_large(pages.nodes(table(spark, sf, "pages"))))
     return found.groupBy("page_id", "cohort_id", "cluster").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"))
 
 

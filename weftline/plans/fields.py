@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fields, pages
-from ..sources import kept, table
+from ..sources import kept_large, table
 
 
 def _nodes(spark, sf):
-    return kept(pages.nodes(table(spark, sf, "pages")))
+    return kept_large(pages.nodes(table(spark, sf, "pages")))
 
 
 def summary_fields(spark, sf):

@@ -6,19 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, pages, templates, tree_match
-from ..sources import kept, order_pages, table
+from ..sources import kept, kept_large, order_pages, table
 
 
 def _nodes(spark, sf):
-    return kept(pages.nodes(table(spark, sf, "pages")))
+    return kept_large(pages.nodes(table(spark, sf, "pages")))
 
 
 def _order_nodes(spark, sf):
-    return kept(pages.nodes(order_pages(spark, sf)))
+    return kept_large(pages.nodes(order_pages(spark, sf)))
 
 
 def _mined(rows):
-    return rows, kept(templates.template_groups(rows))
+    return rows, kept_large(templates.template_groups(rows))
 
 
 def template_groups(spark, sf):
@@ -35,7 +35,7 @@ def singleton_sections(spark, sf):
 def orphan_groups(spark, sf):
     """What neither templates nor sections cover."""
     rows, groups = _mined(_nodes(spark, sf))
-    return templates.orphan_groups(rows, groups, kept(templates.singleton_sections(rows, groups)))
+    return templates.orphan_groups(rows, groups, kept_large(templates.singleton_sections(rows, groups)))
 
 
 def anchor_promotion(spark, sf):
@@ -69,7 +69,7 @@ def common_subtrees(spark, sf):
 def merged_templates(spark, sf):
     """Templates joined by common subtrees: the highest and most frequent of each set, and how many instances it now has."""
     rows = _order_nodes(spark, sf)
-    roots = kept(_all_templates(rows))
+    roots = kept_large(_all_templates(rows))
     pairs = tree_match.similar_trees(templates.trees(rows, roots))
     name = lambda x: F.concat_ws(":", "page_id", F.lpad(F.col(x).cast("string"), 10, "0"))
     sets = graph.components_of(kept(pairs.select(name("a").alias("src"), name("b").alias("dst"))))
