@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import xpath as X
+from ..sources import kept_large
 
 #: Elements that hold no template, the page's frame, and drawing elements whose parts are no sub-templates.
 SKIPPED = "script style noscript template meta link".split()
@@ -54,7 +55,7 @@ def template_groups(rows: DataFrame, least: int = 2, least_height: int = 1) -> D
 
     A template has ``least`` instances of at least that height, each with content of its own or below it.  It is left out if all its instances lie inside instances of a higher template, or inside links."""
     held = elements(rows).where((F.col("n_content") > 0) & (F.col("height") >= least_height))
-    held = held.join(held.groupBy("page_id", "template").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), ["page_id", "template"])
+    held = kept_large(held.join(held.groupBy("page_id", "template").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), ["page_id", "template"]))
     tops = held.withColumnsRenamed({"template": "top_template", "height": "top_height"})
     inside = above(held, tops, "top_template", "top_height").join(held.select(*_KEY, "template", "height", "freq"), _KEY).where("top_height > height")
     inside = inside.groupBy("page_id", "template", "top_template").agg(F.countDistinct("node_id").alias("n"), F.first("freq").alias("freq")).where("n = freq").select("page_id", "template").distinct()
@@ -114,7 +115,7 @@ def sub_templates(rows: DataFrame, groups: DataFrame, least: int = 2, least_heig
     The instances' descendants are pooled by shape. Only those count that have siblings, that are no instance of a
     template and hold none, and that lie in no other instance between; one of them has an address."""
     groups = groups.join(composites(rows, groups).select("page_id", "template", F.lit(True).alias("composite")), ["page_id", "template"], "left")
-    barred = groups.select(*_KEY, "xpath", "template", "composite", "freq")
+    barred = kept_large(groups.select(*_KEY, "xpath", "template", "composite", "freq"))
     # what holds an instance is barred as well: an element's nearest barred ancestor must be the composite instance
     holds = barred.select("page_id", F.explode(X.prefixes(X.parent(F.col("xpath")))).alias("xpath")).distinct()
     plain = rows.where(~F.col("tag").isin(*SKIPPED)).withColumn("siblings", F.count("*").over(Window.partitionBy("page_id", "parent_id")))
