@@ -438,3 +438,10 @@ def test_node_tables_are_not_gathered_for_broadcasts(spark, name):
 def test_order_pages_are_parsed_in_many_tasks(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert order_pages(spark, FOLDER).rdd.getNumPartitions() >= max(parts, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_nodes_without_hashes_are_the_same_rows(spark):
+    rows = order_pages(spark, FOLDER).where("page_id <= 40")
+    whole, bare = pages.nodes(rows).drop("exact", "template", "shape"), pages.nodes(rows, hashes=False)
+    text = lambda df: df.withColumn("attrs", F.to_json("attrs"))
+    assert bare.columns == whole.columns and text(bare).exceptAll(text(whole)).isEmpty() and bare.count() == whole.count() > 0

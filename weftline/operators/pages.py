@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -62,28 +63,40 @@ class _Tree(HTMLParser):
         del self.open[depth:], self.ordinals[depth:]
 
 
-def _page_rows(page_id, url, html: str | None) -> list[dict]:
+#: Templates and shapes repeat within and across pages; long lists of children aren't remembered.
+_seen = functools.lru_cache(1 << 15)(_hash)
+
+
+def _page_columns(page_id, url, html: str | None, hashes: bool = True) -> list[list]:
+    """A page's rows as columns in the order of ``_SCHEMA``; without ``hashes`` the last three are left out."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    rows, n = tree.rows, len(tree.rows)
-    height, size, exact, template, shape = [0] * n, [1] * n, [""] * n, [""] * n, [""] * n
+    parents, tags, paths, texts, attrs, kids, lasts = map(list, zip(*tree.rows))
+    n = len(tags)
+    texts = [" ".join(" ".join(t).split()) if t else "" for t in texts]
+    height, size = [1] * n, [1] * n
     for i in range(n - 1, -1, -1):  # children come after their parent
-        _, tag, _, texts, attrs, children, _ = rows[i]
-        height[i] = 1 + max((height[c] for c in children), default=-1)
-        size[i] += sum(size[c] for c in children)
-        rows[i][6] = max([i, *(rows[c][6] for c in children)])
-        text = " ".join(" ".join(texts).split())
-        exact[i] = _hash(tag, text, *(f"{k}={v}" for k, v in sorted(attrs.items())), *(exact[c] for c in children))
-        template[i] = _hash(tag, *sorted({template[c] for c in children}))  # kinds of children, not how many
-        shape[i] = _hash(tag, *(shape[c] for c in children))
-    return [
-        {
-            "page_id": page_id, "url": url, "node_id": i, "parent_id": r[0], "last_id": r[6], "tag": r[1], "xpath": r[2], "text": " ".join(" ".join(r[3]).split()),
-            "attrs": list(r[4].items()), "height": height[i], "size": size[i], "exact": exact[i], "template": template[i], "shape": shape[i],
-        }
-        for i, r in enumerate(rows)
-    ]
+        below = kids[i]
+        height[i] = 1 + max([height[c] for c in below]) if below else 0
+        if below:
+            size[i] += sum([size[c] for c in below])
+            lasts[i] = max([lasts[c] for c in below])
+    columns = [[page_id] * n, [url] * n, list(range(n)), parents, lasts, tags, paths, texts, [list(a.items()) for a in attrs], height, size]
+    if not hashes:
+        return columns
+    exact, template, shape = [""] * n, [""] * n, [""] * n
+    for i in range(n - 1, -1, -1):
+        below, tag = kids[i], tags[i]
+        named = _seen if len(below) <= 32 else _hash
+        exact[i] = _hash(tag, texts[i], *[f"{k}={v}" for k, v in sorted(attrs[i].items())], *[exact[c] for c in below])
+        template[i] = named(tag, *sorted({template[c] for c in below}))  # kinds of children, not how many
+        shape[i] = named(tag, *[shape[c] for c in below])
+    return [*columns, exact, template, shape]
+
+
+def _page_rows(page_id, url, html: str | None) -> list[dict]:
+    return [dict(zip(_SCHEMA.names, row)) for row in zip(*_page_columns(page_id, url, html))]
 
 
 _SCHEMA = pa.schema([
@@ -92,19 +105,32 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows = [x for r in batch.slice(at, 200).to_pylist() for x in _page_rows(r["page_id"], r["url"], r["html"])]
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+def _parse(hashes: bool):
+    schema = _SCHEMA if hashes else pa.schema(list(_SCHEMA)[:-3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[] for _ in schema]
+            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                for column, more in zip(columns, _page_columns(page_id, url, html, hashes)):
+                    column += more
+                if len(columns[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                    columns = [[] for _ in schema]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
 
 
-def nodes(pages: DataFrame) -> DataFrame:
+def nodes(pages: DataFrame, hashes: bool = True) -> DataFrame:
     """One row per element of each page (page_id, url, html), with content hashes. Null html gives the document node alone.
 
     ``last_id`` is the last node of the subtree; ``exact`` covers tags, attributes and texts; ``template`` the kinds of
-    children only, so repeated cards share it; ``shape`` the tags of the subtree in order."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, NODES)
+    children only, so repeated cards share it; ``shape`` the tags of the subtree in order. Without ``hashes`` these three
+    are neither made nor given."""
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return held.mapInArrow(_parse(hashes), NODES if hashes else NODES[: NODES.index(", exact")])
 
 
 def content(rows: DataFrame) -> DataFrame:
