@@ -109,3 +109,14 @@ def test_a_search_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     assert len(found.collect()) == 2
     (filtered,) = re.findall(r"Filter \(.*bucket#\d+ (?:=|IN|INSET) .*", plan)
     assert str(spark.range(1).select(search.bucket_of(F.lit("hen"), 16)).first()[0]) in filtered
+
+
+def test_terms_are_counted_within_rows(spark):
+    """No aggregate by document and term, which would spill; rows of an id count together, without pairs across texts."""
+    docs = spark.createDataFrame([(1, "a b a b"), (1, "b c"), (2, None), (3, ""), (4, "x"), (None, "y y")], "doc long, text string")
+    counts = search.term_counts(docs, "doc", "text")
+    expected = {(1, "a", 2), (1, "b", 3), (1, "c", 1), (1, "a b", 2), (1, "b a", 1), (1, "b c", 1), (4, "x", 1), (None, "y", 2), (None, "y y", 1)}
+    rows = [tuple(r) for r in counts.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate(key=" in line.replace("keys", "key") and "term" in line.split("functions")[0]]
