@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_mining import made  # noqa: F401
 
 from weftline.operators import cohorts, templates
@@ -180,3 +181,13 @@ def test_pq_trees_and_patterns_equal_brute_force(spark, made):  # noqa: F811
             if r.tag == p.tag and r.height >= p.least_height and fits and r.tag not in templates.SKIPPED:
                 matched.add((p.pattern, r.page_id, r.node_id))
     assert matched and {tuple(r) for r in cohorts.pattern_matches(rows, patterns).collect()} == matched
+
+
+def test_pq_trees_write_each_level_twice_at_most(spark, made, monkeypatch):  # noqa: F811
+    """A level's instances with their children, and its forms; before, the instances were written once more."""
+    rows, _ = made
+    instances, written = rows.where("height >= 1").select(F.col("template").alias("pattern"), "page_id", "node_id"), []
+    monkeypatch.setattr(cohorts, "kept", lambda df, f=cohorts.kept: written.append(df) or f(df))
+    monkeypatch.setattr(cohorts, "kept_large", lambda df, f=cohorts.kept_large: written.append(df) or f(df))
+    assert cohorts.pq_trees(rows, instances, depth=3).count() > 0
+    assert len(written) == 1 + 2 * 3 + 1

@@ -194,27 +194,29 @@ def pq_trees(rows: DataFrame, instances: DataFrame, depth: int = 4) -> DataFrame
     ``depth``, it is a leaf. ``place`` is the path of positions from the root ('')."""
     kids = kept_large(children(rows))
     tags = lambda s: F.transform(s, lambda k: k.tag)
-    at = kept_large(instances.join(_plain(rows).select(*_KEY, "tag"), _KEY).select("pattern", *_KEY, "tag", F.lit("").alias("place"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("position")))
-    found = []
+    at = instances.join(_plain(rows).select(*_KEY, "tag"), _KEY).select("pattern", *_KEY, "tag", F.lit("").alias("place"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("position")).hint("merge")
+    found, key = [], ["pattern", "place", "above", "position", "tag"]
     for level in range(depth + 1):
+        # kept with its children, as it is read twice: for the forms and for the next level
         held = kept(at.join(kids, _KEY, "left")) if level < depth else at.withColumn("kids", F.lit(None).cast("array<struct<node_id:int,tag:string>>"))
-        key = ["pattern", "place", "above", "position", "tag"]
-        forms = held.groupBy(*key).agg(
-            F.count_distinct(tags(F.col("kids"))).alias("orders"), F.count_distinct(F.array_sort(tags(F.col("kids")))).alias("bags"), F.count("*").alias("n"),
-            F.max_by(tags(F.col("kids")), F.struct(F.coalesce(F.size("kids"), F.lit(0)), -F.col("page_id"), -F.col("node_id"))).alias("order"),
+        # a place has few orders of children and many instances: like ones are counted before orders are compared
+        orders = held.groupBy(*key, tags(F.col("kids")).alias("order")).agg(F.count("*").alias("n"), F.max(F.struct(-F.col("page_id"), -F.col("node_id"))).alias("first"))
+        forms = orders.groupBy(*key).agg(
+            F.count("order").alias("orders"), F.count_distinct(F.array_sort("order")).alias("bags"), F.sum("n").alias("n"),
+            F.max_by("order", F.struct(F.coalesce(F.size("order"), F.lit(0)), "first")).alias("order"),
         )
         forms = kept(forms.withColumn("kind", F.when(F.col("orders") == 0, "leaf").when(F.col("orders") == 1, "Q").when(F.col("bags") == 1, "P").otherwise("longest")))
         found.append(forms.select("pattern", "place", "above", "position", F.when(F.col("kind") == "longest", "Q").otherwise(F.col("kind")).alias("kind"), "tag", "n"))
         if level == depth:
             break
-        inner = held.where("kids is not null").select("pattern", "place", "page_id", "kids").join(side(forms.where("kind <> 'leaf'").select("pattern", "place", "kind", "order")), ["pattern", "place"])  # few places, many instances of each
-        by_place = inner.where("kind = 'Q'").select("pattern", "place", "page_id", F.posexplode("kids").alias("position", "kid"))
-        by_tag = inner.where("kind = 'P'").withColumn("sorted", F.array_sort(F.array_distinct(tags(F.col("kids"))))).select("pattern", "place", "page_id", "sorted", F.explode("kids").alias("kid"))
-        by_tag = by_tag.select("pattern", "place", "page_id", (F.array_position("sorted", F.col("kid.tag")) - 1).cast("int").alias("position"), "kid")
-        first = inner.where("kind = 'longest'").select("pattern", "place", "page_id", "kids", F.posexplode("order").alias("position", "wanted"))
-        first = first.select("pattern", "place", "page_id", "position", F.get(F.filter("kids", lambda k: k.tag == F.col("wanted")), 0).alias("kid")).where("kid is not null")
-        every = by_place.union(by_tag).union(first)
-        at = kept_large(every.select("pattern", "page_id", F.col("kid.node_id").alias("node_id"), F.col("kid.tag").alias("tag"), F.concat("place", F.lit("/"), F.col("position").cast("string")).alias("above2"), F.col("place").alias("above"), "position").withColumnRenamed("above2", "place"))
+        wanted = F.when(F.col("kind") == "P", F.array_sort(F.array_distinct("order"))).when(F.col("kind") == "longest", F.col("order"))
+        inner = held.where("kids is not null").select("pattern", "place", "page_id", "kids").join(side(forms.where("kind <> 'leaf'").select("pattern", "place", "kind", wanted.alias("wanted"))), ["pattern", "place"])  # few places, many instances of each
+        at_place = lambda position, kid: F.struct(position.cast("int").alias("position"), kid.alias("kid"))
+        in_order = F.transform("kids", lambda k, i: at_place(i, k))
+        by_tag = F.transform("kids", lambda k: at_place(F.array_position("wanted", k.tag) - 1, k))
+        first = F.filter(F.transform("wanted", lambda w, i: at_place(i, F.get(F.filter("kids", lambda k: k.tag == w), 0))), lambda x: x.kid.isNotNull())
+        every = inner.select("pattern", "place", "page_id", F.explode(F.when(F.col("kind") == "Q", in_order).when(F.col("kind") == "P", by_tag).otherwise(first)).alias("x"))
+        at = every.select("pattern", "page_id", F.col("x.kid.node_id").alias("node_id"), F.col("x.kid.tag").alias("tag"), F.concat("place", F.lit("/"), F.col("x.position").cast("string")).alias("place"), F.col("place").alias("above"), F.col("x.position").alias("position")).hint("merge")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
