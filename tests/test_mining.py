@@ -445,3 +445,13 @@ def test_nodes_without_hashes_are_the_same_rows(spark):
     whole, bare = pages.nodes(rows).drop("exact", "template", "shape"), pages.nodes(rows, hashes=False)
     text = lambda df: df.withColumn("attrs", F.to_json("attrs"))
     assert bare.columns == whole.columns and text(bare).exceptAll(text(whole)).isEmpty() and bare.count() == whole.count() > 0
+
+
+def test_trees_are_found_by_one_join_and_read_once_by_both_sides(spark):
+    rows = kept(pages.nodes(order_pages(spark, FOLDER).where("page_id <= 20")))
+    roots = rows.where("height >= 1").groupBy("page_id", "template").agg(F.min("node_id").alias("node_id")).join(rows.select("page_id", "node_id", "xpath"), ["page_id", "node_id"])
+    held = templates.trees(rows, kept(roots))
+    joins = lambda df: re.findall(r"^[ (\d)*+:-]*\w*Join ", df._jdf.queryExecution().executedPlan().toString(), re.M)
+    assert len(joins(held)) == 1
+    for pairs in (tree_match.near_trees(held), tree_match.similar_trees(held)):
+        assert len(joins(pairs)) == 1  # of the pairs; the trees aren't made anew for each side

@@ -3,7 +3,7 @@ their instances hold in common.  Input are node tables (``pages.nodes``); all st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import xpath as X
@@ -17,12 +17,16 @@ DRAWING = "svg canvas video audio defs g filter fecolormatrix fegaussianblur fem
 _KEY = ["page_id", "node_id"]
 
 
+def framed(rows: DataFrame) -> DataFrame:
+    """Elements within the frame."""
+    return rows.where(~F.col("tag").isin(*SKIPPED, *FRAME))
+
+
 def elements(rows: DataFrame) -> DataFrame:
     """Elements within the frame with ``is_link`` (has an href), ``is_content`` (own text, href or src), and of the whole subtree ``n_content`` and ``n_chars``.
 
     Sums over a subtree are differences of running sums at both ends of its interval."""
-    own = rows.where(~F.col("tag").isin(*SKIPPED, *FRAME))
-    own = own.withColumn("is_link", F.col("attrs")["href"].isNotNull()).withColumn("is_content", (F.col("text") != "") | F.col("is_link") | F.col("attrs")["src"].isNotNull())
+    own = framed(rows).withColumn("is_link", F.col("attrs")["href"].isNotNull()).withColumn("is_content", (F.col("text") != "") | F.col("is_link") | F.col("attrs")["src"].isNotNull())
     order = Window.partitionBy("page_id").orderBy("node_id")
     run = own.withColumns({"c": F.sum(F.col("is_content").cast("long")).over(order), "t": F.sum(F.length("text").cast("long")).over(order), "at": F.row_number().over(order)})
     # the last node of a subtree may be a skipped one: look up the last element that isn't
@@ -139,11 +143,12 @@ def template_edges(groups: DataFrame) -> DataFrame:
 
 
 def trees(rows: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """(page_id, root_id, labels, depths): the tags of the subtrees of ``roots`` (page_id, node_id, xpath) down to a depth, in page order."""
-    own = rows.where(~F.col("tag").isin(*SKIPPED, "#document")).select(*_KEY, "xpath", "tag")
-    level: Column = X.depth(F.col("xpath"))
-    tops = roots.select("page_id", F.col("node_id").alias("top_id"), level.alias("top_level")).distinct()
-    pairs = above(own, roots).union(roots.select(*_KEY, F.col("node_id").alias("top_id")))
-    pairs = pairs.join(own.select(*_KEY, "tag", level.alias("level")), _KEY).join(tops, ["page_id", "top_id"]).where(F.col("level") - F.col("top_level") <= depth)
-    held = F.array_sort(F.collect_list(F.struct("node_id", "tag", (F.col("level") - F.col("top_level")).cast("int").alias("depth"))))
-    return pairs.groupBy("page_id", F.col("top_id").alias("root_id")).agg(held.alias("x")).select("page_id", "root_id", F.col("x.tag").alias("labels"), F.col("x.depth").alias("depths"))
+    """(page_id, root_id, labels, depths): the tags of the subtrees of ``roots`` (page_id, node_id, xpath) down to a depth, in page order.
+
+    A node looks for roots at its own path and at those of the ``depth`` nodes above it, so how far up one lies is its depth."""
+    own = rows.where(~F.col("tag").isin(*SKIPPED, "#document")).select(*_KEY, "tag", "xpath", F.regexp_count("xpath", F.lit("/")).alias("level"))
+    up = own.select(*_KEY, "tag", "xpath", "level", F.explode(F.sequence(F.lit(0), F.least(F.lit(depth), F.col("level") - 1))).alias("depth"))
+    up = up.select(*_KEY, "tag", "depth", F.call_function("substring_index", "xpath", F.lit("/"), F.col("level") + 1 - F.col("depth")).alias("path"))
+    pairs = up.join(roots.select("page_id", F.col("xpath").alias("path"), F.col("node_id").alias("root_id")).distinct(), ["page_id", "path"])
+    held = F.array_sort(F.collect_list(F.struct("node_id", "tag", "depth")))
+    return pairs.groupBy("page_id", "root_id").agg(held.alias("x")).select("page_id", "root_id", F.col("x.tag").alias("labels"), F.col("x.depth").alias("depths"))

@@ -5,15 +5,21 @@ them; each pair is then worked off on its own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import kept_large
 
-def post_order(depths: list[int]) -> tuple[list[int], list[int]]:
+#: Nodes of a pair of trees up to which a task remembers what it gave.
+REMEMBERED = 200
+
+
+def post_order(depths: Sequence[int]) -> tuple[list[int], list[int]]:
     """Of a tree in page order: its nodes in post-order, and for each of these the post-order place of its leftmost leaf."""
     order, left, stack = [], [], []
     for node, depth in enumerate([*depths, -1]):
@@ -28,7 +34,7 @@ def post_order(depths: list[int]) -> tuple[list[int], list[int]]:
     return order, left
 
 
-def edit_distance(labels: list[str], depths: list[int], labels2: list[str], depths2: list[int]) -> int:
+def edit_distance(labels: Sequence[str], depths: Sequence[int], labels2: Sequence[str], depths2: Sequence[int]) -> int:
     """Fewest insertions, deletions and relabelings that turn one ordered tree into the other."""
     if not labels or not labels2:
         return len(labels) + len(labels2)
@@ -82,10 +88,10 @@ def assignment(gain: np.ndarray) -> int:
     return int(sum(gain[match[j] - 1, j - 1] for j in range(1, m + 1) if match[j]))
 
 
-def common_subtree(labels: list[str], depths: list[int], labels2: list[str], depths2: list[int]) -> int:
+def common_subtree(labels: Sequence[str], depths: Sequence[int], labels2: Sequence[str], depths2: Sequence[int]) -> int:
     """Nodes of the largest common subtree of two trees with the same root tag: children are matched in any order, equal tags only."""
 
-    def children(ds: list[int]) -> list[list[int]]:
+    def children(ds: Sequence[int]) -> list[list[int]]:
         out, stack = [[] for _ in ds], []
         for i, d in enumerate(ds):
             while stack and ds[stack[-1]] >= d:
@@ -122,16 +128,18 @@ def _bag(labels: Column) -> Column:
 
 def _with(of, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = functools.lru_cache(1 << 13)(of)  # pages of one kind hold the same pairs
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("labels", "depths", "labels2", "depths2")]
-            found = [of(*x) for x in zip(*columns)]
+            columns = [map(tuple, batch.column(c).to_pylist()) for c in ("labels", "depths", "labels2", "depths2")]
+            found = [(seen if len(x[0]) + len(x[2]) <= REMEMBERED else of)(*x) for x in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "a", "b", "n", "n2")] + [pa.array(found, pa.int64())], ["page_id", "a", "b", "n", "n2", name])
 
     return run
 
 
 def _compared(trees: DataFrame) -> DataFrame:
-    return trees.select("page_id", "root_id", "labels", "depths", F.size("labels").alias("n"), _bag(F.col("labels")).alias("bag"))
+    """Trees with their size and tags, kept, as both sides of the pairs read them."""
+    return kept_large(trees.select("page_id", "root_id", "labels", "depths", F.size("labels").alias("n"), _bag(F.col("labels")).alias("bag")))
 
 
 def near_trees(trees: DataFrame, most: int = 3) -> DataFrame:

@@ -50,8 +50,9 @@ def sub_templates(spark, sf):
 
 def _all_templates(rows):
     """Every repeated template of a page with children, contained ones too, by its first instance."""
-    own = templates.elements(rows).where("height >= 1").groupBy("page_id", "template").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"))
-    return rows.select("page_id", "node_id", "xpath", "height").join(own, ["page_id", "node_id"])
+    first = F.min_by(F.struct("xpath", "height"), "node_id").alias("first")
+    own = templates.framed(rows).where("height >= 1").groupBy("page_id", "template").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"), first)
+    return kept_large(own.select("page_id", "node_id", "first.xpath", "first.height", "template", "n"))
 
 
 def tree_distances(spark, sf):
@@ -69,7 +70,7 @@ def common_subtrees(spark, sf):
 def merged_templates(spark, sf):
     """Templates joined by common subtrees: the highest and most frequent of each set, and how many instances it now has."""
     rows = _order_nodes(spark, sf)
-    roots = kept_large(_all_templates(rows))
+    roots = _all_templates(rows)
     pairs = tree_match.similar_trees(templates.trees(rows, roots))
     name = lambda x: F.concat_ws(":", "page_id", F.lpad(F.col(x).cast("string"), 10, "0"))
     sets = graph.components_of(kept(pairs.select(name("a").alias("src"), name("b").alias("dst"))))
