@@ -1,6 +1,9 @@
 """Triple products, panels and inverses on made rows: missing ranks, names and vectors, ties, repeats, empty tables."""
 
-from weftline.operators import ranking
+from weftline import catalog
+from weftline.operators import ranking, search
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def _rows(spark):
@@ -34,3 +37,15 @@ def test_inverse_and_ports(spark):
     ports = spark.createDataFrame([(1, "a", "number"), (1, "b", None), (1, "c", "image"), (2, "a", "text"), (2, "b", None)], "focal long, port string, kind string")
     assert sorted(tuple(r) for r in ranking.port_inputs(inverse, samples, ports).collect()) == [(1, "a", 2, 0.5), (1, "b", 9, 1.0), (2, "b", 7, 0.1)]
     assert ranking.closest_inverse(recorded.limit(0), similar.limit(0), 3).count() == 0
+
+
+def test_pairs_are_not_shuffled_before_the_best_are_chosen(spark, monkeypatch):
+    """Pairs of focal documents and others are quadratic: of each chunk only the best of a task may leave it, and chunks give the rows of one."""
+    plans, keep, query = [], search.kept, catalog.queries()["triple_product_rank"]
+    monkeypatch.setattr(search, "kept", lambda df: plans.append(df) or keep(df))
+    whole = query(spark, FOLDER).collect()
+    text = plans[-1]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    pairs = text[text.index("WindowGroupLimit", text.index("Exchange hashpartitioning")) :]
+    assert " Partial" in pairs.split("\n")[0] and "Exchange hashpartitioning" not in pairs and "SortMergeJoin" not in pairs
+    monkeypatch.setattr(search, "CHUNK_QUERIES", 1)
+    assert sorted(query(spark, FOLDER).collect()) == sorted(whole) != []
