@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from weftline.operators import vectors
+from weftline.operators import search, vectors
+from weftline.sources import shuffled_into
 
 
 def plan(df):
@@ -26,3 +27,44 @@ def test_neighbours_are_scored_by_blocks(spark, monkeypatch):
                 pairs.append((-round(float(np.dot(v, w) / size) if size else 0.0, 6), b))
         expected += [(a, b, -s, i + 1) for i, (s, b) in enumerate(sorted(p for p in pairs if p[0] <= -0.1)[:3])]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_norms_shuffle_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "TASK_BYTES", 8)
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (4, "a b c d e f")], "doc long, text string")
+    index = search.build_index(docs, "doc", "text")
+    assert index.parts >= 4  # 24 bytes of text
+    assert "hashpartitioning(term" not in plan(index.norms) and "hashpartitioning(term" not in plan(search.term_stats(index.counts, 4))
+    single, double = 1 + np.log(5 / 2), 1 + np.log(5 / 3)
+    got = {r.doc: r.norm for r in index.norms.collect()}
+    assert set(got) == {1, 2, 4}
+    three = 1 + np.log(5 / 4)
+    assert abs(got[2] ** 2 - (three**2 + 2 * double**2)) < 1e-9  # b in three, c and "b c" in two documents
+    assert abs(got[1] ** 2 - ((2 * double) ** 2 + three**2 + double**2 + single**2)) < 1e-9  # a twice, b, "a b", "b a"
+
+
+def test_frequencies_of_a_changed_index_shuffle_no_postings_by_document(spark):
+    postings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "doc long, term string")
+    stats = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 1)], "term string, df int")  # need not be summed up
+    out, new = spark.createDataFrame([(3,), (3,)], "doc long"), spark.createDataFrame([(1, "d"), (3, "e")], "doc long, term string")
+    found = search.document_frequencies_after(stats, postings, out, new)
+    assert set(map(tuple, found.collect())) == {("a", 1), ("d", 1)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(search.document_frequencies_after(stats, postings, out, new))
+        left, right = spark.createDataFrame([(1, "x"), (1, "y")], "l int, token string"), spark.createDataFrame([(5, "x"), (5, "z"), (6, "w")], "r int, token string")
+        weight = right.groupBy("token").count().select("token", (search.F.col("count") * 1.0).alias("w"))
+        pairs = search.jaccard(left, right, weight)
+        assert "SortMergeJoin" not in plan(pairs).split("== Physical Plan ==")[1].split("hashpartitioning(r")[-1]
+        assert [(r.l, r.r, r.score) for r in pairs.collect()] == [(1, 5, 0.5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_partitions_are_set_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with shuffled_into(spark, 77):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
