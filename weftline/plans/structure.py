@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, logs, pages, search
-from ..sources import kept, table
+from ..sources import kept, shuffled_into, side, table
 from .graphs import _E, _edges
 
 
@@ -78,9 +78,13 @@ def index_upsert(spark, sf):
     low, high = docs.agg(F.min("lang").alias("lang")), docs.agg(F.max("source").alias("source"))
     fresh = docs.join(F.broadcast(low), "lang").withColumn("text", F.concat_ws(" ", "source", "lang", "source"))
     out = docs.join(F.broadcast(high), "source").select(F.col("doc_id").alias("doc"))
-    old = search.term_counts(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc")
-    new = search.term_counts(fresh, "doc_id", "text").withColumnRenamed("doc_id", "doc")
-    return search.document_frequencies_after(old.groupBy("term").agg(F.count("*").alias("df")), old, out, new)
+    parts = search.tasks_for(docs, "text")
+    old = search.term_counts(docs, "doc_id", "text", parts=parts).withColumnRenamed("doc_id", "doc")
+    new = kept(search.term_counts(fresh, "doc_id", "text").withColumnRenamed("doc_id", "doc"))
+    gone = out.union(fresh.select("doc_id")).distinct().withColumnRenamed("doc", "doc_id")
+    changed = search.term_counts(docs.join(side(gone), "doc_id", "left_semi"), "doc_id", "text", parts=parts).withColumnRenamed("doc_id", "doc")
+    with shuffled_into(spark, parts):  # frequencies of all postings and those that leave and arrive are summed at once
+        return kept(search.document_frequencies_after(old.select("term", F.lit(1).alias("df")), changed, out, new))
 
 
 def _weights(spark, sf):
