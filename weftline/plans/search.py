@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, search
-from ..sources import table
+from ..sources import kept, shuffled_into, table
 
 TERMS_SQL = r"""tok AS (SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents),
     trm AS (SELECT doc_id, source, unnest(w) AS term FROM tok
@@ -30,7 +30,9 @@ def _docs(spark, sf):
 def term_df_idf(spark, sf):
     """Documents with each term, and its smoothed inverse document frequency."""
     docs = _docs(spark, sf)
-    stats = search.term_stats(search.term_counts(docs, "doc_id", "text"), docs.count())
+    parts = search.tasks_for(docs, "text")
+    with shuffled_into(spark, parts):
+        stats = kept(search.term_stats(search.term_counts(docs, "doc_id", "text", parts=parts), docs.count()))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -87,7 +89,7 @@ def idf_jaccard(spark, sf):
     """The same with tokens weighted by ln(1 + N / df)."""
     left, right = _sets(spark, sf)
     n = _docs(spark, sf).count()
-    weight = right.groupBy("token").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("w"))
+    weight = kept(right.groupBy("token").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("w")))
     pairs = search.jaccard(left, right, weight)
     return pairs.where("score >= 0.15").select(F.col("l").alias("item_id"), F.col("r").alias("doc_id"), F.round("score", 6).alias("score"))
 
