@@ -7,6 +7,8 @@ pattern's depth, so this is an equality join and a page's nodes never meet in pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,19 +131,27 @@ def content_tree(fields: Column) -> Column:
     value = lambda e: F.coalesce(F.get(F.filter(F.transform(e.value, _plain), lambda v: v != ""), 0), F.lit(""))
     units = F.transform(F.map_entries(fields), lambda e: F.struct(leaf_kind(e.key).alias("kind"), value(e).alias("value")))
     units = F.filter(units, lambda u: u.kind.isNotNull() & (u.value != ""))
+    return F.coalesce(_once(units, _lines), F.lit(""))
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _lines(units: Column) -> Column:
     media = lambda v: F.regexp_extract(v, "^data:([^;,]*)[;,]", 1)
     short = lambda v: F.when(v.rlike("^data:[^;,]*[;,]"), F.concat(F.lit("data:"), F.when(media(v) == "", "inline").otherwise(media(v)))).otherwise(v)
     addresses = F.array_distinct(F.transform(F.filter(units, lambda u: u.kind == "url"), lambda u: short(u.value)))
     words = lambda v: F.array_distinct(F.regexp_extract_all(F.lower(v), F.lit(r"([\p{L}\p{N}]+)")))
     said = F.transform(F.filter(units, lambda u: u.kind != "url"), lambda u, i: F.struct(i.alias("i"), u.value.alias("value"), words(u.value).alias("words")))
-    covers = lambda a, b: (F.size(F.array_except(b.words, a.words)) == 0) & ((F.size(a.words) > F.size(b.words)) | ((F.size(a.words) == F.size(b.words)) & (a.i < b.i)))
-    kept = F.filter(said, lambda u: (F.size(u.words) == 0) | ~F.exists(said, lambda o: covers(o, u)))
+    covers = lambda a, b: (F.size(a.words) >= F.size(b.words)) & ((F.size(a.words) > F.size(b.words)) | (a.i < b.i)) & (F.size(F.array_except(b.words, a.words)) == 0)
+    kept = _once(said, lambda s: F.filter(s, lambda u: (F.size(u.words) == 0) | ~F.exists(s, lambda o: covers(o, u))))
     start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("open"))
     added = lambda s, u: F.when(
         s.open, F.struct(F.concat(F.slice(s.lines, F.lit(1), F.size(s.lines) - 1), F.array(F.concat(F.element_at(s.lines, -1), F.lit(" "), u.value))).alias("lines"), F.lit(False).alias("open"))
     ).otherwise(F.struct(F.array_append(s.lines, u.value).alias("lines"), u.value.endswith(":").alias("open")))
-    lines = F.aggregate(kept, start, added, lambda s: s.lines)
-    return F.coalesce(F.array_join(F.concat(addresses, lines), "\n"), F.lit(""))
+    return F.array_join(F.concat(addresses, F.aggregate(kept, start, added, lambda s: s.lines)), "\n")
 
 
 def field_text(fields: Column) -> Column:

@@ -43,7 +43,7 @@ def instance_fields(spark, sf):
 
 def part_cards(spark, sf):
     """A card of each part as a content tree: repeated words, labels with colons and addresses made of its columns."""
-    p = table(spark, sf, "part")
+    p = table(spark, sf, "part").repartition(2 * spark.sparkContext.defaultParallelism)  # a small file with much work in each row
     entries = [("/card/a/@href", F.concat(F.lit("/parts/"), F.col("p_partkey").cast("string"))), ("/card/h3/text()", F.col("p_name")), ("/card/h3/@title", F.upper("p_name")), ("/card/dt/text()", F.lit("<b>Maker</b>:")),
                ("/card/dd/text()", F.col("p_brand")), ("/card/p/text()", F.concat_ws(" ", "p_brand", "p_type")), ("/card/img/@src", F.lit("data:image/png;base64,AAAA")), ("/card/i/@class", F.col("p_type"))]
     held = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in entries]), F.array(*[F.array(F.lit(" "), v) for _, v in entries]))
