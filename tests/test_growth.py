@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftline.operators import search, vectors
+from weftline.operators import fields, graph, search, vectors
 from weftline.sources import shuffled_into
 
 
@@ -68,3 +68,25 @@ def test_partitions_are_set_back(spark):
     with shuffled_into(spark, 77):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_content_trees_compute_a_value_once(spark):
+    tree = fields.content_tree(search.F.create_map(search.F.lit("/a/text()"), search.F.array(search.F.lit(" "), search.F.lit("x y"))))
+    df = spark.range(1).select(tree.alias("t"))
+    assert df.first().t == "x y"
+    assert df._jdf.queryExecution().analyzed().toString().count("map_entries") == 1
+
+
+def test_ranks_of_idle_nodes_are_made_once(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "x"), ("b", "y"), ("b", "gone"), ("c", "c")], "src string, dst string")
+    weights = {"a": 1.0, "b": 2.0, "c": 1.0, "x": 3.0, "y": 1.0}
+    found = graph.personalised_pagerank(edges, spark.createDataFrame(list(weights.items()), "node string, weight double"), rounds=7)
+    prior = {k: v / 8 for k, v in weights.items()}
+    rank, deg = dict(prior), {"a": 2, "b": 3, "c": 1}
+    for _ in range(7):
+        idle = rank["x"] + rank["y"]
+        gain = {k: sum(rank[s] / deg[s] for s, d in [("a", "b"), ("b", "a"), ("a", "x"), ("b", "y"), ("c", "c")] if d == k) for k in rank}
+        rank = {k: 0.15 * prior[k] + 0.85 * (gain[k] + idle * prior[k]) for k in rank}
+    got = {r.node: r["rank"] for r in found.collect()}
+    assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 1e-12 for k in rank)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the last round alone
