@@ -90,3 +90,17 @@ def test_ranks_of_idle_nodes_are_made_once(spark):
     got = {r.node: r["rank"] for r in found.collect()}
     assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 1e-12 for k in rank)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the last round alone
+
+
+PAGE = "<body><ul>" + "<li><a href='/x'>x</a><b>y</b></li>" * 40 + "</ul></body>"
+
+
+def test_accessors_are_learned_from_paths_not_from_instances(spark):
+    from weftline.operators import pages
+
+    rows = fields.readable(pages.nodes(spark.createDataFrame([(1, "/1", PAGE), (2, "/2", None)], "page_id long, url string, html string"), hashes=False))
+    found = fields.learned(rows, fields.patterns(rows), "page_id")
+    assert "instance" not in plan(found) and "value" not in found.columns
+    expected = {(1, "/body/ul/li", "/li/a/@href"), (1, "/body/ul/li", "/li/a/text()"), (1, "/body/ul/li", "/li/b/text()")}
+    assert set(map(tuple, found.collect())) == expected
+    assert set(map(tuple, fields.accessors(fields.instance_values(rows, fields.patterns(rows)), "page_id").collect())) == expected

@@ -31,6 +31,17 @@ def prefixes(xp: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
 
 
+def ancestors(xp: Column) -> Column:
+    """The strict prefixes of a path that begins with / and has no empty segments, the longest last; null if there are none."""
+    level = F.regexp_count(xp, F.lit("/"))
+    return F.when(level > 1, F.transform(F.sequence(F.lit(2), level), lambda i: up_to(xp, i)))
+
+
+def up_to(xp: Column, n: Column) -> Column:
+    """What comes before the n-th slash of a path, or all of it: with n - 1 the number of segments."""
+    return F.call_function("substring_index", xp, F.lit("/"), n)
+
+
 def is_ancestor(a: Column, d: Column) -> Column:
     """a is a strict prefix of d that ends at a segment."""
     return (a != "") & d.startswith(F.concat(a, F.lit("/")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..functions import xpath as X
+from ..sources import kept_large
 
 #: Attributes whose value is an address, and those whose value is read by people.
 URL_ATTRIBUTES = "href src srcset poster data-src data-lazy-src data-original data-original-src data-image xlink:href".split()
@@ -24,16 +25,28 @@ SILENT = ("script", "style")
 FRAME = ("#document", "html", "head", "body")
 
 
+def readable(rows: DataFrame) -> DataFrame:
+    """Node tables with what is looked up below instead of texts and attributes: ``gx``, the path without indices, and ``found``, the (address, value) of each node.
+
+    The functions below make both themselves where they are missing."""
+    text = F.struct(F.lit("text()").alias("address"), F.when(~F.col("tag").isin(*SILENT), F.trim("text")).alias("value"))
+    named = F.transform(F.filter(F.map_entries("attrs"), lambda x: x.key.isin(*URL_ATTRIBUTES, *LABEL_ATTRIBUTES)), lambda x: F.struct(F.concat(F.lit("@"), x.key).alias("address"), F.trim(x.value).alias("value")))
+    found = F.filter(F.concat(F.array(text), F.coalesce(named, F.array())), lambda x: F.coalesce(x.value != "", F.lit(False)))
+    return rows.select("page_id", "node_id", "tag", "xpath", "height", X.generalise(F.col("xpath")).alias("gx"), found.alias("found"))
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    return rows if "found" in rows.columns else readable(rows)
+
+
 def contents(rows: DataFrame) -> DataFrame:
-    """(page_id, node_id, xpath, address, value): the text and the address and label attributes of each node, trimmed; empty ones are left out."""
-    read = [(F.lit("text()"), F.when(~F.col("tag").isin(*SILENT), F.trim("text")))] + [(F.lit(f"@{a}"), F.trim(F.col("attrs")[a])) for a in URL_ATTRIBUTES + LABEL_ATTRIBUTES]
-    found = F.filter(F.array(*[F.struct(a.alias("address"), v.alias("value")) for a, v in read]), lambda x: F.coalesce(x.value != "", F.lit(False)))
-    return rows.select("page_id", "node_id", "xpath", F.explode(found).alias("x")).select("page_id", "node_id", "xpath", "x.address", "x.value")
+    """(page_id, node_id, xpath, gx, address, value): the text and the address and label attributes of each node, trimmed; empty ones are left out."""
+    return _readable(rows).select("page_id", "node_id", "xpath", "gx", F.explode("found").alias("x")).select("page_id", "node_id", "xpath", "gx", "x.address", "x.value")
 
 
 def patterns(rows: DataFrame, least: int = 2, least_height: int = 1) -> DataFrame:
     """(page_id, pattern, n): paths without indices that several elements of a page share, some of them with children."""
-    own = rows.where(~F.col("tag").isin(*FRAME)).groupBy("page_id", X.generalise(F.col("xpath")).alias("pattern"))
+    own = _readable(rows).where(~F.col("tag").isin(*FRAME)).groupBy("page_id", F.col("gx").alias("pattern"))
     return own.agg(F.count("*").alias("n"), F.max("height").alias("height")).where((F.col("n") >= least) & (F.col("height") >= least_height)).select("page_id", "pattern", "n")
 
 
@@ -42,17 +55,35 @@ def _accessor(pattern: Column, path: Column, address: Column) -> Column:
     return F.concat(F.lit("/"), F.element_at(F.split(pattern, "/"), -1), F.substring(path, F.length(pattern) + 1, F.length(path)), F.lit("/"), address)
 
 
+def _instances(paths: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
+    """(key..., pattern): each of ``paths`` (with ``gx``, a path without indices) with each chosen pattern that it begins with."""
+    depth = F.regexp_count("gx", F.lit("/"))
+    tops = paths.where(depth > 0).select(*paths.columns, F.explode(F.sequence(F.lit(1), depth)).alias("level"))
+    return tops.withColumn("pattern", X.up_to(F.col("gx"), F.col("level") + 1)).join(chosen, [*key, "pattern"])
+
+
+def _read(values: DataFrame, levels: DataFrame, *on: str) -> DataFrame:
+    """``instance_values`` of ``values`` (contents with ``gx``), given the ``levels`` of the patterns that hold each path."""
+    # what groups by instance or accessor afterwards finds a page's values in one place already, and they are moved before there is one for each level
+    held = values.join(levels, [*on]).repartition("page_id").withColumn("level", F.explode("levels"))
+    pattern, instance = (X.up_to(F.col(x), F.col("level") + 1) for x in ("gx", "xpath"))
+    held = held.withColumns({"pattern": pattern, "instance": instance})
+    return held.select("page_id", "pattern", "instance", "node_id", _accessor(F.col("pattern"), F.col("gx"), F.col("address")).alias("accessor"), "value")
+
+
 def instance_values(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(page_id, pattern, instance, node_id, accessor, value) of all that the instances of a page's patterns hold.
 
-    ``chosen`` has (page_id, pattern). A node is looked at once for each depth that a pattern of its page has."""
-    chosen = chosen.select("page_id", "pattern").distinct()
-    levels = chosen.groupBy("page_id").agg(F.collect_set(X.depth(F.col("pattern"))).alias("levels"))
-    parts = X.segments(F.col("xpath"))
-    held = contents(rows).join(levels, "page_id").withColumn("level", F.explode(F.filter("levels", lambda i: i <= F.size(parts))))
-    held = held.withColumn("instance", F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), F.col("level")), "/"))).withColumn("pattern", X.generalise(F.col("instance")))
-    held = held.join(chosen, ["page_id", "pattern"])
-    return held.select("page_id", "pattern", "instance", "node_id", _accessor(F.col("pattern"), X.generalise(F.col("xpath")), F.col("address")).alias("accessor"), "value")
+    ``chosen`` has (page_id, pattern). Patterns are looked up once for each path without indices of a page, however many nodes share it."""
+    values, chosen = contents(rows), chosen.select("page_id", "pattern").distinct()
+    levels = _instances(values.select("page_id", "gx").distinct(), chosen, "page_id").groupBy("page_id", "gx").agg(F.collect_list("level").alias("levels"))
+    return _read(values, levels.hint("merge"), "page_id", "gx")
+
+
+def learned(rows: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
+    """``accessors`` of ``instance_values``, from paths without indices alone: neither instances nor values are made."""
+    found = _instances(contents(rows).select("page_id", "gx", "address").distinct(), chosen.select("page_id", "pattern").distinct(), "page_id")
+    return found.select(*key, "pattern", _accessor(F.col("pattern"), F.col("gx"), F.col("address")).alias("accessor")).distinct()
 
 
 def _collected(values: DataFrame, *key: str, distinct: bool) -> DataFrame:
@@ -80,16 +111,14 @@ def extraction_trie(routes: DataFrame, *key: str) -> DataFrame:
     ``above`` is the path to a trie node ('' at the top) and ``step`` leads on from it. An address (``text()`` or
     ``@attribute``) is a step of its own; tags are joined as long as only one other tag follows."""
     key = (*key, "pattern")
-    parts = X.segments(F.col("accessor"))
-    prefix = lambda i: F.when(i > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.lit(""))
-    steps = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(prefix(i).alias("path"), F.element_at(parts, i + 1).alias("next"), (i + 1 == F.size(parts)).alias("last")))
-    edges = routes.select(*key, F.explode(steps).alias("x")).select(*key, "x.path", "x.next", "x.last").distinct()
+    steps = routes.select(*key, "accessor", F.posexplode(F.split(F.substring("accessor", 2, F.length("accessor")), "/")).alias("i", "next"))
+    path = F.when(F.col("i") > 0, X.up_to(F.col("accessor"), F.col("i") + 1)).otherwise("")
+    edges = kept_large(steps.select(*key, path.alias("path"), "next", (F.col("i") == F.regexp_count("accessor", F.lit("/")) - 1).alias("last")).distinct())
     ends = edges.groupBy(*key, "path").agg(F.count("*").alias("n"), F.max("last").alias("last")).where("path = '' or n > 1 or last").select(*key, "path")
     # leaves hang on the path before them; every other end hangs on the longest end before it
     leaves = edges.where("last").select(*key, F.col("path").alias("above"), F.col("next").alias("step"), F.lit(True).alias("is_leaf"))
-    inner = ends.where("path <> ''")
-    pre = F.transform(F.sequence(F.lit(0), F.size(X.segments(F.col("path"))) - 1), lambda i: F.when(i > 0, F.concat(F.lit("/"), F.array_join(F.slice(X.segments(F.col("path")), F.lit(1), i), "/"))).otherwise(F.lit("")))
-    up = inner.select(*key, "path", F.explode(pre).alias("above")).join(ends.withColumnRenamed("path", "above"), [*key, "above"]).groupBy(*key, "path").agg(F.max_by("above", F.length("above")).alias("above"))
+    pre = F.concat(F.array(F.lit("")), F.coalesce(X.ancestors(F.col("path")), F.array().cast("array<string>")))
+    up = ends.where("path <> ''").select(*key, "path", F.explode(pre).alias("above")).join(ends.withColumnRenamed("path", "above"), [*key, "above"]).groupBy(*key, "path").agg(F.max_by("above", F.length("above")).alias("above"))
     return leaves.union(up.select(*key, "above", F.substring("path", F.length("above") + 1, F.length("path")).alias("step"), F.lit(False)))
 
 

@@ -9,7 +9,7 @@ from ..sources import kept_large, table
 
 
 def _nodes(spark, sf):
-    return kept_large(pages.nodes(table(spark, sf, "pages")))
+    return kept_large(fields.readable(pages.nodes(table(spark, sf, "pages"), hashes=False)))
 
 
 def summary_fields(spark, sf):
@@ -21,12 +21,12 @@ def summary_fields(spark, sf):
 def extraction_trie(spark, sf):
     """The accessor trie of each pattern of a page, chains merged."""
     rows = _nodes(spark, sf)
-    return fields.extraction_trie(fields.accessors(fields.instance_values(rows, fields.patterns(rows)), "page_id"), "page_id")
+    return fields.extraction_trie(kept_large(fields.learned(rows, fields.patterns(rows), "page_id")), "page_id")
 
 
 def _routes(spark, sf, rows):
     """Accessors learned on the pages that repeat a pattern."""
-    return fields.accessors(fields.instance_values(rows, fields.patterns(rows)))
+    return kept_large(fields.learned(rows, fields.patterns(rows)))
 
 
 def pattern_query(spark, sf):
