@@ -104,3 +104,15 @@ def test_accessors_are_learned_from_paths_not_from_instances(spark):
     expected = {(1, "/body/ul/li", "/li/a/@href"), (1, "/body/ul/li", "/li/a/text()"), (1, "/body/ul/li", "/li/b/text()")}
     assert set(map(tuple, found.collect())) == expected
     assert set(map(tuple, fields.accessors(fields.instance_values(rows, fields.patterns(rows)), "page_id").collect())) == expected
+
+
+def test_pattern_query_looks_up_each_path_of_all_pages_once(spark, monkeypatch):
+    from weftline.operators import pages
+
+    looked = []
+    monkeypatch.setattr(fields, "side", lambda df: looked.append(sorted(map(tuple, df.select("gx", "address", "levels").collect()))) or df)
+    rows = pages.nodes(spark.createDataFrame([(i, f"/{i}", PAGE) for i in range(3)], "page_id long, url string, html string"))
+    found = fields.pattern_query(rows, fields.learned(rows, fields.patterns(rows)))
+    assert looked == [[("/body/ul/li/a", "@href", [3]), ("/body/ul/li/a", "text()", [3]), ("/body/ul/li/b", "text()", [3])]]
+    got = found.collect()
+    assert len(got) == 120 and all(r.pattern == "/body/ul/li" and r.fields == {"/li/a/@href": ["/x"], "/li/a/text()": ["x"], "/li/b/text()": ["y"]} for r in got)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..functions import xpath as X
-from ..sources import kept_large
+from ..sources import kept, kept_large, side
 
 #: Attributes whose value is an address, and those whose value is read by people.
 URL_ATTRIBUTES = "href src srcset poster data-src data-lazy-src data-original data-original-src data-image xlink:href".split()
@@ -86,18 +86,19 @@ def learned(rows: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
     return found.select(*key, "pattern", _accessor(F.col("pattern"), F.col("gx"), F.col("address")).alias("accessor")).distinct()
 
 
-def _collected(values: DataFrame, *key: str, distinct: bool) -> DataFrame:
-    """``fields``: for each key a map from accessor to its values, both in page order."""
+def _collected(values: DataFrame, distinct: bool) -> DataFrame:
+    """(page_id, pattern, instance, fields): for each instance a map from accessor to its values, both in page order."""
+    key = ["page_id", "instance"]  # the instance fixes the pattern
     lists = values.groupBy(*key, "accessor").agg(F.array_sort(F.collect_list(F.struct("node_id", "value"))).alias("found"))
     texts = F.transform("found", lambda x: x.value)
     lists = lists.select(*key, F.col("found")[0].node_id.alias("first"), "accessor", (F.array_distinct(texts) if distinct else texts).alias("values"))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("first", "accessor", "values"))), lambda x: F.struct(x.accessor, x["values"]))
-    return lists.groupBy(*key).agg(F.map_from_entries(entries).alias("fields"))
+    return lists.groupBy(*key).agg(F.map_from_entries(entries).alias("fields")).select("page_id", X.generalise(F.col("instance")).alias("pattern"), "instance", "fields")
 
 
 def summary_fields(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(page_id, pattern, instance, fields): distinct values of each accessor of each instance that holds any."""
-    return _collected(instance_values(rows, chosen), "page_id", "pattern", "instance", distinct=True)
+    return _collected(instance_values(rows, chosen), distinct=True)
 
 
 def accessors(values: DataFrame, *key: str) -> DataFrame:
@@ -126,11 +127,12 @@ def pattern_query(rows: DataFrame, routes: DataFrame) -> DataFrame:
     """(page_id, pattern, instance, fields): all subtrees of any page that match a pattern, with what its accessors find there.
 
     ``routes`` has (pattern, accessor), learned on whatever pages. Instances where no accessor finds a value are left out."""
-    routes = routes.select("pattern", "accessor").distinct()
-    own = X.generalise(F.col("xpath"))
-    there = rows.select("page_id", own.alias("pattern")).distinct().join(routes.select("pattern").distinct(), "pattern")
-    values = instance_values(rows, there).join(routes, ["pattern", "accessor"])
-    return _collected(values, "page_id", "pattern", "instance", distinct=False)
+    routes, values = routes.select("pattern", "accessor").distinct(), contents(rows)
+    # every prefix of a path is an element's, so patterns and accessors are looked up once for each path and address of all pages
+    found = _instances(values.select("gx", "address").distinct(), routes.select("pattern").distinct())
+    found = found.withColumn("accessor", _accessor(F.col("pattern"), F.col("gx"), F.col("address"))).join(routes, ["pattern", "accessor"])
+    levels = kept(found.groupBy("gx", "address").agg(F.collect_list("level").alias("levels")))
+    return _collected(_read(values, side(levels), "gx", "address"), distinct=False)
 
 
 # ---- what fields say
