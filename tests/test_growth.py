@@ -116,3 +116,15 @@ def test_pattern_query_looks_up_each_path_of_all_pages_once(spark, monkeypatch):
     assert looked == [[("/body/ul/li/a", "@href", [3]), ("/body/ul/li/a", "text()", [3]), ("/body/ul/li/b", "text()", [3])]]
     got = found.collect()
     assert len(got) == 120 and all(r.pattern == "/body/ul/li" and r.fields == {"/li/a/@href": ["/x"], "/li/a/text()": ["x"], "/li/b/text()": ["y"]} for r in got)
+
+
+def test_marked_ancestors_are_found_without_paths(spark):
+    from weftline.operators import pages
+
+    html = "<div><u><p>a</p></u></div><div><s><p>b</p></s></div><div><u><p>c</p></u></div><div><s><p>d</p></s></div><nav><q><p></p></q></nav><nav><q><p></p><h1></h1></q></nav>"
+    rows = pages.nodes(spark.createDataFrame([(1, "/1", html)], "page_id long, url string, html string"), hashes=("template",))
+    assert "exact" not in rows.columns and "shape" not in rows.columns
+    kinds = {r.template: r.tag for r in rows.collect()}
+    found = pages.containment(rows, least_height=0)
+    assert "xpath" not in plan(found) and "Generate" not in plan(found)
+    assert sorted((kinds[r.src], kinds[r.dst]) for r in found.collect()) == [("div", "s"), ("div", "u"), ("s", "p"), ("u", "p")]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import xpath as X
+from ..sources import kept_large
 
 #: Elements without an end tag, and those that a start tag of the same kind ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,8 +71,12 @@ class _Tree(HTMLParser):
 _seen = functools.lru_cache(1 << 15)(_hash)
 
 
-def _page_columns(page_id, url, html: str | None, hashes: bool = True) -> list[list]:
-    """A page's rows as columns in the order of ``_SCHEMA``; without ``hashes`` the last three are left out."""
+#: The hashes of a subtree.
+HASHES = ("exact", "template", "shape")
+
+
+def _page_columns(page_id, url, html: str | None, hashes: tuple[str, ...] = HASHES) -> list[list]:
+    """A page's rows as columns in the order of ``_SCHEMA``; of the last three only ``hashes`` are made."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
@@ -92,10 +97,13 @@ def _page_columns(page_id, url, html: str | None, hashes: bool = True) -> list[l
     for i in range(n - 1, -1, -1):
         below, tag = kids[i], tags[i]
         named = _seen if len(below) <= 32 else _hash
-        exact[i] = _hash(tag, texts[i], *[f"{k}={v}" for k, v in sorted(attrs[i].items())], *[exact[c] for c in below])
-        template[i] = named(tag, *sorted({template[c] for c in below}))  # kinds of children, not how many
-        shape[i] = named(tag, *[shape[c] for c in below])
-    return [*columns, exact, template, shape]
+        if "exact" in hashes:
+            exact[i] = _hash(tag, texts[i], *[f"{k}={v}" for k, v in sorted(attrs[i].items())], *[exact[c] for c in below])
+        if "template" in hashes:
+            template[i] = named(tag, *sorted({template[c] for c in below}))  # kinds of children, not how many
+        if "shape" in hashes:
+            shape[i] = named(tag, *[shape[c] for c in below])
+    return [*columns, *(column for name, column in zip(HASHES, (exact, template, shape)) if name in hashes)]
 
 
 def _page_rows(page_id, url, html: str | None) -> list[dict]:
@@ -108,8 +116,8 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _parse(hashes: bool):
-    schema = _SCHEMA if hashes else pa.schema(list(_SCHEMA)[:-3])
+def _parse(hashes: tuple[str, ...]):
+    schema = pa.schema([f for f in _SCHEMA if f.name not in HASHES or f.name in hashes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +134,15 @@ def _parse(hashes: bool):
     return run
 
 
-def nodes(pages: DataFrame, hashes: bool = True) -> DataFrame:
+def nodes(pages: DataFrame, hashes: bool | tuple[str, ...] = True) -> DataFrame:
     """One row per element of each page (page_id, url, html), with content hashes. Null html gives the document node alone.
 
     ``last_id`` is the last node of the subtree; ``exact`` covers tags, attributes and texts; ``template`` the kinds of
-    children only, so repeated cards share it; ``shape`` the tags of the subtree in order. Without ``hashes`` these three
-    are neither made nor given."""
+    children only, so repeated cards share it; ``shape`` the tags of the subtree in order. Of these three only those in
+    ``hashes`` (all or none for True and False) are made and given."""
+    hashes = HASHES if hashes is True else hashes or ()
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return held.mapInArrow(_parse(hashes), NODES if hashes else NODES[: NODES.index(", exact")])
+    return held.mapInArrow(_parse(hashes), NODES[: NODES.index(", exact")] + "".join(f", {name} string" for name in HASHES if name in hashes))
 
 
 def content(rows: DataFrame) -> DataFrame:
@@ -204,9 +213,10 @@ def containment(rows: DataFrame, least: int = 2, least_height: int = 1) -> DataF
     """(src, dst): distinct edges from the template of each node's nearest marked ancestor to its own, both repeating in their page.
 
     Nodes are marked if their template repeats. The edge needs a higher ancestor, and a template fixes its height, so the
-    edges are acyclic."""
-    marked = rows.join(templates(rows, least, least_height).select("page_id", "template"), ["page_id", "template"]).where("parent_id >= 0")
-    up = marked.select("page_id", "node_id", "template", "height", F.explode(X.prefixes(F.col("xpath"))).alias("above"), "xpath").where("above <> xpath").drop("xpath")
-    tops = marked.select("page_id", F.col("xpath").alias("above"), F.col("template").alias("src"), F.col("height").alias("top"))
-    near = up.join(tops, ["page_id", "above"]).groupBy("page_id", "node_id", F.col("template").alias("dst"), "height").agg(F.min_by(F.struct("src", "top"), "top").alias("p"))
-    return near.where("p.top > height").select("p.src", "dst").distinct()
+    edges are acyclic. A template also fixes the templates of the children, so all that is high enough below a marked node repeats
+    with it: the nearest marked ancestor is the parent, or there is none."""
+    n = F.sum((F.col("height") >= least_height).cast("long")).over(Window.partitionBy("page_id", "template"))
+    marked = rows.select("page_id", "node_id", "parent_id", "template", "height").withColumn("n", n).where((F.col("n") >= least) & (F.col("parent_id") >= 0))
+    marked = kept_large(marked.drop("n"))
+    tops = marked.select("page_id", F.col("node_id").alias("parent_id"), F.col("template").alias("src"), F.col("height").alias("top"))
+    return marked.join(tops, ["page_id", "parent_id"]).where("top > height").select("src", F.col("template").alias("dst")).distinct()

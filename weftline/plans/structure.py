@@ -22,7 +22,8 @@ def cross_page_matches(spark, sf):
 
 def containment_dag(spark, sf):
     """Which repeating templates lie next inside which others, without edges that longer paths imply."""
-    return graph.reduced(kept(pages.containment(_nodes(spark, sf), least_height=0)))
+    rows = pages.nodes(table(spark, sf, "pages"), hashes=("template",))
+    return graph.reduced(kept(pages.containment(rows, least_height=0)))
 
 
 def containment_depth(spark, sf):
