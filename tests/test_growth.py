@@ -118,6 +118,20 @@ def test_pattern_query_looks_up_each_path_of_all_pages_once(spark, monkeypatch):
     assert len(got) == 120 and all(r.pattern == "/body/ul/li" and r.fields == {"/li/a/@href": ["/x"], "/li/a/text()": ["x"], "/li/b/text()": ["y"]} for r in got)
 
 
+def test_orphans_and_templates_move_a_page_once(spark):
+    from weftline.operators import pages, templates
+
+    html = "<body><a href='/1'>a<br></a><i>b</i><i>c</i><div><p>d</p><b>e</b></div><div><p>f</p><b>g</b></div></body>"
+    rows = templates.outlined(pages.nodes(spark.createDataFrame([(1, "/1", html), (2, "/2", None)], "page_id long, url string, html string"), hashes=("template",)))
+    groups = templates.template_groups(rows.where("tag <> 'i'")).select("page_id", "node_id", "last_id", "tag")
+    assert sorted((r.tag, r.node_id, r.last_id) for r in groups.collect()) == [("div", 6, 8), ("div", 9, 11)]
+    found = templates.orphan_groups(rows, groups, groups.limit(0))
+    scan = plan(templates.orphan_groups(rows, spark.createDataFrame([(1, 6, 8), (1, 9, 11)], "page_id long, node_id int, last_id int"), spark.createDataFrame([], "page_id long, node_id int, last_id int")))
+    physical = scan.split("== Physical Plan ==")[1]
+    assert "Join" not in physical and physical.count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "text", 2, 4)]
+
+
 def test_marked_ancestors_are_found_without_paths(spark):
     from weftline.operators import pages
 

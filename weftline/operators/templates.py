@@ -3,7 +3,7 @@ their instances hold in common.  Input are node tables (``pages.nodes``); all st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import xpath as X
@@ -19,26 +19,46 @@ _KEY = ["page_id", "node_id"]
 
 def framed(rows: DataFrame) -> DataFrame:
     """Elements within the frame."""
-    return rows.where(~F.col("tag").isin(*SKIPPED, *FRAME))
+    return rows.where(_framed())
 
 
-def elements(rows: DataFrame) -> DataFrame:
-    """Elements within the frame with ``is_link`` (has an href), ``is_content`` (own text, href or src), and of the whole subtree ``n_content`` and ``n_chars``.
+def outlined(rows: DataFrame) -> DataFrame:
+    """Node tables with what templates need of a node instead of its texts and attributes: ``is_link`` (has an href), ``is_content`` (own text, href or src, within the frame), ``is_anchor`` (a link by its tag) and ``chars``.
 
-    Sums over a subtree are differences of running sums at both ends of its interval."""
-    own = framed(rows).withColumn("is_link", F.col("attrs")["href"].isNotNull()).withColumn("is_content", (F.col("text") != "") | F.col("is_link") | F.col("attrs")["src"].isNotNull())
-    order = Window.partitionBy("page_id").orderBy("node_id")
-    run = own.withColumns({"c": F.sum(F.col("is_content").cast("long")).over(order), "t": F.sum(F.length("text").cast("long")).over(order), "at": F.row_number().over(order)})
-    # the last node of a subtree may be a skipped one: look up the last element that isn't
-    ends = rows.select("page_id", F.col("node_id").alias("last_id")).join(run.select("page_id", F.col("node_id").alias("last_id"), F.col("c").alias("c2"), F.col("t").alias("t2")), ["page_id", "last_id"], "left")
-    ends = ends.withColumns({x: F.last(x, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("last_id")) for x in ("c2", "t2")})
-    held = run.join(ends, ["page_id", "last_id"])
-    return held.withColumns({"n_content": F.col("c2") - F.col("c") + F.col("is_content").cast("long"), "n_chars": F.col("t2") - F.col("t") + F.length("text")}).drop("c", "t", "c2", "t2", "at")
+    ``elements`` and what builds on it make these where they are missing."""
+    href, src = F.col("attrs")["href"].isNotNull(), F.col("attrs")["src"].isNotNull()
+    return rows.select(*_KEY, "parent_id", "last_id", "tag", "xpath", "height", "template", href.alias("is_link"), (~F.col("tag").isin(*SKIPPED, *FRAME) & ((F.col("text") != "") | href | src)).alias("is_content"),
+        (href & (F.col("tag") == "a")).alias("is_anchor"), F.length("text").cast("long").alias("chars"))
 
 
-def above(rows: DataFrame, tops: DataFrame, *kept: str) -> DataFrame:
-    """(page_id, node_id, top_id, ...): each node of ``rows`` with each of ``tops`` that lies strictly above it; ``kept`` are columns of tops."""
-    up = rows.select(*_KEY, F.explode(X.prefixes(F.col("xpath"))).alias("path"), "xpath").where("path <> xpath").drop("xpath")
+def _outlined(rows: DataFrame) -> DataFrame:
+    return rows if "is_anchor" in rows.columns else outlined(rows)
+
+
+def _framed() -> Column:
+    return ~F.col("tag").isin(*SKIPPED, *FRAME)
+
+
+def _scanned(rows: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """``outlined`` nodes with ``in_link`` (strictly inside one), ``holds`` (content in the subtree), ``until`` (signs of text in the frame so far) and ``free`` (neither one of ``tops`` nor below one).
+
+    Tops lie between the nodes as rows of their own, so a page is moved once and read in order: nothing is joined."""
+    own = _outlined(rows)
+    own = own.withColumn("end", F.lit(None).cast("int"))
+    if tops is not None:
+        own = own.unionByName(tops.select(*_KEY, F.col("last_id").alias("end")), allowMissingColumns=True)
+    page = Window.partitionBy("page_id")
+    order, back = page.orderBy("node_id"), page.orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, 0)
+    link = F.max(F.when(F.col("is_anchor"), F.col("last_id"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    until = F.sum(F.when(_framed(), F.col("chars"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    seen = own.withColumns({"in_link": F.coalesce(link >= F.col("node_id"), F.lit(False)), "until": F.coalesce(until, F.lit(0)), "free": F.coalesce(F.max("end").over(order) < F.col("node_id"), F.lit(True))})
+    ahead = F.min(F.when(F.col("is_content"), F.col("node_id"))).over(back)
+    return seen.withColumn("holds", F.coalesce(ahead <= F.col("last_id"), F.lit(False))).where("tag is not null").drop("end")
+
+
+def above(rows: DataFrame, tops: DataFrame, *kept: str, own: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, node_id, top_id, ...): each node of ``rows`` with each of ``tops`` that lies strictly above it; ``own`` are further columns of rows, ``kept`` of tops."""
+    up = rows.select(*_KEY, *own, F.explode(X.ancestors(F.col("xpath"))).alias("path"))
     return up.join(tops.select("page_id", F.col("xpath").alias("path"), F.col("node_id").alias("top_id"), *kept), ["page_id", "path"]).drop("path")
 
 
@@ -47,43 +67,38 @@ def nearest(rows: DataFrame, tops: DataFrame) -> DataFrame:
     return above(rows, tops).groupBy(*_KEY).agg(F.max("top_id").alias("top_id"))
 
 
-def outside(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """Rows that are neither one of ``tops`` (page_id, node_id, last_id) nor below one."""
-    ends = tops.select(*_KEY, F.col("last_id").alias("end")).distinct()
-    reach = F.max("end").over(Window.partitionBy("page_id").orderBy("node_id"))
-    return rows.join(ends, _KEY, "left").withColumn("reach", reach).where("reach is null or reach < node_id").drop("end", "reach")
-
-
 def template_groups(rows: DataFrame, least: int = 2, least_height: int = 1) -> DataFrame:
-    """Instances (columns of ``elements``) of the templates of each page that stand for themselves.
+    """Instances of the templates of each page that stand for themselves: their nodes with ``is_link``, ``in_link`` and ``freq``, the instances of their template.
 
     A template has ``least`` instances of at least that height, each with content of its own or below it.  It is left out if all its instances lie inside instances of a higher template, or inside links."""
-    held = elements(rows).where((F.col("n_content") > 0) & (F.col("height") >= least_height))
-    held = kept_large(held.join(held.groupBy("page_id", "template").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), ["page_id", "template"]))
+    own = Window.partitionBy("page_id", "template")
+    held = _scanned(rows).where(_framed() & F.col("holds") & (F.col("height") >= least_height)).select(*_KEY, "parent_id", "last_id", "tag", "xpath", "height", "template", "is_link", "is_content", "in_link")
+    held = kept_large(held.withColumns({"freq": F.count("*").over(own), "linked": F.bool_and("in_link").over(own)}).where(F.col("freq") >= least))
     tops = held.withColumnsRenamed({"template": "top_template", "height": "top_height"})
-    inside = above(held, tops, "top_template", "top_height").join(held.select(*_KEY, "template", "height", "freq"), _KEY).where("top_height > height")
-    inside = inside.groupBy("page_id", "template", "top_template").agg(F.countDistinct("node_id").alias("n"), F.first("freq").alias("freq")).where("n = freq").select("page_id", "template").distinct()
-    held = held.join(inside, ["page_id", "template"], "left_anti")
-    links = rows.where("tag = 'a' and attrs['href'] is not null")
-    linked = held.join(above(held, links).select(*_KEY).distinct().withColumn("in_link", F.lit(True)), _KEY, "left").withColumn("in_link", F.coalesce("in_link", F.lit(False)))
-    out = linked.groupBy("page_id", "template").agg(F.bool_and("in_link").alias("all")).where("all").select("page_id", "template")
-    return linked.join(out, ["page_id", "template"], "left_anti")
+    inside = above(held, tops, "top_template", "top_height", own=("template", "height", "freq")).where("top_height > height")
+    # a template fixes its height, so an instance lies in one instance of another at most
+    inside = inside.groupBy("page_id", "template", "top_template", "freq").agg(F.count("*").alias("n")).where("n = freq").select("page_id", "template").distinct()
+    return held.where("not linked").drop("linked").join(inside, ["page_id", "template"], "left_anti")
 
 
 def singleton_sections(rows: DataFrame, groups: DataFrame, least_chars: int = 150, least_nodes: int = 3) -> DataFrame:
     """(page_id, node_id, last_id, tag, xpath, n, n_chars): parents of at least so many content elements with so much text that no template covers.
 
-    The parent itself isn't covered and is no part of the frame; of sections inside each other the outermost stays."""
-    free = outside(elements(rows), groups).where("is_content and n_chars > 0")
-    kids = free.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).where((F.col("n") >= least_nodes) & (F.col("n_chars") >= least_chars))
-    parents = outside(rows.where(~F.col("tag").isin(*SKIPPED, *FRAME)), groups).select(*_KEY, "last_id", "tag", "xpath").join(kids, _KEY)
+    The parent itself isn't covered and is no part of the frame; of sections inside each other the outermost stays.
+    An element's text is that of its subtree: a difference of running sums at both ends of its interval."""
+    read = kept_large(_scanned(rows, groups).select(*_KEY, "parent_id", "last_id", "tag", "xpath", "is_content", "chars", "until", "free"))
+    ends = read.select("page_id", F.col("node_id").alias("last_id"), F.col("until").alias("end"))
+    free = read.where(_framed() & F.col("free"))
+    said = free.where("is_content").select("page_id", "parent_id", "last_id", (F.col("chars") - F.col("until")).alias("less")).join(ends, ["page_id", "last_id"]).withColumn("n_chars", F.col("end") + F.col("less")).where("n_chars > 0")
+    kids = said.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).where((F.col("n") >= least_nodes) & (F.col("n_chars") >= least_chars))
+    parents = kept_large(free.select(*_KEY, "last_id", "tag", "xpath").join(kids, _KEY))
     return parents.join(above(parents, parents).select(*_KEY).distinct(), _KEY, "left_anti")
 
 
 def orphan_groups(rows: DataFrame, groups: DataFrame, sections: DataFrame, least: int = 2) -> DataFrame:
     """(page_id, parent_id, kind, n, first_id): content elements that neither a template nor a section covers, by parent and kind (link or text)."""
     tops = groups.select(*_KEY, "last_id").union(sections.select(*_KEY, "last_id"))
-    free = outside(elements(rows), tops).where("is_content")
+    free = _scanned(rows, tops).where(F.col("is_content") & F.col("free"))
     return free.groupBy("page_id", "parent_id", F.when(F.col("is_link"), "link").otherwise("text").alias("kind")).agg(F.count("*").alias("n"), F.min("node_id").alias("first_id")).where(F.col("n") >= least)
 
 
@@ -92,7 +107,7 @@ def promoted_instances(rows: DataFrame, groups: DataFrame, least: int = 2) -> Da
 
     A template with ``least`` instances outside links keeps these; otherwise the nearest links around its instances
     stand for it, if they are that many, and else it goes."""
-    links = rows.where(F.col("attrs")["href"].isNotNull() & ~F.col("tag").isin(*FRAME))
+    links = _outlined(rows).where(F.col("is_link") & ~F.col("tag").isin(*FRAME))
     at = groups.select(*_KEY, "template", "is_link").join(nearest(groups, links), _KEY, "left")
     at = at.withColumn("inside", ~F.col("is_link") & F.col("top_id").isNotNull())
     counts = at.groupBy("page_id", "template").agg(F.sum((~F.col("inside")).cast("long")).alias("free"), F.max("inside").alias("any"), F.countDistinct("top_id").alias("tops"))

@@ -10,7 +10,7 @@ from ..sources import kept, kept_large, order_pages, table
 
 
 def _nodes(spark, sf):
-    return kept_large(pages.nodes(table(spark, sf, "pages")))
+    return kept_large(templates.outlined(pages.nodes(table(spark, sf, "pages"), hashes=("template",))))
 
 
 def _order_nodes(spark, sf):
