@@ -3,7 +3,7 @@
 import numpy as np
 
 from weftline.operators import fields, graph, search, vectors
-from weftline.sources import shuffled_into
+from weftline.sources import kept, shuffled_into
 
 
 def plan(df):
@@ -142,3 +142,11 @@ def test_marked_ancestors_are_found_without_paths(spark):
     found = pages.containment(rows, least_height=0)
     assert "xpath" not in plan(found) and "Generate" not in plan(found)
     assert sorted((kinds[r.src], kinds[r.dst]) for r in found.collect()) == [("div", "s"), ("div", "u"), ("s", "p"), ("u", "p")]
+
+
+def test_shortcuts_of_long_paths_go(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(13)]
+    edges = spark.createDataFrame([*chain, ("n00", "n13"), ("n00", "n12"), ("p", "q"), ("q", "r"), ("r", "p")], "src string, dst string")
+    found = graph.reduced(kept(edges))
+    assert {tuple(r) for r in found.collect()} == {*chain, ("p", "q"), ("q", "r"), ("r", "p")}
+    assert {r.node: r.depth for r in graph.depths(found).collect()}["n13"] == 13
