@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, pages, templates, tree_match
+from ..operators import graph, pages, templates, tree_match, within
 from ..sources import kept, kept_large, order_pages, table
 
 
@@ -23,8 +23,7 @@ def _mined(rows):
 
 def template_groups(spark, sf):
     """Templates that stand for themselves: not all inside a higher one, not all inside links."""
-    groups = templates.template_groups(_order_nodes(spark, sf)).groupBy("page_id", "template")
-    return groups.agg(F.first("tag").alias("tag"), F.max("height").alias("height"), F.count("*").alias("n")).drop("template")
+    return within.template_groups(order_pages(spark, sf))
 
 
 def singleton_sections(spark, sf):
