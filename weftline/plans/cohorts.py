@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, pages, templates
+from ..operators import cohorts, pages, templates, within
 from ..sources import kept, kept_large, order_pages, table
 
 
@@ -15,7 +15,7 @@ def _order_nodes(spark, sf):
 
 def sibling_cohorts(spark, sf):
     """How many siblings each branching element has, chains of only children contracted."""
-    return cohorts.cohorts(_order_nodes(spark, sf)).groupBy("page_id", "cohort_id").agg(F.count("*").alias("n")).groupBy("page_id", "n").agg(F.count("*").alias("n_cohorts"))
+    return within.cohort_sizes(order_pages(spark, sf))
 
 
 def spectral_cohorts(spark, sf):
