@@ -56,8 +56,7 @@ def _all_templates(rows):
 
 def tree_distances(spark, sf):
     """Templates of a page whose trees are at most three edits apart."""
-    rows = _order_nodes(spark, sf)
-    return tree_match.near_trees(templates.trees(rows, _all_templates(rows)))
+    return within.tree_distances(order_pages(spark, sf))
 
 
 def common_subtrees(spark, sf):
