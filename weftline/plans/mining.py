@@ -61,8 +61,7 @@ def tree_distances(spark, sf):
 
 def common_subtrees(spark, sf):
     """Templates of a page that have most of their smaller tree in common."""
-    rows = _order_nodes(spark, sf)
-    return tree_match.similar_trees(templates.trees(rows, _all_templates(rows)))
+    return within.common_subtrees(order_pages(spark, sf))
 
 
 def merged_templates(spark, sf):
