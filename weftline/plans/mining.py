@@ -66,13 +66,7 @@ def common_subtrees(spark, sf):
 
 def merged_templates(spark, sf):
     """Templates joined by common subtrees: the highest and most frequent of each set, and how many instances it now has."""
-    rows = _order_nodes(spark, sf)
-    roots = _all_templates(rows)
-    pairs = tree_match.similar_trees(templates.trees(rows, roots))
-    name = lambda x: F.concat_ws(":", "page_id", F.lpad(F.col(x).cast("string"), 10, "0"))
-    sets = graph.components_of(kept(pairs.select(name("a").alias("src"), name("b").alias("dst"))))
-    held = roots.withColumn("node", name("node_id")).join(sets, "node")
-    return held.groupBy("page_id", "component").agg(F.max_by("node_id", F.struct("height", "n", -F.col("node_id"))).alias("base_id"), F.count("*").alias("n_templates"), F.sum("n").alias("n_instances")).drop("component")
+    return within.merged_templates(order_pages(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (template_groups, singleton_sections, orphan_groups, anchor_promotion, sub_templates, tree_distances, common_subtrees, merged_templates)}
