@@ -26,8 +26,7 @@ def spectral_cohorts(spark, sf):
 
 def settled_signatures(spark, sf):
     """Groups of siblings by the signature at which their groups settle, over all cohorts of a page."""
-    found = cohorts.settled_groups(_order_nodes(spark, sf))
-    return found.groupBy("page_id", "signature").agg(F.count("*").alias("n"), F.countDistinct("cohort_id").alias("n_cohorts"), F.max("depth").alias("depth"))
+    return within.settled_signatures(order_pages(spark, sf))
 
 
 def _instances(rows):
