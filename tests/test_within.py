@@ -67,7 +67,7 @@ def test_cohorts_and_signatures(both):
     same(within.settled_signatures(html), found.agg(F.count("*").alias("n"), F.countDistinct("cohort_id").alias("n_cohorts"), F.max("depth").alias("depth")))
 
 
-@pytest.mark.parametrize("name", ["template_groups", "sibling_cohorts", "tree_distances", "common_subtrees", "merged_templates", "settled_signatures"])
+@pytest.mark.parametrize("name", ["template_groups", "sibling_cohorts", "tree_distances", "common_subtrees", "merged_templates", "settled_signatures", "sub_templates"])
 def test_nodes_are_not_shuffled(spark, name):
     """Only lines and orders are: once by order, once by customer."""
     plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]

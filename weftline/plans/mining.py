@@ -5,18 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, pages, templates, tree_match, within
-from ..sources import kept, kept_large, order_pages, table
+from ..operators import pages, templates, within
+from ..sources import kept_large, order_pages, table
 
 
 def _nodes(spark, sf):
     return kept_large(templates.outlined(pages.nodes(table(spark, sf, "pages"), hashes=("template",))))
 
 
-def _order_nodes(spark, sf):
-    return kept_large(pages.nodes(order_pages(spark, sf)))
-
-
 def _mined(rows):
     return rows, kept_large(templates.template_groups(rows))
 
@@ -44,14 +40,7 @@ def anchor_promotion(spark, sf):
 
 def sub_templates(spark, sf):
     """Shapes that recur inside composite templates."""
-    return templates.sub_templates(*_mined(_order_nodes(spark, sf)))
-
-
-def _all_templates(rows):
-    """Every repeated template of a page with children, contained ones too, by its first instance."""
-    first = F.min_by(F.struct("xpath", "height"), "node_id").alias("first")
-    own = templates.framed(rows).where("height >= 1").groupBy("page_id", "template").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"), first)
-    return kept_large(own.select("page_id", "node_id", "first.xpath", "first.height", "template", "n"))
+    return within.sub_templates(order_pages(spark, sf))
 
 
 def tree_distances(spark, sf):
