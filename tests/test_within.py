@@ -24,7 +24,7 @@ def both(spark):
 
 def same(found, expected):
     found, expected = ([tuple(r) for r in df.select(*sorted(df.columns)).collect()] for df in (found, expected))
-    assert expected and sorted(found) == sorted(expected)
+    assert expected and sorted(found, key=repr) == sorted(expected, key=repr)
 
 
 def roots(rows):
@@ -67,6 +67,19 @@ def test_cohorts_and_signatures(both):
     same(within.settled_signatures(html), found.agg(F.count("*").alias("n"), F.countDistinct("cohort_id").alias("n_cohorts"), F.max("depth").alias("depth")))
 
 
+def test_pq_trees_and_patterns(spark, both):
+    shapes = ["<x><a></a><b><i></i></b></x>", "<x><b><i></i><u></u></b><a></a></x>", "<y><a></a></y>", "<y><p></p><a></a><p><i></i></p></y>", "<y></y>", "<div><z><a></a><b></b></z></div>", "<div><style></style><z><b></b><a></a></z></div>"]
+    html = kept(both[0].union(spark.createDataFrame([(9000 + i, "", s * (i % 2 + 1)) for i, s in enumerate(shapes)], "page_id long, url string, html string")))
+    rows = kept(pages.nodes(html))
+    instances = rows.where(~F.col("tag").isin(*templates.FRAME)).where("height >= 1").select(F.col("template").alias("pattern"), "page_id", "node_id")
+    expected = kept(cohorts.pq_trees(rows, instances))
+    assert {r.kind for r in expected.select("kind").distinct().collect()} == {"leaf", "P", "Q"}
+    same(within.pq_trees(within.instance_trees(html)), expected)
+    heights = rows.groupBy(F.col("template").alias("pattern")).agg(F.min("height").alias("least_height"))
+    patterns = kept(cohorts.compiled(cohorts.pq_trees(rows, instances, depth=1), heights))
+    same(within.pattern_matches(html), cohorts.pattern_matches(rows, patterns).groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages")))
+
+
 @pytest.mark.parametrize("name", ["template_groups", "sibling_cohorts", "tree_distances", "common_subtrees", "merged_templates", "settled_signatures", "sub_templates"])
 def test_nodes_are_not_shuffled(spark, name):
     """Only lines and orders are: once by order, once by customer."""
@@ -74,6 +87,15 @@ def test_nodes_are_not_shuffled(spark, name):
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0] and "Scan ExistingRDD" not in plan
 
 
+@pytest.mark.parametrize("name", ["pq_trees", "pattern_matches"])
+def test_nodes_are_neither_kept_nor_joined(spark, monkeypatch, name):
+    kept_rows = []
+    monkeypatch.setattr(within, "written", lambda df, f=within.written: kept_rows.append(f(df)) or kept_rows[-1])
+    found = catalog.queries()[name](spark, FOLDER)
+    nodes = pages.nodes(order_pages(spark, FOLDER), hashes=False).count()
+    assert found.count() > 0 and sum(df.count() for df in kept_rows) * 2 < nodes
+
+
 def test_empty_pages(spark):
     none = spark.createDataFrame([(1, "/1", None), (2, "/2", "")], "page_id long, url string, html string")
     for of in (within.template_groups, within.cohort_sizes, within.tree_distances, within.common_subtrees, within.merged_templates, within.settled_signatures, within.sub_templates):

@@ -240,11 +240,16 @@ def _holds(kind: Column, wanted: Column, there: Column) -> Column:
     return F.when(kind == "Q", in_order).otherwise(F.forall(wanted, lambda t: often(there, t) >= often(wanted, t)))
 
 
+def fitting(bags: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows of ``bags`` (tag, there, height) with each pattern that such nodes match."""
+    return bags.join(patterns, "tag").where((F.col("height") >= F.col("least_height")) & _holds(F.col("kind"), F.col("wanted"), F.col("there")))
+
+
 def pattern_matches(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, page_id, node_id): all nodes that match each of ``patterns`` (``compiled``), found in one join on the tag.
 
     ``patterns`` has as many rows as there are templates; children are compared without leaving the JVM."""
     there = _plain(rows).join(children(rows), _KEY, "left").select(*_KEY, "tag", "height", F.coalesce(F.transform("kids", lambda k: k.tag), F.array().cast("array<string>")).alias("there"))
     bags = there.groupBy("tag", "there", "height").agg(F.count("*").alias("c")).drop("c")  # like nodes are compared once
-    fits = bags.join(patterns, "tag").where((F.col("height") >= F.col("least_height")) & _holds(F.col("kind"), F.col("wanted"), F.col("there"))).select("tag", "there", "height", "pattern")
+    fits = fitting(bags, patterns).select("tag", "there", "height", "pattern")
     return there.join(fits, ["tag", "there", "height"]).select("pattern", *_KEY)

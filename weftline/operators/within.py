@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources import side, written
+from .cohorts import compiled, fitting
 from .pages import _page_columns
 from .templates import DRAWING, FRAME, SKIPPED
 from .tree_match import REMEMBERED, common_subtree, edit_distance
@@ -292,3 +294,127 @@ def _settled(page: Page, depth: int = 6) -> Iterator[tuple]:
 def settled_signatures(pages: DataFrame) -> DataFrame:
     """(page_id, signature, n, n_cohorts, depth): ``cohorts.settled_groups`` by signature."""
     return per_page(pages, _settled, "signature string, n long, n_cohorts long, depth int")
+
+
+# ---- patterns of child tags
+
+
+def _instance_trees(page: Page, depth: int = 4) -> Iterator[tuple]:
+    kids, found = page.children(), {}
+    for i, template in enumerate(page.templates):
+        if page.framed[i] and page.heights[i] >= 1:
+            parts, stack = [], [(i, 0)]
+            while stack:
+                j, d = stack.pop()
+                parts.append(f"{d} {page.tags[j]} {j - i}")
+                if d < depth:
+                    stack += [(k, d + 1) for k in reversed(kids[j])]
+            found.setdefault((template, page.tags[i], " ".join(parts)), []).append(i)
+    for (template, tag, tree), own in found.items():
+        yield template, tag, tree, len(own), own[0]
+
+
+def instance_trees(pages: DataFrame) -> DataFrame:
+    """(pattern, tag, tree, n, at): distinct trees of the instances of all pages' templates, down to depth 4, how often each occurs, and where first (page_id, node_id).
+
+    A tree is a string of depth, tag and distance from its root's id for each node in page order; tags have no blanks."""
+    return _distinct(per_page(pages, _instance_trees, "pattern string, tag string, tree string, n long, node_id int", ("template",)).withColumn("at", F.struct("page_id", "node_id")), "pattern", "tag", "tree")
+
+
+def _distinct(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+
+
+@functools.lru_cache(1 << 10)
+def _branches(tree: str) -> list[tuple[str, int, str]]:
+    """Tag, distance and tree of each child of a tree's root."""
+    parts = tree.split(" ")
+    depths, tags, places = list(map(int, parts[0::3])), parts[1::3], list(map(int, parts[2::3]))
+    starts = [i for i, d in enumerate(depths) if d == 1]
+    return [(tags[a], places[a], " ".join(f"{depths[j] - 1} {tags[j]} {places[j] - places[a]}" for j in range(a, b))) for a, b in zip(starts, [*starts[1:], len(depths)])]
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``order``: the tags of a root's children, null without any."""
+    for batch in batches:
+        orders = [[tag for tag, _, _ in _branches(t)] or None for t in batch.column("tree").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(orders, pa.list_(pa.string()))], [*batch.schema.names, "order"])
+
+
+def _taken(kind: str, wanted: list[str] | None, tree: str) -> Iterator[tuple[int, tuple[str, int, str]]]:
+    """Children of a root with the position that a node of the PQ-tree gives them."""
+    own = _branches(tree)
+    if kind == "Q":
+        yield from enumerate(own)
+    elif kind == "P":
+        yield from ((wanted.index(kid[0]), kid) for kid in own)
+    else:
+        first = {kid[0]: kid for kid in reversed(own)}
+        yield from ((i, first[tag]) for i, tag in enumerate(wanted) if tag in first)
+
+
+_PLACED = "pattern string, place string, above string, position int, tag string, tree string, n long, at struct<page_id: long, node_id: int>"
+_PLACED_COLUMNS = pa.schema([
+    ("pattern", pa.string()), ("place", pa.string()), ("above", pa.string()), ("position", pa.int32()), ("tag", pa.string()), ("tree", pa.string()), ("n", pa.int64()),
+    ("at", pa.struct([("page_id", pa.int64()), ("node_id", pa.int32())])),
+])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            part, rows = batch.slice(start, PAGES_AT_ONCE), []
+            for pattern, place, kind, wanted, tree, n, at in zip(*(part.column(c).to_pylist() for c in ("pattern", "place", "kind", "wanted", "tree", "n", "at"))):
+                for i, (tag, away, kid) in _taken(kind, wanted, tree):
+                    rows.append((pattern, f"{place}/{i}", place, i, tag, kid, n, {"page_id": at["page_id"], "node_id": at["node_id"] + away}))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PLACED_COLUMNS)], schema=_PLACED_COLUMNS)
+
+
+def pq_trees(trees: DataFrame, depth: int = 4) -> DataFrame:
+    """(pattern, place, above, position, kind, tag, n): PQ-trees of ``instance_trees`` (``cohorts.pq_trees``), from like subtrees at once.
+
+    Instances hold few distinct trees at a place, fewer the lower it lies; a level reads and writes these, not nodes."""
+    key, found = ["pattern", "place", "above", "position", "tag"], []
+    at = trees.select("pattern", F.lit("").alias("place"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("position"), "tag", "tree", "n", "at")
+    for level in range(depth + 1):
+        at = written(at)
+        ordered = StructType([*at.schema.fields, StructType.fromDDL("order array<string>")[0]])
+        held = at.mapInArrow(_ordered, ordered) if level < depth else at.withColumn("order", F.lit(None).cast("array<string>"))
+        orders = held.groupBy(*key, "order").agg(F.sum("n").alias("n"), F.max(F.struct(-F.col("at.page_id"), -F.col("at.node_id"))).alias("first"))
+        forms = orders.groupBy(*key).agg(
+            F.count("order").alias("orders"), F.count_distinct(F.array_sort("order")).alias("bags"), F.sum("n").alias("n"),
+            F.max_by("order", F.struct(F.coalesce(F.size("order"), F.lit(0)), "first")).alias("order"),
+        )
+        forms = written(forms.withColumn("kind", F.when(F.col("orders") == 0, "leaf").when(F.col("orders") == 1, "Q").when(F.col("bags") == 1, "P").otherwise("longest")))
+        found.append(forms.select("pattern", "place", "above", "position", F.when(F.col("kind") == "longest", "Q").otherwise(F.col("kind")).alias("kind"), "tag", "n"))
+        if level < depth:
+            wanted = F.when(F.col("kind") == "P", F.array_sort(F.array_distinct("order"))).when(F.col("kind") == "longest", F.col("order"))
+            inner = at.join(side(forms.where("kind <> 'leaf'").select("pattern", "place", "kind", wanted.alias("wanted"))), ["pattern", "place"])
+            at = _distinct(inner.mapInArrow(_placed, _PLACED), *key, "tree")
+    return functools.reduce(DataFrame.union, found)
+
+
+def _forms(page: Page) -> Iterator[tuple]:
+    kids, found = page.children(), {}
+    for i, template in enumerate(page.templates):
+        if page.plain[i]:
+            found.setdefault((template, page.tags[i], page.heights[i], tuple(page.tags[k] for k in kids[i])), []).append(i)
+    for (template, tag, height, there), own in found.items():
+        yield template, tag, height, list(there), len(own), own[0]
+
+
+def pattern_matches(pages: DataFrame) -> DataFrame:
+    """(pattern, n, n_pages): how many nodes of how many pages match the compiled pattern of each template (``cohorts.pattern_matches``).
+
+    A page gives its distinct nodes by template and children's tags; patterns are compiled from and compared with those."""
+    forms = written(per_page(pages, _forms, "template string, tag string, height int, there array<string>, n long, node_id int", ("template",)))
+    own = forms.where(~F.col("tag").isin(*FRAME) & (F.col("height") >= 1))
+    tree = F.concat_ws(" ", F.concat(F.lit("0 "), "tag", F.lit(" 0")), F.array_join(F.transform(F.when(F.size("there") > 0, F.col("there")), lambda t: F.concat(F.lit("1 "), t, F.lit(" 0"))), " "))
+    trees = _distinct(own.select(F.col("template").alias("pattern"), "tag", tree.alias("tree"), "n", F.struct("page_id", "node_id").alias("at")), "pattern", "tag", "tree")
+    heights = own.groupBy(F.col("template").alias("pattern")).agg(F.min("height").alias("least_height"))
+    patterns = compiled(pq_trees(trees, depth=1), heights)
+    like = ["tag", "there", "height"]
+    fits = fitting(forms.select(*like).distinct(), patterns).select(*like, "pattern")
+    matched = forms.join(side(written(fits)), like).groupBy("pattern", "page_id").agg(F.sum("n").alias("n"))
+    return matched.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("page_id").alias("n_pages"))

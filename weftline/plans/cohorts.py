@@ -42,10 +42,7 @@ def pq_trees(spark, sf):
 
 def pattern_matches(spark, sf):
     """How many elements match the compiled pattern of each template."""
-    rows = _order_nodes(spark, sf)
-    heights = rows.groupBy(F.col("template").alias("pattern")).agg(F.min("height").alias("least_height"))
-    compiled = kept(cohorts.compiled(cohorts.pq_trees(rows, _instances(rows), depth=1), heights))
-    return cohorts.pattern_matches(rows, compiled).groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return within.pattern_matches(order_pages(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (sibling_cohorts, spectral_cohorts, settled_signatures, pq_trees, pattern_matches)}
