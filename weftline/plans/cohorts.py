@@ -5,12 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, pages, templates, within
-from ..sources import kept, kept_large, order_pages, table
-
-
-def _order_nodes(spark, sf):
-    return kept_large(pages.nodes(order_pages(spark, sf)))
+from ..operators import cohorts, pages, within
+from ..sources import kept_large, order_pages, table
 
 
 def sibling_cohorts(spark, sf):
@@ -29,15 +25,9 @@ def settled_signatures(spark, sf):
     return within.settled_signatures(order_pages(spark, sf))
 
 
-def _instances(rows):
-    """Elements of all pages by template."""
-    return rows.where(~F.col("tag").isin(*templates.FRAME)).where("height >= 1").select(F.col("template").alias("pattern"), "page_id", "node_id")
-
-
 def pq_trees(spark, sf):
     """PQ-trees of the templates of all pages."""
-    rows = _order_nodes(spark, sf)
-    return cohorts.pq_trees(rows, _instances(rows))
+    return within.pq_trees(within.instance_trees(order_pages(spark, sf)))
 
 
 def pattern_matches(spark, sf):
