@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_mining import HTML
 
 from weftline import catalog
-from weftline.operators import cohorts, graph, pages, templates, tree_match, within
+from weftline.operators import cohorts, content, graph, pages, templates, tree_match, within
 from weftline.sources import kept, order_pages, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -96,6 +96,21 @@ def test_nodes_are_neither_kept_nor_joined(spark, monkeypatch, name):
     assert found.count() > 0 and sum(df.count() for df in kept_rows) * 2 < nodes
 
 
+def test_pruned_sizes(spark, both):
+    html, rows = both
+    left = kept(content.without_empty_branches(rows))
+    width = left.where("parent_id >= 0").groupBy("page_id", "parent_id").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.max("n").alias("widest"))
+    same(content.pruned_sizes(pages.nodes(html, hashes=False)), left.groupBy("page_id").agg(F.count("*").alias("n")).join(width, "page_id"))
+    plan = catalog.queries()["pruned_order_pages"](spark, FOLDER)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "Exchange" not in plan.split("MapInArrow")[1]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pages lie in several batches
+    try:
+        same(content.pruned_sizes(pages.nodes(html.where("page_id < 10"), hashes=False)), content.pruned_sizes(rows.where("page_id < 10").orderBy("page_id", "node_id").coalesce(1)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_empty_pages(spark):
     none = spark.createDataFrame([(1, "/1", None), (2, "/2", "")], "page_id long, url string, html string")
     for of in (within.template_groups, within.cohort_sizes, within.tree_distances, within.common_subtrees, within.merged_templates, within.settled_signatures, within.sub_templates):

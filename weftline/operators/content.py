@@ -5,6 +5,10 @@ attribute names are lower case there; a null attribute value is empty."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +133,45 @@ def without_empty_branches(rows: DataFrame) -> DataFrame:
     return linked.select("page_id", "node_id", "parent_id", "own.*")
 
 
+def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (page_id, parent_id, mark) of pages one after another; a page begins with its document, which has no parent."""
+
+    def sizes(parents: list[int], marks: list[bool]) -> tuple[int, int]:
+        branches, reached = [0] * len(parents), list(marks)
+        for i in range(len(parents) - 1, 0, -1):  # children come after their parent
+            if reached[i]:
+                reached[parents[i]] = True
+                branches[parents[i]] += 1
+        near, below = [0] * len(parents), [0] * len(parents)
+        for i, p in enumerate(parents):
+            if i:
+                near[i] = p if marks[p] or branches[p] >= 2 or not p else near[p]
+                if marks[i] or branches[i] >= 2:
+                    below[near[i]] += 1
+        return 1 + sum(below), max(below)
+
+    page, parents, marks = None, [], []
+    for batch in chain(batches, [None]):
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "parent_id", "mark"))) if batch is not None else [(None, -1, None)]:
+            if row[1] < 0:
+                if parents:
+                    found.append((page, *sizes(parents, marks)))
+                page, parents, marks = row[0], [], []
+            parents.append(row[1])
+            marks.append(row[2])
+        found = [x for x in found if x[2]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["page_id", "n", "widest"])
+
+
+def pruned_sizes(rows: DataFrame) -> DataFrame:
+    """(page_id, n, widest): how many nodes of each page ``without_empty_branches`` leaves, and the most that one has below it; pages with one below another only.
+
+    ``rows`` are as ``pages.nodes`` gives them, a page's nodes one after another. They are marked and counted where they are
+    parsed, so that none is shuffled or written."""
+    return rows.select("page_id", "parent_id", content_node().alias("mark")).mapInArrow(_pruned, "page_id long, n long, widest long")
+
+
 def _tag(category: str, kind, value, source) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(F.lit(category).alias("category"), as_column(kind).alias("kind"), as_column(value).alias("value"), as_column(source).alias("source"))
