@@ -3,8 +3,6 @@ the orders these are tested against brute force on parsed pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import pages, templates, within
 from ..sources import kept_large, order_pages, table
 
